@@ -6,7 +6,13 @@ from pyspark.sql import Column, functions as F
 
 
 def _pattern(col: Column, pattern: str) -> Column:
-    return F.call_function("format_number", col.cast("double"), F.lit(pattern))
+    value = col.cast("double")
+    endless = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+    return (
+        F.when(F.isnan(value), F.lit("nan"))
+        .when(F.abs(value) == float("inf"), endless)
+        .otherwise(F.call_function("format_number", value, F.lit(pattern)))
+    )
 
 
 def fixed(col: Column, digits: int, grouped: bool = False) -> Column:
@@ -18,7 +24,7 @@ def fixed(col: Column, digits: int, grouped: bool = False) -> Column:
 def sci(col: Column, digits: int) -> Column:
     """``1.4e11 -> 1.40e+11``."""
     raw = _pattern(col, "0." + "0" * digits + "E00")
-    return F.when(raw.contains("E-"), F.replace(raw, F.lit("E"), F.lit("e"))).otherwise(
+    return F.when(~raw.contains("E"), raw).when(raw.contains("E-"), F.replace(raw, F.lit("E"), F.lit("e"))).otherwise(
         F.replace(raw, F.lit("E"), F.lit("e+"))
     )
 
@@ -38,6 +44,19 @@ def general(col: Column, digits: int) -> Column:
     return F.when(col == 0, F.lit("0")).otherwise(out)
 
 
+def shortest(col: Column) -> Column:
+    """Shortest digits that read back as the same double, plain between 1e-4 and 1e16."""
+    size = F.abs(col)
+    java = F.replace(col.cast("string"), F.lit(".0E"), F.lit("E"))
+    digits = F.split_part(java, F.lit("E"), F.lit(1))
+    power = F.split_part(java, F.lit("E"), F.lit(2)).cast("int")
+    scientific = F.concat(
+        digits, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0")
+    )
+    plain = _pattern(col, "0.0" + "#" * 20)
+    return F.when((size == 0) | size.between(1e-4, 9.999999999999998e15), plain).otherwise(scientific)
+
+
 def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"\.?0+$", "")
 

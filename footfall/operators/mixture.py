@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from footfall.functions import constants as K
 
@@ -12,7 +12,10 @@ VARIANCE_FLOOR = 1e-6
 TOLERANCE = 1e-3
 MAX_ITERATIONS = 100
 
-RESULT = "struct<n_modes:int,bic:double,means:array<double>,stds:array<double>,weights:array<double>>"
+RESULT = T.StructType(
+    [T.StructField("n_modes", T.IntegerType()), T.StructField("bic", T.DoubleType())]
+    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("means", "stds", "weights")]
+)
 
 
 def _log_density(x, mean, var, share):
