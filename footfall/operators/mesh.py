@@ -82,10 +82,11 @@ def axis_roles(box: DataFrame, tris: DataFrame) -> DataFrame:
     })
 
 
-def given_roles(box: DataFrame, tris: DataFrame, width: int, depth: int, up: int) -> DataFrame:
-    return box.join(mean_abs_normals(tris), "mesh_id").withColumns(
-        {"width_axis": F.lit(width), "depth_axis": F.lit(depth), "up_axis": F.lit(up)}
-    )
+def given_roles(box: DataFrame, width: int, depth: int, up: int) -> DataFrame:
+    """Fixed axis roles; faces are not looked at, so their number stays unknown."""
+    return box.withColumns({
+        "n_faces": F.lit(None).cast("long"), "width_axis": F.lit(width), "depth_axis": F.lit(depth), "up_axis": F.lit(up),
+    })
 
 
 def axis_names(roles: DataFrame) -> DataFrame:
@@ -182,5 +183,5 @@ def prepare(mesh: Mesh, axes: tuple[int, int, int] | None = None) -> tuple[Mesh,
     """Write the gathered triangles once and derive the frame: (mesh, triangles, frame)."""
     tris = materialize(triangles(mesh), "triangles")
     box = bounds(mesh.vertices)
-    roles = axis_roles(box, tris) if axes is None else given_roles(box, tris, *axes)
+    roles = axis_roles(box, tris) if axes is None else given_roles(box, *axes)
     return mesh, tris, frame(roles)

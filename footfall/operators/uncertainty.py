@@ -182,14 +182,29 @@ def sensitivity(samples: DataFrame) -> DataFrame:
     def share(c: str) -> Column:
         return F.coalesce(F.nanvl(F.pow(F.corr(c, "t"), 2), F.lit(0.0)), F.lit(0.0))
 
-    r = ranked.groupBy("mesh_id").agg(*[share(c).alias(n) for c, n in (
-        ("k", "k_spec"), ("sc", "scale"), ("v", "plane"), ("g", "grf"), ("sl", "slip"))])
-    r = r.withColumn("plane", F.greatest(F.lit(K.PLANE_SHARE_FLOOR), F.col("plane") * K.PLANE_SHARE_FACTOR))
+    return normalize_shares(ranked.groupBy("mesh_id").agg(*[share(c).alias(n) for c, n in (
+        ("k", "k_spec"), ("sc", "scale"), ("v", "plane"), ("g", "grf"), ("sl", "slip"))]))
+
+
+def normalize_shares(correlations: DataFrame) -> DataFrame:
+    """Squared rank correlations per source -> shares summing to 1.
+
+    Volume stands for the plane: its share is reduced and never below a floor.
+    """
+    r = correlations.withColumn("plane", F.greatest(F.lit(K.PLANE_SHARE_FLOOR), F.col("plane") * K.PLANE_SHARE_FACTOR))
     total = F.col("k_spec") + F.col("scale") + F.col("grf") + F.col("slip") + F.col("plane")
     total = F.when(total < 1e-10, F.lit(1.0)).otherwise(total)
     return r.select("mesh_id", *[(F.col(c) / total).alias(c) for c in K.SENSITIVITY_SOURCES])
 
 
+def share_map(shares: DataFrame) -> DataFrame:
+    labels = [F.lit(c) for c in K.SENSITIVITY_SOURCES]
+    return shares.select(
+        "mesh_id", F.map_from_arrays(F.array(*labels), F.array(*K.SENSITIVITY_SOURCES)).alias("sensitivity"),
+        dominant_source().alias("traffic_dominated_by"),
+    )
+
+
 def dominant_source() -> Column:
     values = F.array(*K.SENSITIVITY_SOURCES)
     names = F.array(*[F.lit(c) for c in K.SENSITIVITY_SOURCES])
@@ -259,12 +274,7 @@ def summarize(samples: DataFrame, widths: DataFrame, quality: DataFrame, n: int,
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("hypothesis", "share")))).alias("scale_hypothesis_posterior"),
         F.count_if(F.col("share") > 0.1).alias("_likely"),
     )
-    shares = sensitivity(samples)
-    labels = [F.lit(c) for c in K.SENSITIVITY_SOURCES]
-    shares = shares.select(
-        "mesh_id", F.map_from_arrays(F.array(*labels), F.array(*K.SENSITIVITY_SOURCES)).alias("sensitivity"),
-        dominant_source().alias("traffic_dominated_by"),
-    )
+    shares = share_map(sensitivity(samples))
     joined = base.join(posterior, "mesh_id").join(shares, "mesh_id").join(widths, "mesh_id").join(
         quality.select("mesh_id", F.col("weak_fit").alias("weak_plane_fit")), "mesh_id"
     )
