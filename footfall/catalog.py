@@ -100,7 +100,7 @@ LEG = (PV, PB, grid_sql("pv", "pb"), LEGACY)
 LATERAL = f"""col AS (SELECT mesh_id, j, min(x) AS x, sum(depth_mm) AS v FROM cell GROUP BY mesh_id, j),
 tot AS (SELECT mesh_id, sum(v) AS t FROM col GROUP BY mesh_id),
 lat AS (SELECT c.mesh_id, j, x, CASE WHEN t > 0 THEN v/t ELSE 0.0 END AS share,
-  CAST(floor(CASE WHEN t > 0 THEN v/t ELSE 0.0 END*1000) AS BIGINT) AS weight FROM col c JOIN tot ON tot.mesh_id=c.mesh_id)"""
+  CAST(floor(CASE WHEN t > 0 THEN v/t ELSE 0.0 END*1000 + 1e-9) AS BIGINT) AS weight FROM col c JOIN tot ON tot.mesh_id=c.mesh_id)"""
 REGION = f"""lon AS (SELECT mesh_id, i, min(y) AS y, sum(depth_mm) AS v FROM cell GROUP BY mesh_id, i),
 lm AS (SELECT mesh_id, avg(v) AS m FROM lon GROUP BY mesh_id),
 reg0 AS (SELECT l.mesh_id, avg(v) FILTER (i < {GRID//4}) AS nosing_wear, avg(v) FILTER (i >= {GRID//4} AND i < {3*GRID//4}) AS center_wear,
@@ -728,12 +728,11 @@ RHO = "rho AS (SELECT mesh_id, " + ", ".join(f"corr({c}, traffic)**2 AS {s}" for
 
 
 def correlations(spark, sf) -> DataFrame:
-    rows = materialize(shipment_samples(spark, sf), "samples")
-    parts = None
-    for source, col in SOURCE_COLS.items():
-        one = spearman_squared(rows, col, "traffic", ["mesh_id"]).withColumnRenamed("rho2", source)
-        parts = one if parts is None else parts.join(one, "mesh_id")
-    return parts
+    """Squared rank correlation of traffic with each source, one column per source."""
+    found = spearman_squared(shipment_samples(spark, sf), list(SOURCE_COLS.values()), "traffic", ["mesh_id"])
+    return found.groupBy("mesh_id").agg(*[
+        F.max(F.when(F.col("column") == c, F.col("rho2"))).alias(s) for s, c in SOURCE_COLS.items()
+    ])
 
 
 @query("spearman_squared", cte(SAMPLES, RANKS, RHO) + "SELECT mesh_id, " + ", ".join(f"round({s},6) AS {s}" for s in SOURCE_COLS) + " FROM rho")
@@ -942,14 +941,14 @@ def _(spark, sf):
 
 
 @query("traffic_by_supplier", cte(MATERIAL, PV, """vo AS (SELECT mesh_id, sum(greatest(0.0, 0.0125-u)*w*d) AS volume FROM pv GROUP BY mesh_id)""") + """
-SELECT mesh_id, material, round(volume*1e6, 6) AS volume_cm3, round(volume/(k_spec_value*1e-9*(700.0*1.7)*0.002)/(500*365.0), 6) AS daily_500y FROM vo, mat""")
+SELECT mesh_id, material, round(volume*1e6, 6) AS volume_cm3, round(volume/(k_spec_value*1e-9*(700.0*1.7)*0.002)/(500*365.0), 3) AS daily_500y FROM vo, mat""")
 def _(spark, sf):
     volume = shipment_points(spark, sf).groupBy("mesh_id").agg(
         F.sum(G.depth(F.lit(0.0125), F.col("u")) * F.col("w") * F.col("d")).alias("volume")
     )
     names = F.array(*[F.lit(m[0]) for m in K.MATERIALS])
     rows = with_material(volume.select("mesh_id", "volume", F.lit(0.0).alias("max_depth"), F.explode(names).alias("material")))
-    return T.traffic_volume(rows).select("mesh_id", "material", r(F.col("volume") * 1e6, 6, "volume_cm3"), r("daily_500y", 6))
+    return T.traffic_volume(rows).select("mesh_id", "material", r(F.col("volume") * 1e6, 6, "volume_cm3"), r("daily_500y", 3))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.functions import constants as K
 from footfall.functions import geometry as G
 from footfall.operators.keyed import KeyTable, attach, settle
-from footfall.operators.quantiles import exact_quantiles
+from footfall.operators.quantiles import exact_quantiles, sorted_quantile
 
 
 def node(lo: Column, hi: Column, index: Column, g: int) -> Column:
@@ -132,7 +132,8 @@ def lateral_profile(cells: DataFrame, extents: KeyTable, g: int = K.GRID) -> Dat
     share = F.coalesce(F.try_divide(F.col("value"), F.col("total")), F.lit(0.0))
     return line.select(
         "mesh_id", "j", F.col("pos").alias("x"), share.alias("share"),
-        F.floor(share * K.LATERAL_REPLICATES).cast("long").alias("weight"),
+        # Sums arrive in any order: a share within rounding of a whole count takes that count.
+        F.floor(share * K.LATERAL_REPLICATES + 1e-9).cast("long").alias("weight"),
     )
 
 
@@ -189,14 +190,16 @@ def temporal_drift(
     """Whether the centre of mass moves sideways with depth: (mesh_id, peak_0.., shift_ratio, drift).
 
     ``widths`` gives mesh_id, w_nom (null reads as 1 m). Grids are bounded by their
-    resolution, so the built-in quantile buffer is bounded as well.
+    resolution, so sorting one mesh's cells in a buffer is bounded as well.
     """
     names = [f"t{k}" for k in range(len(quantiles))]
-    limits = cells.groupBy("mesh_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("depth_mm", F.array(*[F.lit(q) for q in quantiles])).alias("t"),
-    ).where(F.col("n") >= K.DRIFT_MIN_CELLS)
-    limits = settle(limits.select("mesh_id", *[F.col("t")[k].alias(n) for k, n in enumerate(names)]), "drift")
+    ordered = cells.groupBy("mesh_id").agg(F.sort_array(F.collect_list("depth_mm")).alias("s"))
+    limits = settle(
+        ordered.where(F.size("s") >= K.DRIFT_MIN_CELLS).select(
+            "mesh_id", *[sorted_quantile(F.col("s"), q).alias(n) for q, n in zip(quantiles, names)]
+        ),
+        "drift",
+    )
     masked = attach(cells, limits, spread=["i", "j"])
     peaks = []
     for k, n in enumerate(names):

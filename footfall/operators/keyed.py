@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F, types as T, Window
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T, Window
 
 from footfall.session import materialize
 
@@ -27,19 +27,24 @@ def _width(kind: T.DataType) -> int:
 
 @dataclass(frozen=True)
 class KeyTable:
-    """A written table with one row per key and its known row count."""
+    """A written table with one row per key, its row count and observed figures."""
 
     df: DataFrame
     rows: int
+    seen: dict = field(default_factory=dict)
 
     @property
     def bytes(self) -> int:
         return self.rows * _width(self.df.schema)
 
 
-def settle(df: DataFrame, label: str = "keys") -> KeyTable:
-    written = materialize(df, label)
-    return KeyTable(written, written.count())
+def settle(df: DataFrame, label: str = "keys", **figures: Column) -> KeyTable:
+    """Write a key table; its row count and ``figures`` are observed by the same job."""
+    watch = Observation()
+    counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()])
+    written = materialize(counted, label)
+    seen = watch.get
+    return KeyTable(written, seen["rows"], seen)
 
 
 def attach(
@@ -85,6 +90,6 @@ def with_ordinals(rows: DataFrame, id_col: str, keys: Sequence[str] = MESH, name
     )
 
 
-def block_count(n: str | F.Column = "n", size: int = BLOCK) -> F.Column:
+def block_count(n: str | Column = "n", size: int = BLOCK) -> Column:
     n = F.col(n) if isinstance(n, str) else n
     return F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("long")

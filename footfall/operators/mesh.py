@@ -108,7 +108,7 @@ def frame(roles: DataFrame) -> KeyTable:
         roles.withColumns(extents).select(
             "mesh_id", "n_vertices", "n_faces", "width_axis", "depth_axis", "up_axis", *extents
         ),
-        "frame",
+        "frame", most_vertices=F.max("n_vertices"), most_faces=F.max("n_faces"),
     )
 
 

@@ -43,7 +43,7 @@ def plane_candidates(points: DataFrame, frame_table: KeyTable) -> DataFrame:
     """Border points; with more than 100 of them only the top height quartile."""
     strip = border_points(points, frame_table)
     high = settle(
-        exact_quantiles(strip, "u", [K.TOP_QUANTILE]).select(
+        exact_quantiles(strip, "u", [K.TOP_QUANTILE], largest=frame_table.seen.get("most_vertices")).select(
             "mesh_id", F.when(F.col("n") > K.TOP_QUANTILE_ABOVE, F.col("q")[0]).alias("u_floor")
         ),
         "floor",
@@ -181,13 +181,17 @@ def fit_planes(
             F.col("inliers").alias("inlier_count"), "ha", "hb", "hc",
         )
     )
-    return PlaneFit(settle(fitted.unionByName(_fallback(points, frame_table, fitted, counts)), "plane"), numbered)
+    if best.rows < frame_table.rows:
+        fitted = fitted.unionByName(_fallback(points, frame_table, best, counts))
+    return PlaneFit(settle(fitted, "plane", fallbacks=F.count_if(F.col("method") != "RANSAC")), numbered)
 
 
-def _fallback(points: DataFrame, frame_table: KeyTable, fitted: DataFrame, counts: KeyTable) -> DataFrame:
+def _fallback(points: DataFrame, frame_table: KeyTable, best: KeyTable, counts: KeyTable) -> DataFrame:
     """Level plane at the median height for meshes without a supported fit."""
-    open_meshes = settle(frame_table.df.select("mesh_id").join(fitted.select("mesh_id"), "mesh_id", "left_anti"), "open")
-    level = exact_quantiles(attach(points, open_meshes, spread=["vid"]), "u", [0.5])
+    open_meshes = settle(frame_table.df.select("mesh_id").join(best.df.select("mesh_id"), "mesh_id", "left_anti"), "open")
+    level = exact_quantiles(
+        attach(points, open_meshes, spread=["vid"]), "u", [0.5], largest=frame_table.seen.get("most_vertices")
+    )
     zero, none = F.lit(0.0), F.lit(None).cast("double")
     return level.join(counts.df.select("mesh_id", F.col("n").alias("cn")), "mesh_id", "left").select(
         "mesh_id", zero.alias("a"), zero.alias("b"), F.col("q")[0].alias("c"), zero.alias("inlier_fraction"),
@@ -204,13 +208,13 @@ def bootstrap_support(points: DataFrame, frame_table: KeyTable, fit: PlaneFit, t
     well, every vertex of the mesh counts as an inlier.
     """
     good = KeyTable(fit.plane.df.where(F.col("method") == "RANSAC"), fit.plane.rows)
-    bad = settle(fit.plane.df.where(F.col("method") != "RANSAC").select("mesh_id"), "weak")
     first = inlier_points(fit.candidates, good, thresh_mm / 1000.0).select("mesh_id", "vid", "w", "d", "u")
     base = good.df.withColumn("pool", F.col("candidates_used"))
-    if bad.rows == 0:
-        return first, settle(base, "support")
+    if fit.plane.seen["fallbacks"] == 0:
+        return first, KeyTable(base, good.rows)
+    bad = settle(fit.plane.df.where(F.col("method") != "RANSAC").select("mesh_id"), "weak")
     again_points = attach(points, bad, spread=["vid"])
-    again_frame = settle(frame_table.df.join(bad.df, "mesh_id", "left_semi"), "frame2")
+    again_frame = settle(frame_table.df.join(bad.df, "mesh_id", "left_semi"), "frame", most_vertices=F.max("n_vertices"))
     again = fit_planes(again_points, again_frame)
     ok = KeyTable(again.plane.df.where(F.col("method") == "RANSAC"), again.plane.rows)
     lost = KeyTable(again.plane.df.where(F.col("method") != "RANSAC"), again.plane.rows)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from footfall.operators.keyed import MESH, attach, settle
+from footfall.operators.keyed import MESH, KeyTable, attach, settle
 from footfall.session import materialize
 
-EXACT_BUFFER_ROWS = 1_000_000  # largest key handed to the built-in percentile buffer
+EXACT_BUFFER_ROWS = 1_000_000  # largest key sorted in one aggregation buffer
 BINS = 1024                    # sub-intervals per narrowing pass
 
 
@@ -23,30 +23,39 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per key: columns ``keys, n, q`` (array, as ``probs``).
 
-    Keys of up to ``bound`` rows use the built-in aggregate. Larger keys are narrowed
+    Keys of up to ``bound`` rows are sorted in an aggregation buffer. Larger keys are narrowed
     by counting passes: each pass bins the bracket holding the wanted ranks and keeps
     one bin, so only (key, bin) partial counts are ever shuffled. ``largest`` may give
-    the already known size of the largest key.
+    a known upper limit of the rows per key.
     """
     keys = list(keys)
     rows = rows.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    counts = None
-    if largest is None:
-        counts = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "qcount")
-        largest = counts.df.agg(F.max("n")).first()[0] or 0
-    if largest <= bound:
+    if largest is not None and largest <= bound:
+        return _buffered(rows, keys, probs)
+    counts = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "qcount", largest=F.max("n"))
+    if (counts.seen["largest"] or 0) <= bound:
         return _buffered(rows, keys, probs)
-    if counts is None:
-        counts = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "qcount")
     hot = settle(counts.df.where(F.col("n") > bound).select(*keys), "qhot")
     calm = attach(rows, hot, keys, "left_anti", spread=["_v"])
     return _buffered(calm, keys, probs).unionByName(_narrowed(rows, keys, probs, hot))
 
 
+def lerp(low: Column, high: Column, t: Column) -> Column:
+    """Linear interpolation taken from the nearer end, so that both ends are met exactly."""
+    return F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (1 - t))
+
+
+def sorted_quantile(ordered: Column, p: float) -> Column:
+    """Quantile of an ascending array of a bounded group."""
+    at = (F.size(ordered) - 1) * F.lit(float(p))
+    k = F.floor(at).cast("int")
+    return lerp(F.get(ordered, k), F.get(ordered, F.least(k + 1, F.size(ordered) - 1)), at - F.floor(at))
+
+
 def _buffered(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
+    ordered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    return ordered.select(
+        *keys, F.size("_s").cast("long").alias("n"), F.array(*[sorted_quantile(F.col("_s"), p) for p in probs]).alias("q")
     )
 
 
@@ -74,7 +83,7 @@ def _narrowed(rows: DataFrame, keys: list[str], probs: Sequence[float], hot) ->
         if table.rows == 0:
             break
         table = settle(_narrow_once(rows, table, keys, id_cols), "qstate")
-    values = done.withColumn("x", F.col("xk") + F.col("frac") * (F.col("xk1") - F.col("xk")))
+    values = done.withColumn("x", lerp(F.col("xk"), F.col("xk1"), F.col("frac")))
     return values.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("pi", "x"))), lambda s: s["x"]).alias("q"),
@@ -119,7 +128,7 @@ def _narrow_once(rows: DataFrame, table, keys: list[str], id_cols: list[str]) ->
     )
 
 
-def average_ranks(rows: DataFrame, value: str, keys: Sequence[str], per_part: int = 1_000_000) -> DataFrame:
+def average_ranks(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Distinct values per key with their tie-averaged rank: ``keys, value, rank``.
 
     Values are counted first, range-partitioned, and ranked by running totals within
@@ -127,11 +136,8 @@ def average_ranks(rows: DataFrame, value: str, keys: Sequence[str], per_part: in
     """
     keys = list(keys)
     counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("c"))
-    counted = materialize(counted, "rank")
-    parts = max(1, -(-counted.count() // per_part))
-    ranged = materialize(
-        counted.repartitionByRange(parts, *keys, "_v").withColumn("_part", F.spark_partition_id()), "rank"
-    )
+    # Written once: both the ranges' totals and the ranking must see the same ranges.
+    ranged = materialize(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "rank")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys, "_part").agg(F.sum("c").alias("pc"))
@@ -148,33 +154,39 @@ def average_ranks(rows: DataFrame, value: str, keys: Sequence[str], per_part: in
     )
 
 
-def spearman_squared(rows: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
-    """Squared rank correlation of two columns per key; 0 when either is constant.
+def spearman_squared(rows: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+    """Squared rank correlation of each column with the target: ``keys, column, rho2``; 0 when either is constant.
 
-    Rows are first collapsed to distinct (x, y) pairs, so a heavily repeated value is
-    one row before any join.
+    All columns are ranked in one pass. Rows are collapsed to distinct value pairs
+    before any join, so a heavily repeated pair is one row.
     """
     keys = list(keys)
-    pairs = rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("c"))
-    rx = settle(average_ranks(rows.select(*keys, F.col(x).alias("_x")), "_x", keys).withColumnRenamed("rank", "rx"), "rx")
-    ry = settle(average_ranks(rows.select(*keys, F.col(y).alias("_y")), "_y", keys).withColumnRenamed("rank", "ry"), "ry")
-    ranked = attach(attach(pairs, rx, keys + ["_x"], spread=["_y"]), ry, keys + ["_y"], spread=["_x"])
-    # Ranks average to (n + 1) / 2, so centring with the known mean keeps one pass.
-    size = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "n")
-    centred = (
-        attach(ranked, size, keys, spread=["_x", "_y"])
-        .withColumn("dx", F.col("rx") - (F.col("n") + 1) / 2.0)
-        .withColumn("dy", F.col("ry") - (F.col("n") + 1) / 2.0)
-    )
-    sums = centred.groupBy(*keys).agg(
-        F.sum(F.col("c") * F.col("dx") * F.col("dy")).alias("sxy"),
-        F.sum(F.col("c") * F.col("dx") * F.col("dx")).alias("sxx"),
-        F.sum(F.col("c") * F.col("dy") * F.col("dy")).alias("syy"),
+
+    def long(names: Sequence[str]) -> Column:
+        return F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in names
+        ]))
+
+    ranks = settle(average_ranks(rows.select(*keys, long([*columns, target])), "x", [*keys, "column"]), "ranks")
+    pairs = rows.select(*keys, F.col(target).cast("double").alias("y"), long(columns)).groupBy(
+        *keys, "column", "x", "y"
+    ).agg(F.count(F.lit(1)).alias("c"))
+    of_target = ranks.df.where(F.col("column") == target).select(*keys, F.col("x").alias("y"), F.col("rank").alias("ry"))
+    ranked = attach(pairs, ranks, [*keys, "column", "x"], spread=["y"]).withColumnRenamed("rank", "rx")
+    ranked = attach(ranked, KeyTable(of_target, ranks.rows), [*keys, "y"], spread=["column", "x"])
+    c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
+    sums = ranked.groupBy(*keys, "column").agg(
+        F.sum(c).alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"),
+        F.sum(c * rx * ry).alias("sxy"), F.sum(c * rx * rx).alias("sxx"), F.sum(c * ry * ry).alias("syy"),
+        F.min(rx).alias("x0"), F.max(rx).alias("x1"), F.min(ry).alias("y0"), F.max(ry).alias("y1"),
     )
-    flat = (F.col("sxx") == 0) | (F.col("syy") == 0)
-    return sums.select(
-        *keys,
-        F.when(flat, F.lit(0.0)).otherwise(
-            F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))
-        ).alias("rho2"),
+    n = F.col("n")
+
+    def spread_of(both: str, p: str, q: str) -> Column:
+        return F.col(both) / n - F.col(p) / n * (F.col(q) / n)
+
+    rho2 = F.try_divide(
+        F.pow(spread_of("sxy", "sx", "sy"), 2), spread_of("sxx", "sx", "sx") * spread_of("syy", "sy", "sy")
     )
+    flat = (F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1"))
+    return sums.select(*keys, "column", F.when(flat, F.lit(0.0)).otherwise(rho2).alias("rho2"))

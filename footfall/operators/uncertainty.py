@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from footfall.functions import constants as K
 from footfall.functions.text import fill, fixed, sci
 from footfall.operators.clamped import nosing_by_plane, nosing_ratio, volume_by_plane
-from footfall.operators.keyed import KeyTable, attach, settle
+from footfall.operators.keyed import KeyTable, attach
+from footfall.operators.quantiles import sorted_quantile
 from footfall.session import materialize
 
 HYPOTHESES = "array<struct<scale:double,prob:double,label:string>>"
@@ -138,17 +139,40 @@ def prob_ascent(ratio: Column, threshold: Column, slope: Column) -> Column:
 QUANTILES = (0.5, 0.25, 0.75, 0.025, 0.975)
 
 
-def distribution(col: str | Column) -> Column:
-    """mean, median, population std, central 50 % and 95 % intervals of a bounded sample set.
+def sample_quantiles(ordered: Column) -> Column:
+    """Quantiles of an ascending array of one mesh's samples; one NaN sample makes all of them NaN."""
+    spoiled = F.isnan(F.get(ordered, F.size(ordered) - 1))
+    return F.array(*[
+        F.when(spoiled, F.lit(float("nan"))).otherwise(sorted_quantile(ordered, p)) for p in QUANTILES
+    ])
+
+
+def distributions(samples: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One distribution struct per column and mesh; a mesh holds a bounded number of samples."""
+    long = samples.select("mesh_id", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns
+    ])))
+    grouped = long.groupBy("mesh_id", "metric").agg(
+        F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.sort_array(F.collect_list("v")).alias("o")
+    )
+    summed = grouped.select("mesh_id", "metric", "m", "s", sample_quantiles(F.col("o")).alias("q")).select(
+        "mesh_id", "metric", distribution_of(F.col("m"), F.col("s"), F.col("q")).alias("dist")
+    )
+    return summed.groupBy("mesh_id").agg(*[
+        F.first(F.when(F.col("metric") == c, F.col("dist")), ignorenulls=True).alias(c) for c in columns
+    ])
 
-    One NaN sample makes every figure NaN.
-    """
-    col = F.col(col) if isinstance(col, str) else col
-    q = F.percentile(col, F.array(*[F.lit(p) for p in QUANTILES]))
-    spoiled = F.max(F.isnan(col))
-    nan = F.lit(float("nan"))
-    q = F.when(spoiled, F.array_repeat(nan, len(QUANTILES))).otherwise(q)
-    return distribution_of(F.avg(col), F.stddev_pop(col), q)
+
+def scaled_distribution(dist: str, divisor: float) -> Column:
+    """The distribution of the samples over a positive constant."""
+    d = F.col(dist)
+
+    def pair(name: str) -> Column:
+        return F.struct((d[name]["lo"] / divisor).alias("lo"), (d[name]["hi"] / divisor).alias("hi"))
+
+    return F.struct(
+        *[(d[k] / divisor).alias(k) for k in ("mean", "median", "std")], pair("ci_50").alias("ci_50"), pair("ci_95").alias("ci_95")
+    )
 
 
 def distribution_of(mean: Column, std: Column, q: Column) -> Column:
@@ -261,15 +285,12 @@ METRICS = ("volume", "max_depth", "mean_depth", "prob_ascent", "nosing_ratio", "
 
 def summarize(samples: DataFrame, widths: DataFrame, quality: DataFrame, n: int, seed: int) -> DataFrame:
     """Complete result row per mesh. ``widths``: mesh_id, width; ``quality``: mesh_id, weak_fit."""
-    samples = materialize(samples.withColumn("total_steps", F.col("traffic")), "samples")
-    dists = [distribution(c).alias(c) for c in METRICS]
-    dists += [
-        distribution(F.col("total_steps") / float(y * K.DAYS_PER_YEAR)).alias(f"daily_{y}y") for y in K.HORIZONS_YEARS
-    ]
-    base = samples.groupBy("mesh_id").agg(
-        *dists, F.median("nosing_ratio").alias("_r"), F.median(1 / (F.col("nosing_ratio") + 1e-10)).alias("_f"),
-        F.avg("scale").alias("_sm"), F.stddev_pop("scale").alias("_ss"),
-    )
+    samples = materialize(samples.withColumns({
+        "total_steps": F.col("traffic"), "flipped": 1 / (F.col("nosing_ratio") + 1e-10)
+    }), "samples")
+    base = distributions(samples, [*METRICS, "flipped", "scale"]).withColumns({
+        f"daily_{y}y": scaled_distribution("total_steps", float(y * K.DAYS_PER_YEAR)) for y in K.HORIZONS_YEARS
+    })
     posterior = hypothesis_shares(samples).groupBy("mesh_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("hypothesis", "share")))).alias("scale_hypothesis_posterior"),
         F.count_if(F.col("share") > 0.1).alias("_likely"),
@@ -280,9 +301,11 @@ def summarize(samples: DataFrame, widths: DataFrame, quality: DataFrame, n: int,
     )
     p = F.col("prob_ascent")
     return joined.withColumns({
-        "scale_ambiguous": scale_ambiguous(F.col("_sm") * F.col("width"), F.col("_ss") * F.col("width"), F.col("_likely")),
-        "axis_ambiguous": axis_ambiguous(F.col("_r"), F.col("_f")),
+        "scale_ambiguous": scale_ambiguous(
+            F.col("scale.mean") * F.col("width"), F.col("scale.std") * F.col("width"), F.col("_likely")
+        ),
+        "axis_ambiguous": axis_ambiguous(F.col("nosing_ratio.median"), F.col("flipped.median")),
         "classification": direction_label(p["median"], p["ci_95"]["lo"], p["ci_95"]["hi"]),
         "simple_classification": direction_class(p["ci_95"]["lo"], p["ci_95"]["hi"]),
         "n_samples": F.lit(n), "seed": F.lit(seed),
-    }).drop("_r", "_f", "_sm", "_ss", "_likely", "width")
+    }).drop("flipped", "scale", "_likely", "width")

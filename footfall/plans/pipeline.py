@@ -75,8 +75,7 @@ class Surface:
         return self.fits[key]
 
     def segmented(self, angle: float, roi) -> DataFrame:
-        largest = self.frame.df.agg(F.max("n_faces")).first()[0]
-        return M.segment_tread(self.oriented, angle, roi, largest)
+        return M.segment_tread(self.oriented, angle, roi, self.frame.seen["most_faces"])
 
 
     def scale_rows(self) -> DataFrame:
