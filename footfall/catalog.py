@@ -397,7 +397,7 @@ def _(spark, sf):
     mesh = surfaces(spark, sf)
     frame = plain_frame(mesh)
     pts = points_of(mesh, frame)
-    support, planes = P.bootstrap_support(pts, frame, P.fit_planes(pts, frame), K.RANSAC_THRESH_MM)
+    support, planes = P.bootstrap_support(pts, frame, P.fit_planes(pts, frame))
     return P.bootstrap_planes(support, planes, K.MC_SAMPLES)[0]
 
 

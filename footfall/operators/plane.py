@@ -201,29 +201,39 @@ def _fallback(points: DataFrame, frame_table: KeyTable, best: KeyTable, counts:
     )
 
 
-def bootstrap_support(points: DataFrame, frame_table: KeyTable, fit: PlaneFit, thresh_mm: float) -> tuple[DataFrame, KeyTable]:
-    """Points to resample and the plane row of each mesh, following the refit rules.
-
-    Meshes whose fit fell back are fitted again with default settings; if that fails as
-    well, every vertex of the mesh counts as an inlier.
+def bootstrap_support(
+    points: DataFrame, frame_table: KeyTable, fit: PlaneFit,
+    iters: int = K.RANSAC_ITERS, thresh_mm: float = K.RANSAC_THRESH_MM,
+) -> tuple[DataFrame, KeyTable]:
+    """Points to resample and the plane row of each mesh.
+
+    ``iters`` and ``thresh_mm`` are those of ``fit``. Meshes whose fit fell back are
+    fitted again with default settings (a fit that already used them is not repeated:
+    its draws would be the same). Where that fails too, every vertex is an inlier.
     """
-    good = KeyTable(fit.plane.df.where(F.col("method") == "RANSAC"), fit.plane.rows)
-    first = inlier_points(fit.candidates, good, thresh_mm / 1000.0).select("mesh_id", "vid", "w", "d", "u")
-    base = good.df.withColumn("pool", F.col("candidates_used"))
+    columns = ("mesh_id", "vid", "w", "d", "u")
+
+    def split(f: PlaneFit) -> tuple[KeyTable, KeyTable]:
+        ok = F.col("method") == "RANSAC"
+        return KeyTable(f.plane.df.where(ok), f.plane.rows), KeyTable(f.plane.df.where(~ok), f.plane.rows)
+
+    good, bad = split(fit)
+    support = inlier_points(fit.candidates, good, thresh_mm / 1000.0).select(*columns)
+    rows = good.df.withColumn("pool", F.col("candidates_used"))
     if fit.plane.seen["fallbacks"] == 0:
-        return first, KeyTable(base, good.rows)
-    bad = settle(fit.plane.df.where(F.col("method") != "RANSAC").select("mesh_id"), "weak")
-    again_points = attach(points, bad, spread=["vid"])
-    again_frame = settle(frame_table.df.join(bad.df, "mesh_id", "left_semi"), "frame", most_vertices=F.max("n_vertices"))
-    again = fit_planes(again_points, again_frame)
-    ok = KeyTable(again.plane.df.where(F.col("method") == "RANSAC"), again.plane.rows)
-    lost = KeyTable(again.plane.df.where(F.col("method") != "RANSAC"), again.plane.rows)
-    second = inlier_points(again.candidates, ok, K.RANSAC_THRESH_MM / 1000.0).select("mesh_id", "vid", "w", "d", "u")
-    whole = attach(points, KeyTable(lost.df.select("mesh_id"), lost.rows), spread=["vid"]).select("mesh_id", "vid", "w", "d", "u")
-    rows = base.unionByName(ok.df.withColumn("pool", F.col("candidates_used"))).unionByName(
-        lost.df.join(frame_table.df.select("mesh_id", F.col("n_vertices").alias("pool")), "mesh_id")
-    )
-    return first.unionByName(second).unionByName(whole), settle(rows, "support")
+        return support, KeyTable(rows, good.rows)
+    if (iters, thresh_mm) != (K.RANSAC_ITERS, K.RANSAC_THRESH_MM):
+        weak = settle(bad.df.select("mesh_id"), "weak")
+        weak_frame = settle(frame_table.df.join(weak.df, "mesh_id", "left_semi"), "frame", most_vertices=F.max("n_vertices"))
+        again = fit_planes(attach(points, weak, spread=["vid"]), weak_frame)
+        better, bad = split(again)
+        support = support.unionByName(
+            inlier_points(again.candidates, better, K.RANSAC_THRESH_MM / 1000.0).select(*columns)
+        )
+        rows = rows.unionByName(better.df.withColumn("pool", F.col("candidates_used")))
+    whole = attach(points, KeyTable(bad.df.select("mesh_id"), bad.rows), spread=["vid"]).select(*columns)
+    rows = rows.unionByName(bad.df.join(frame_table.df.select("mesh_id", F.col("n_vertices").alias("pool")), "mesh_id"))
+    return support.unionByName(whole), KeyTable(rows, frame_table.rows)
 
 
 def _block_draws(n: int, block: int, size: int, reps: int, seed: int) -> np.ndarray:

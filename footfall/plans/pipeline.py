@@ -175,7 +175,7 @@ def propagate(
     """Uncertainty of a prepared surface: one result row per mesh, or its samples."""
     c = surface.config
     fit = surface.fit(c.ransac_iters, c.ransac_thresh_mm)
-    support, planes = P.bootstrap_support(surface.points, surface.frame, fit, c.ransac_thresh_mm)
+    support, planes = P.bootstrap_support(surface.points, surface.frame, fit, c.ransac_iters, c.ransac_thresh_mm)
     plane_samples, quality = P.bootstrap_planes(support, planes, n, seed)
     plane_samples, quality = materialize(plane_samples, "bootstrap"), materialize(quality, "quality")
     widths = surface.frame.df.select("mesh_id", (F.col("w_max") - F.col("w_min")).alias("width"))
