@@ -130,9 +130,9 @@ def faces_of(mesh: M.Mesh, frame: KeyTable) -> DataFrame:
 
 def level_plane(frame: KeyTable) -> KeyTable:
     """Fixed plane u = w/1024 - d/512 + 1/1024 for every mesh."""
-    return KeyTable(frame.df.select(
+    return frame.of(frame.df.select(
         "mesh_id", F.lit(1 / 1024).alias("a"), F.lit(-1 / 512).alias("b"), F.lit(1 / 1024).alias("c")
-    ), frame.rows)
+    ))
 
 
 def shipments(spark: SparkSession, sf: str) -> tuple[DataFrame, KeyTable]:

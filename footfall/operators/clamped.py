@@ -30,7 +30,7 @@ def centred_planes(params: DataFrame, frame_table: KeyTable) -> DataFrame:
         ((F.col(f"{x}_min") + F.col(f"{x}_max")) / 2.0).alias(f"m{x}") for x in ("w", "d", "u")
     ])
     moved = F.col("c") + F.col("a") * F.col("mw") + F.col("b") * F.col("md") - F.col("s") * F.col("mu")
-    return attach(params, KeyTable(mid, frame_table.rows), spread=["pid"]).withColumn("c", moved).select(
+    return attach(params, frame_table.of(mid), spread=["pid"]).withColumn("c", moved).select(
         "mesh_id", "pid", "a", "b", "c", "s"
     )
 
@@ -44,7 +44,7 @@ def plane_box(planes: DataFrame, frame_table: KeyTable) -> KeyTable:
     mid = frame_table.df.select("mesh_id", *[
         ((F.col(f"{x}_min") + F.col(f"{x}_max")) / 2.0).alias(f"m{x}") for x in ("w", "d", "u")
     ])
-    return settle(planes.groupBy("mesh_id").agg(*parts).join(mid, "mesh_id"), "box")
+    return settle(planes.groupBy("mesh_id").agg(*parts).join(mid, "mesh_id"), "box", frame_table)
 
 
 def _bounds(w: Column, d: Column, u: Column) -> tuple[Column, Column]:
@@ -58,7 +58,7 @@ def _bounds(w: Column, d: Column, u: Column) -> tuple[Column, Column]:
 def _evaluate(rows: DataFrame, id_col: str, planes: DataFrame, score, out: str, size: int) -> DataFrame:
     """Run ``score(key, rows, planes)`` for bounded blocks of rows against the mesh's planes."""
     rows = materialize(rows, "cut")
-    counts = settle(rows.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")), "cutn")
+    counts = settle(rows.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")), "cutn").with_hot("n")
     numbered = attach(rows, counts, spread=[id_col]).withColumn(
         "block", F.pmod(F.xxhash64(id_col), block_count(size=size))
     ).drop("n")
@@ -104,10 +104,10 @@ def volume_by_plane(tread: DataFrame, params: DataFrame, frame_table: KeyTable,
             *sums, F.count_if(F.col("settled") & (top_lo > 0)).alias("cnt"),
             F.greatest(F.lit(0.0), F.max(top_lo)).alias("floor"),
         ),
-        "linear",
+        "linear", frame_table,
     )
     # A triangle can hold the maximum only if its upper bound reaches the best lower bound.
-    floor = KeyTable(linear.df.select("mesh_id", "floor"), linear.rows)
+    floor = linear.of(linear.df.select("mesh_id", "floor"))
     cut = attach(rows, floor, spread=["fid"]).where(~F.col("settled") | (top_hi >= F.col("floor"))).select(
         "mesh_id", "fid", "settled", "area", *[f"{x}{k}" for k in range(3) for x in ("w", "d", "u")]
     )
@@ -139,7 +139,7 @@ def volume_by_plane(tread: DataFrame, params: DataFrame, frame_table: KeyTable,
         F.sum("vol").alias("vol"), F.sum("dep").alias("dep"), F.max("top").alias("top"), F.sum("cnt2").alias("cnt2")
     )
     shift = box.df.select("mesh_id", "a0", "b0", "c0").join(linear.df, "mesh_id", "left").fillna(0)
-    joined = attach(planes, KeyTable(shift, box.rows), spread=["pid"]).join(direct, ["mesh_id", "pid"], "left").fillna(0)
+    joined = attach(planes, box.of(shift), spread=["pid"]).join(direct, ["mesh_id", "pid"], "left").fillna(0)
 
     def at_plane(tag: str) -> Column:
         return (
@@ -159,7 +159,7 @@ def nosing_by_plane(points: DataFrame, params: DataFrame, frame_table: KeyTable,
     planes = materialize(centred_planes(params, frame_table), "planes")
     box = plane_box(planes, frame_table)
     edges = frame_table.df.select("mesh_id", "d_min", "d_max").join(box.df, "mesh_id")
-    rows = attach(points, KeyTable(edges, box.rows), spread=["vid"])
+    rows = attach(points, box.of(edges), spread=["vid"])
     reach = F.col("d_max") - F.col("d_min")
     front = F.col("d") < F.col("d_min") + 0.25 * reach
     centre = F.col("d").between(F.col("d_min") + 0.25 * reach, F.col("d_max") - 0.25 * reach)
@@ -195,7 +195,7 @@ def nosing_by_plane(points: DataFrame, params: DataFrame, frame_table: KeyTable,
         "mesh_id", "pid"
     ).agg(F.sum("f2").alias("f2"), F.sum("m2").alias("m2"))
     shift = box.df.select("mesh_id", "a0", "b0", "c0", "s0").join(linear.df, "mesh_id", "left").fillna(0)
-    joined = attach(planes, KeyTable(shift, box.rows), spread=["pid"]).join(direct, ["mesh_id", "pid"], "left").fillna(0)
+    joined = attach(planes, box.of(shift), spread=["pid"]).join(direct, ["mesh_id", "pid"], "left").fillna(0)
 
     def mean(tag: str) -> Column:
         total = (

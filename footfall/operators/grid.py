@@ -35,7 +35,7 @@ def surface_heights(points: DataFrame, extents: KeyTable, g: int, spread: Sequen
 
     ``extents`` has w_min, w_max, d_min, d_max. i runs along depth, j along width.
     """
-    box = KeyTable(extents.df.select("mesh_id", "w_min", "w_max", "d_min", "d_max"), extents.rows)
+    box = extents.of(extents.df.select("mesh_id", "w_min", "w_max", "d_min", "d_max"))
     placed = attach(points.select("mesh_id", "w", "d", "u"), box, spread=list(spread))
     near = _near_nodes(_near_nodes(placed, "w", "j", g), "d", "i", g)
     return near.groupBy("mesh_id", "i", "j").agg(F.max("u").alias("u_top"))
@@ -43,11 +43,10 @@ def surface_heights(points: DataFrame, extents: KeyTable, g: int, spread: Sequen
 
 def depth_cells(points: DataFrame, extents: KeyTable, plane: KeyTable, g: int = K.GRID) -> DataFrame:
     """Wear depth below the plane at grid nodes: (mesh_id, i, j, y, x, depth_mm), positive cells only."""
-    setting = KeyTable(
+    setting = extents.of(
         extents.df.select("mesh_id", "w_min", "w_max", "d_min", "d_max").join(
             plane.df.select("mesh_id", "a", "b", "c"), "mesh_id"
-        ),
-        extents.rows,
+        )
     )
     cells = attach(surface_heights(points, extents, g), setting, spread=["i", "j"])
     x = node(F.col("w_min"), F.col("w_max"), F.col("j"), g)
@@ -58,7 +57,7 @@ def depth_cells(points: DataFrame, extents: KeyTable, plane: KeyTable, g: int =
 
 def legacy_reference(points: DataFrame, extents: KeyTable) -> DataFrame:
     """Unworn height per mesh: 95th percentile of the outer width strips, else the top height."""
-    box = KeyTable(extents.df.select("mesh_id", "w_min", "w_max"), extents.rows)
+    box = extents.of(extents.df.select("mesh_id", "w_min", "w_max"))
     lo, hi = F.col("w_min"), F.col("w_max")
     margin = F.lit(K.BORDER) * (hi - lo)
     edge = attach(points, box, spread=["w", "d"]).where((F.col("w") < lo + margin) | (F.col("w") > hi - margin))
@@ -71,9 +70,7 @@ def legacy_reference(points: DataFrame, extents: KeyTable) -> DataFrame:
 def legacy_cells(points: DataFrame, extents: KeyTable, g: int = K.GRID) -> tuple[DataFrame, KeyTable]:
     """Level-reference depth grid: sparse cells and the reference heights."""
     ref = settle(legacy_reference(points, extents), "legacy")
-    setting = KeyTable(
-        extents.df.select("mesh_id", "w_min", "w_max", "d_min", "d_max").join(ref.df, "mesh_id"), extents.rows
-    )
+    setting = extents.of(extents.df.select("mesh_id", "w_min", "w_max", "d_min", "d_max").join(ref.df, "mesh_id"))
     cells = attach(surface_heights(points, extents, g), setting, spread=["i", "j"])
     deep = F.greatest(F.lit(0.0), F.col("reference_height") - F.col("u_top"))
     out = cells.select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 from footfall.session import materialize
 
 BROADCAST_BYTES = 64 << 20   # proven bound for a broadcast side
-SALTS = 64                   # copies of a key table when it is too large to broadcast
+HOT_ROWS = 20_000_000        # a key with more rows is cut into parts before a shuffled join
 SPAN = 1 << 17               # ids per numbering span; bounds every window below
 BLOCK = 1 << 17              # rows handed to one vectorised task group
 
@@ -27,24 +27,44 @@ def _width(kind: T.DataType) -> int:
 
 @dataclass(frozen=True)
 class KeyTable:
-    """A written table with one row per key, its row count and observed figures."""
+    """A table with one row per key, its known row count and observed figures.
+
+    ``hot`` lists keys known to hold very many rows, with the number of parts (``_parts``)
+    their rows should be cut into.
+    """
 
     df: DataFrame
     rows: int
     seen: dict = field(default_factory=dict)
+    hot: "KeyTable | None" = None
 
     @property
     def bytes(self) -> int:
         return self.rows * _width(self.df.schema)
 
+    def of(self, df: DataFrame) -> "KeyTable":
+        """The same keys with other columns."""
+        return KeyTable(df, self.rows, self.seen, self.hot)
+
+    def with_hot(self, size: str, keys: Sequence[str] = MESH, limit: int = BROADCAST_BYTES, most: int = HOT_ROWS) -> "KeyTable":
+        """Note the keys whose ``size`` column exceeds ``most``; needless while the table can be broadcast."""
+        if self.bytes <= limit:
+            return self
+        parts = F.ceil(F.col(size) / F.lit(most)).cast("int").alias("_parts")
+        hot = settle(self.df.where(F.col(size) > most).select(*keys, parts), "hot")
+        return KeyTable(self.df, self.rows, self.seen, hot)
 
-def settle(df: DataFrame, label: str = "keys", **figures: Column) -> KeyTable:
-    """Write a key table; its row count and ``figures`` are observed by the same job."""
+
+def settle(df: DataFrame, label: str = "keys", like: KeyTable | None = None, **figures: Column) -> KeyTable:
+    """Write a key table; its row count and ``figures`` are observed by the same job.
+
+    ``like`` is a table with the same keys whose hot keys are hot here as well.
+    """
     watch = Observation()
     counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()])
     written = materialize(counted, label)
     seen = watch.get
-    return KeyTable(written, seen["rows"], seen)
+    return KeyTable(written, seen["rows"], seen, like.hot if like else None)
 
 
 def attach(
@@ -57,17 +77,22 @@ def attach(
 ) -> DataFrame:
     """Join ``rows`` with ``table``.
 
-    The table is broadcast when its size is proven to be within ``limit``. Beyond
-    that each key is cut into ``SALTS`` sub-keys (rows by a hash of ``spread``, the
-    key table by copies) so that one hot key never lands in a single task.
+    The table is broadcast when its size is proven to be within ``limit``. Beyond that
+    both sides are shuffled; a key known to be hot is cut into parts (its rows by a hash
+    of ``spread``, its table row by copies), all other keys stay whole. Hot keys nobody
+    knew of are left to the run-time skew join.
     """
     on = list(on)
     if table.bytes <= limit:
         return rows.join(F.broadcast(table.df), on, how)
+    if table.hot is None or table.hot.rows == 0 or table.hot.bytes > BROADCAST_BYTES:
+        return rows.join(table.df, on, how)
     spread = list(spread or [c for c in rows.columns if c not in on] or on)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = table.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, on + ["_salt"], how).drop("_salt")
+    hot = F.broadcast(table.hot.df)
+    parts = F.coalesce("_parts", F.lit(1))
+    cut = rows.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+    copies = table.df.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.drop("_parts").join(copies.drop("_parts"), on + ["_part"], how).drop("_part")
 
 
 def with_ordinals(rows: DataFrame, id_col: str, keys: Sequence[str] = MESH, name: str = "ord") -> DataFrame:

@@ -109,11 +109,11 @@ def frame(roles: DataFrame) -> KeyTable:
             "mesh_id", "n_vertices", "n_faces", "width_axis", "depth_axis", "up_axis", *extents
         ),
         "frame", most_vertices=F.max("n_vertices"), most_faces=F.max("n_faces"),
-    )
+    ).with_hot("n_vertices")
 
 
 def roles_of(frame_table: KeyTable) -> KeyTable:
-    return KeyTable(frame_table.df.select("mesh_id", "width_axis", "depth_axis", "up_axis"), frame_table.rows)
+    return frame_table.of(frame_table.df.select("mesh_id", "width_axis", "depth_axis", "up_axis"))
 
 
 def oriented_points(vertices: DataFrame, frame_table: KeyTable) -> DataFrame:
@@ -161,12 +161,12 @@ def segment_tread(
 ) -> DataFrame:
     """Oriented triangles plus ``is_tread``: near-horizontal and inside the centroid window."""
     tilted = with_tilt(tris)
-    window = settle(roi_window(tilted, roi, largest=largest).drop("n"), "roi")
+    window = settle(roi_window(tilted, roi, largest=largest), "roi")
     inside = F.col("cw").between(F.col("w_lo"), F.col("w_hi")) & F.col("cd").between(F.col("d_lo"), F.col("d_hi"))
     return (
-        attach(tilted, window, spread=["fid"])
+        attach(tilted, window.with_hot("n"), spread=["fid"])
         .withColumn("is_tread", (F.col("tilt") < angle_deg) & inside)
-        .drop("w_lo", "w_hi", "d_lo", "d_hi")
+        .drop("w_lo", "w_hi", "d_lo", "d_hi", "n")
     )
 
 

@@ -29,7 +29,7 @@ class PlaneFit:
 
 def border_points(points: DataFrame, frame_table: KeyTable) -> DataFrame:
     """Points in the outer strips along width or depth (union, strict bounds)."""
-    edges = KeyTable(frame_table.df.select("mesh_id", "w_min", "w_max", "d_min", "d_max"), frame_table.rows)
+    edges = frame_table.of(frame_table.df.select("mesh_id", "w_min", "w_max", "d_min", "d_max"))
 
     def outer(axis: str) -> F.Column:
         lo, hi = F.col(f"{axis}_min"), F.col(f"{axis}_max")
@@ -46,7 +46,7 @@ def plane_candidates(points: DataFrame, frame_table: KeyTable) -> DataFrame:
         exact_quantiles(strip, "u", [K.TOP_QUANTILE], largest=frame_table.seen.get("most_vertices")).select(
             "mesh_id", F.when(F.col("n") > K.TOP_QUANTILE_ABOVE, F.col("q")[0]).alias("u_floor")
         ),
-        "floor",
+        "floor", frame_table,
     )
     return attach(strip, high, spread=["vid"]).where(
         F.col("u_floor").isNull() | (F.col("u") >= F.col("u_floor"))
@@ -82,7 +82,7 @@ def solve_triples(triples: DataFrame, numbered: DataFrame) -> DataFrame:
 def _spread_planes(planes: DataFrame, counts: KeyTable, size: int) -> DataFrame:
     """One copy of a mesh's planes per block of its rows."""
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), block_count(size=size) - 1))
-    return attach(planes, KeyTable(counts.df.select("mesh_id", "n"), counts.rows), spread=["it"]).select(
+    return attach(planes, counts.of(counts.df.select("mesh_id", "n")), spread=["it"]).select(
         *planes.columns, blocks.alias("block")
     )
 
@@ -126,7 +126,7 @@ def best_plane(scored: DataFrame, planes: DataFrame) -> DataFrame:
 
 def inlier_points(candidates: DataFrame, best: KeyTable, thresh_m: float) -> DataFrame:
     gap = G.plane_height(F.col("ha"), F.col("hb"), F.col("hc"), F.col("w"), F.col("d")) - F.col("u")
-    hyp = KeyTable(best.df.select("mesh_id", "ha", "hb", "hc"), best.rows)
+    hyp = best.of(best.df.select("mesh_id", "ha", "hb", "hc"))
     return attach(candidates, hyp, spread=["vid"]).where(F.abs(gap) < thresh_m).drop("ha", "hb", "hc")
 
 
@@ -138,7 +138,7 @@ def ols_planes(points: DataFrame, keys=("mesh_id",)) -> DataFrame:
 
 def rms_mm(points: DataFrame, planes: KeyTable) -> DataFrame:
     gap = G.plane_height(F.col("a"), F.col("b"), F.col("c"), F.col("w"), F.col("d")) - F.col("u")
-    only = KeyTable(planes.df.select("mesh_id", "a", "b", "c"), planes.rows)
+    only = planes.of(planes.df.select("mesh_id", "a", "b", "c"))
     return attach(points, only, spread=["vid"]).groupBy("mesh_id").agg(
         (F.sqrt(F.avg(gap * gap)) * 1000.0).alias("rms_error_mm")
     )
@@ -158,8 +158,8 @@ def fit_planes(
     """
     thresh_m = thresh_mm / 1000.0
     numbered = materialize(with_ordinals(plane_candidates(points, frame_table), "vid"), "candidates")
-    counts = settle(numbered.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")), "ccount")
-    enough = KeyTable(counts.df.where(F.col("n") >= K.MIN_SUPPORT), counts.rows)
+    counts = settle(numbered.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")), "ccount", frame_table)
+    enough = counts.of(counts.df.where(F.col("n") >= K.MIN_SUPPORT))
 
     planes = materialize(solve_triples(draw_triples(enough.df, iters), numbered), "hypotheses")
     scored = inlier_counts(numbered, planes, enough, thresh_m, block)
@@ -167,10 +167,10 @@ def fit_planes(
         best_plane(scored, planes)
         .where(F.col("inliers") >= K.MIN_SUPPORT)
         .withColumnsRenamed({"a": "ha", "b": "hb", "c": "hc"}),
-        "best",
+        "best", frame_table,
     )
     inliers = inlier_points(numbered, best, thresh_m)
-    refit = settle(ols_planes(inliers).drop("n"), "refit")
+    refit = settle(ols_planes(inliers).drop("n"), "refit", frame_table)
     fitted = (
         best.df.join(refit.df, "mesh_id")
         .join(rms_mm(inliers, refit), "mesh_id")
@@ -183,12 +183,12 @@ def fit_planes(
     )
     if best.rows < frame_table.rows:
         fitted = fitted.unionByName(_fallback(points, frame_table, best, counts))
-    return PlaneFit(settle(fitted, "plane", fallbacks=F.count_if(F.col("method") != "RANSAC")), numbered)
+    return PlaneFit(settle(fitted, "plane", frame_table, fallbacks=F.count_if(F.col("method") != "RANSAC")), numbered)
 
 
 def _fallback(points: DataFrame, frame_table: KeyTable, best: KeyTable, counts: KeyTable) -> DataFrame:
     """Level plane at the median height for meshes without a supported fit."""
-    open_meshes = settle(frame_table.df.select("mesh_id").join(best.df.select("mesh_id"), "mesh_id", "left_anti"), "open")
+    open_meshes = settle(frame_table.df.select("mesh_id").join(best.df.select("mesh_id"), "mesh_id", "left_anti"), "open", frame_table)
     level = exact_quantiles(
         attach(points, open_meshes, spread=["vid"]), "u", [0.5], largest=frame_table.seen.get("most_vertices")
     )
@@ -215,25 +215,25 @@ def bootstrap_support(
 
     def split(f: PlaneFit) -> tuple[KeyTable, KeyTable]:
         ok = F.col("method") == "RANSAC"
-        return KeyTable(f.plane.df.where(ok), f.plane.rows), KeyTable(f.plane.df.where(~ok), f.plane.rows)
+        return f.plane.of(f.plane.df.where(ok)), f.plane.of(f.plane.df.where(~ok))
 
     good, bad = split(fit)
     support = inlier_points(fit.candidates, good, thresh_mm / 1000.0).select(*columns)
     rows = good.df.withColumn("pool", F.col("candidates_used"))
     if fit.plane.seen["fallbacks"] == 0:
-        return support, KeyTable(rows, good.rows)
+        return support, good.of(rows)
     if (iters, thresh_mm) != (K.RANSAC_ITERS, K.RANSAC_THRESH_MM):
-        weak = settle(bad.df.select("mesh_id"), "weak")
-        weak_frame = settle(frame_table.df.join(weak.df, "mesh_id", "left_semi"), "frame", most_vertices=F.max("n_vertices"))
+        weak = settle(bad.df.select("mesh_id"), "weak", frame_table)
+        weak_frame = settle(frame_table.df.join(weak.df, "mesh_id", "left_semi"), "frame", frame_table, most_vertices=F.max("n_vertices"))
         again = fit_planes(attach(points, weak, spread=["vid"]), weak_frame)
         better, bad = split(again)
         support = support.unionByName(
             inlier_points(again.candidates, better, K.RANSAC_THRESH_MM / 1000.0).select(*columns)
         )
         rows = rows.unionByName(better.df.withColumn("pool", F.col("candidates_used")))
-    whole = attach(points, KeyTable(bad.df.select("mesh_id"), bad.rows), spread=["vid"]).select(*columns)
+    whole = attach(points, bad.of(bad.df.select("mesh_id")), spread=["vid"]).select(*columns)
     rows = rows.unionByName(bad.df.join(frame_table.df.select("mesh_id", F.col("n_vertices").alias("pool")), "mesh_id"))
-    return support.unionByName(whole), KeyTable(rows, frame_table.rows)
+    return support.unionByName(whole), frame_table.of(rows)
 
 
 def _block_draws(n: int, block: int, size: int, reps: int, seed: int) -> np.ndarray:
@@ -270,12 +270,12 @@ def bootstrap_planes(
         numbered.groupBy("mesh_id").agg(
             F.count(F.lit(1)).alias("n"), F.avg("w").alias("ow"), F.avg("d").alias("od"), F.avg("u").alias("ou")
         ),
-        "instats",
+        "instats", planes,
     )
     row = settle(
-        planes.df.select("mesh_id", "a", "b", "c", "pool").join(stats.df, "mesh_id", "left").fillna({"n": 0}), "inrow"
+        planes.df.select("mesh_id", "a", "b", "c", "pool").join(stats.df, "mesh_id", "left").fillna({"n": 0}), "inrow", planes
     )
-    enough = KeyTable(row.df.where(F.col("n") >= K.MIN_SUPPORT).select("mesh_id", "n", "ow", "od", "ou"), row.rows)
+    enough = row.of(row.df.where(F.col("n") >= K.MIN_SUPPORT).select("mesh_id", "n", "ow", "od", "ou"))
 
     def resample(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         block, n = int(key[1]), int(pdf["n"].iloc[0])
@@ -317,7 +317,7 @@ def bootstrap_planes(
     )
     sparse = row.df.where(F.col("n") < K.MIN_SUPPORT)
     samples = fitted.unionByName(_noisy_planes(sparse, reps, seed))
-    kept = attach(numbered, KeyTable(enough.df.select("mesh_id"), row.rows), spread=["vid"])
+    kept = attach(numbered, enough.of(enough.df.select("mesh_id")), spread=["vid"])
     rms = rms_mm(kept, row)
     quality = row.df.join(rms, "mesh_id", "left").select(
         "mesh_id", F.col("n").alias("candidates_used"),

@@ -129,7 +129,7 @@ def _narrow_once(rows: DataFrame, table, keys: list[str], id_cols: list[str]) ->
 
 
 def average_ranks(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Distinct values per key with their tie-averaged rank: ``keys, value, rank``.
+    """Distinct values per key with their tie-averaged rank: ``keys, value, rank, repeats``.
 
     Values are counted first, range-partitioned, and ranked by running totals within
     each range plus the totals of the ranges before it.
@@ -149,7 +149,7 @@ def average_ranks(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame
         .join(offsets, keys + ["_part"])
         .select(
             *keys, F.col("_v").alias(value),
-            (F.col("off") + F.col("cum") - (F.col("c") - 1) / 2.0).alias("rank"),
+            (F.col("off") + F.col("cum") - (F.col("c") - 1) / 2.0).alias("rank"), F.col("c").alias("repeats"),
         )
     )
 
@@ -167,13 +167,16 @@ def spearman_squared(rows: DataFrame, columns: Sequence[str], target: str, keys:
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in names
         ]))
 
+    by_value = [*keys, "column", "x"]
     ranks = settle(average_ranks(rows.select(*keys, long([*columns, target])), "x", [*keys, "column"]), "ranks")
+    ranks = ranks.with_hot("repeats", by_value)
     pairs = rows.select(*keys, F.col(target).cast("double").alias("y"), long(columns)).groupBy(
         *keys, "column", "x", "y"
     ).agg(F.count(F.lit(1)).alias("c"))
-    of_target = ranks.df.where(F.col("column") == target).select(*keys, F.col("x").alias("y"), F.col("rank").alias("ry"))
-    ranked = attach(pairs, ranks, [*keys, "column", "x"], spread=["y"]).withColumnRenamed("rank", "rx")
-    ranked = attach(ranked, KeyTable(of_target, ranks.rows), [*keys, "y"], spread=["column", "x"])
+    of_target = ranks.df.where(F.col("column") == target).select(*keys, F.col("x").alias("y"), F.col("rank").alias("ry"), "repeats")
+    y_ranks = KeyTable(of_target, ranks.rows).with_hot("repeats", [*keys, "y"])
+    ranked = attach(pairs, ranks.of(ranks.df.drop("repeats")), by_value, spread=["y"]).withColumnRenamed("rank", "rx")
+    ranked = attach(ranked, y_ranks.of(of_target.drop("repeats")), [*keys, "y"], spread=["column", "x"])
     c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
     sums = ranked.groupBy(*keys, "column").agg(
         F.sum(c).alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"),

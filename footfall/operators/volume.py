@@ -26,7 +26,7 @@ def wear_volume(tread: DataFrame, plane: KeyTable) -> DataFrame:
 
     ``tread`` holds tread triangles only; meshes without any get zeros.
     """
-    planes = KeyTable(plane.df.select("mesh_id", "a", "b", "c"), plane.rows)
+    planes = plane.of(plane.df.select("mesh_id", "a", "b", "c"))
     worn = F.when(F.col("mean_dep") > 0, F.col("mean_dep"))
     summed = corner_depths(attach(tread, planes, spread=["fid"])).groupBy("mesh_id").agg(
         F.sum(F.col("mean_dep") * F.col("area")).alias("volume"),

@@ -87,5 +87,5 @@ def read_obj(spark: SparkSession, path: str, scale: float = 1.0) -> Mesh:
 def scale_to_width(mesh: Mesh, frame_table: KeyTable, measured_m: float) -> tuple[Mesh, DataFrame]:
     """Scale each mesh so that its width equals the measured one: (mesh, mesh_id + scale)."""
     factor = frame_table.df.select("mesh_id", (F.lit(float(measured_m)) / (F.col("w_max") - F.col("w_min"))).alias("scale"))
-    joined = attach(mesh.vertices, KeyTable(factor, frame_table.rows), spread=["vid"])
+    joined = attach(mesh.vertices, frame_table.of(factor), spread=["vid"])
     return Mesh(scaled(joined, F.col("scale")).drop("scale"), mesh.faces, mesh.normals), factor

@@ -31,14 +31,18 @@ def skewed(spark, n=3000):
     return pdf, spark.createDataFrame(pdf).repartition(6)
 
 
-def test_attach_gives_the_same_rows_salted_or_broadcast(spark):
+def test_attach_gives_the_same_rows_on_every_route(spark):
     _, df = skewed(spark)
-    table = settle(df.groupBy("mesh_id").agg(F.max("v").alias("top")).where("mesh_id != 'c'"))
+    small = settle(df.groupBy("mesh_id").agg(F.max("v").alias("top"), F.count("*").alias("n")).where("mesh_id != 'c'"))
+    cut = small.with_hot("n", limit=0, most=100)
+    assert {r.mesh_id: r["_parts"] for r in cut.hot.df.collect()}["hot"] > 10
     for how in ("inner", "left", "left_anti"):
-        a, b = (attach(df, table, how=how, spread=["vid"], limit=limit) for limit in (1 << 30, 0))
-        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
-    plan = attach(df, table, limit=0)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+        want = sorted(map(tuple, attach(df, small, how=how).collect()), key=str)
+        for table in (small, cut):
+            got = attach(df, table, how=how, spread=["vid"], limit=0)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+    plans = [attach(df, t, limit=0)._jdf.queryExecution().optimizedPlan().toString() for t in (small, cut)]
+    assert "_part" not in plans[0] and "_part" in plans[1]
 
 
 def test_ordinals(spark):
@@ -299,7 +303,7 @@ def test_mixture_finds_the_number_of_lanes(spark):
         np.testing.assert_allclose(row.stds, [p[1] for p in parts], atol=0.02)
         assert sum(row.weights) == pytest.approx(1)
     one = profile.where("mesh_id = 'one'").toPandas()
-    data = np.repeat(one.x, one.weight)
+    data = np.repeat(one.x.to_numpy(), one.weight)
     var = data.var() + mixture.VARIANCE_FLOOR
     loglik = (-0.5 * (np.log(2 * np.pi * var) + (data - data.mean()) ** 2 / var)).sum()
     assert got["one"].bic == pytest.approx(-2 * loglik + 2 * np.log(len(data)), rel=1e-6)
