@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from footfall.operators.keyed import MESH, KeyTable, attach, settle
+from footfall.operators.keyed import MESH, attach, settle
 from footfall.session import materialize
 
 EXACT_BUFFER_ROWS = 1_000_000  # largest key sorted in one aggregation buffer
@@ -128,14 +128,17 @@ def _narrow_once(rows: DataFrame, table, keys: list[str], id_cols: list[str]) ->
     )
 
 
-def average_ranks(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+def average_ranks(rows: DataFrame, value: str, keys: Sequence[str], **carried: Column) -> DataFrame:
     """Distinct values per key with their tie-averaged rank: ``keys, value, rank, repeats``.
 
     Values are counted first, range-partitioned, and ranked by running totals within
-    each range plus the totals of the ranges before it.
+    each range plus the totals of the ranges before it. ``carried`` adds further
+    aggregates of the rows sharing a value.
     """
     keys = list(keys)
-    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("c"))
+    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("c"), *[agg.alias(name) for name, agg in carried.items()]
+    )
     # Written once: both the ranges' totals and the ranking must see the same ranges.
     ranged = materialize(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "rank")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +152,7 @@ def average_ranks(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame
         .join(offsets, keys + ["_part"])
         .select(
             *keys, F.col("_v").alias(value),
-            (F.col("off") + F.col("cum") - (F.col("c") - 1) / 2.0).alias("rank"), F.col("c").alias("repeats"),
+            (F.col("off") + F.col("cum") - (F.col("c") - 1) / 2.0).alias("rank"), F.col("c").alias("repeats"), *carried,
         )
     )
 
@@ -157,31 +160,25 @@ def average_ranks(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame
 def spearman_squared(rows: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
     """Squared rank correlation of each column with the target: ``keys, column, rho2``; 0 when either is constant.
 
-    All columns are ranked in one pass. Rows are collapsed to distinct value pairs
-    before any join, so a heavily repeated pair is one row.
+    Target ranks are looked up once per row. Each column is then grouped by value with
+    the sum of target ranks riding along, so ranking it already yields the products.
     """
     keys = list(keys)
-
-    def long(names: Sequence[str]) -> Column:
-        return F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in names
-        ]))
-
-    by_value = [*keys, "column", "x"]
-    ranks = settle(average_ranks(rows.select(*keys, long([*columns, target])), "x", [*keys, "column"]), "ranks")
-    ranks = ranks.with_hot("repeats", by_value)
-    pairs = rows.select(*keys, F.col(target).cast("double").alias("y"), long(columns)).groupBy(
-        *keys, "column", "x", "y"
-    ).agg(F.count(F.lit(1)).alias("c"))
-    of_target = ranks.df.where(F.col("column") == target).select(*keys, F.col("x").alias("y"), F.col("rank").alias("ry"), "repeats")
-    y_ranks = KeyTable(of_target, ranks.rows).with_hot("repeats", [*keys, "y"])
-    ranked = attach(pairs, ranks.of(ranks.df.drop("repeats")), by_value, spread=["y"]).withColumnRenamed("rank", "rx")
-    ranked = attach(ranked, y_ranks.of(of_target.drop("repeats")), [*keys, "y"], spread=["column", "x"])
-    c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
-    sums = ranked.groupBy(*keys, "column").agg(
-        F.sum(c).alias("n"), F.sum(c * rx).alias("sx"), F.sum(c * ry).alias("sy"),
-        F.sum(c * rx * ry).alias("sxy"), F.sum(c * rx * rx).alias("sxx"), F.sum(c * ry * ry).alias("syy"),
-        F.min(rx).alias("x0"), F.max(rx).alias("x1"), F.min(ry).alias("y0"), F.max(ry).alias("y1"),
+    y = settle(average_ranks(rows.select(*keys, F.col(target).cast("double").alias("y")), "y", keys), "ranks")
+    y = y.with_hot("repeats", [*keys, "y"])
+    known = rows.select(*keys, F.col(target).cast("double").alias("y"), *columns)
+    ranked = attach(known, y.of(y.df.select(*keys, "y", F.col("rank").alias("ry"))), [*keys, "y"], spread=list(columns))
+    long = ranked.select(*keys, "ry", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns
+    ])))
+    x = average_ranks(long, "x", [*keys, "column"], ry=F.sum("ry"))
+    c, rank = F.col("repeats"), F.col("rank")
+    of_y = y.df.groupBy(*keys).agg(
+        F.sum(c).alias("n"), F.sum(c * rank).alias("sy"), F.sum(c * rank * rank).alias("syy"), F.count(F.lit(1)).alias("ny")
+    )
+    of_x = x.groupBy(*keys, "column").agg(
+        F.sum(c * rank).alias("sx"), F.sum(c * rank * rank).alias("sxx"), F.sum(rank * F.col("ry")).alias("sxy"),
+        F.count(F.lit(1)).alias("nx"),
     )
     n = F.col("n")
 
@@ -191,5 +188,5 @@ def spearman_squared(rows: DataFrame, columns: Sequence[str], target: str, keys:
     rho2 = F.try_divide(
         F.pow(spread_of("sxy", "sx", "sy"), 2), spread_of("sxx", "sx", "sx") * spread_of("syy", "sy", "sy")
     )
-    flat = (F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1"))
-    return sums.select(*keys, "column", F.when(flat, F.lit(0.0)).otherwise(rho2).alias("rho2"))
+    flat = (F.col("nx") == 1) | (F.col("ny") == 1)
+    return of_x.join(of_y, keys).select(*keys, "column", F.when(flat, F.lit(0.0)).otherwise(rho2).alias("rho2"))
