@@ -12,7 +12,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from footfall.catalog import QUERIES  # noqa: E402
-from footfall.session import session  # noqa: E402
+from footfall.session import release_scratch, session  # noqa: E402
 
 HEADLINE = [
     "tread_traffic", "mesh_bounds", "axis_inference", "tread_segmentation", "triangle_wear_volume", "plane_candidates",
@@ -41,6 +41,7 @@ def main() -> None:
         "metric": "total wall time of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
+    release_scratch(spark)
     spark.stop()
 
 

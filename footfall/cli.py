@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import constants as K
 from footfall.plans import pipeline as PL
-from footfall.session import session
+from footfall.session import release_scratch, session
 from footfall.sinks import charts, report
 from footfall.sources.obj import read_obj, scale_to_width
 from footfall.operators.traffic import likely_units
@@ -37,8 +37,14 @@ def arguments(argv=None) -> argparse.Namespace:
 
 
 def main(argv=None) -> int:
-    args = arguments(argv)
     spark = session()
+    try:
+        return run(spark, arguments(argv))
+    finally:
+        release_scratch(spark)
+
+
+def run(spark, args: argparse.Namespace) -> int:
     config = PL.Config(
         material=args.material, stair_width=args.width, scale=args.scale,
         use_legacy_wear_volume=args.use_legacy_wear_volume, ransac_iters=args.ransac_iters,
@@ -48,7 +54,7 @@ def main(argv=None) -> int:
     try:
         mesh = read_obj(spark, args.obj_file, 1.0 if args.measured_width_m else args.scale)
     except AnalysisException as missing:
-        print(f"Error: {missing.getMessage() if hasattr(missing, 'getMessage') else missing}", file=sys.stderr)
+        print(f"Error: {missing}", file=sys.stderr)
         return 1
     surface = PL.load(mesh, config)
     if args.measured_width_m:

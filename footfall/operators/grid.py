@@ -61,7 +61,8 @@ def legacy_reference(points: DataFrame, extents: KeyTable) -> DataFrame:
     lo, hi = F.col("w_min"), F.col("w_max")
     margin = F.lit(K.BORDER) * (hi - lo)
     edge = attach(points, box, spread=["w", "d"]).where((F.col("w") < lo + margin) | (F.col("w") > hi - margin))
-    height = exact_quantiles(edge, "u", [K.LEGACY_EDGE_QUANTILE]).select("mesh_id", F.col("q")[0].alias("q95"))
+    largest = extents.seen.get("most_vertices")
+    height = exact_quantiles(edge, "u", [K.LEGACY_EDGE_QUANTILE], largest=largest).select("mesh_id", F.col("q")[0].alias("q95"))
     return extents.df.select("mesh_id", "u_max").join(height, "mesh_id", "left").select(
         "mesh_id", F.coalesce("q95", "u_max").alias("reference_height")
     )

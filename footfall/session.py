@@ -19,6 +19,9 @@ SETTINGS = {
 }
 
 
+_written: list[str] = []  # paths of the scratch tables of this process
+
+
 def session(app: str = "footfall", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -53,4 +56,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/footfall-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables written so far by this process; call it once results are stored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    released = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        released += bool(path.getFileSystem(conf).delete(path, True))
+    return released

@@ -7,14 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from footfall.functions import constants as K
 
 
+def _inline(spark: SparkSession, rows, columns: str) -> DataFrame:
+    def literal(value) -> str:
+        return f"'{value}'" if isinstance(value, str) else f"{value!r}D"
+
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def materials(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        K.MATERIALS, "material string, name string, k_spec_value double, k_spec_units string, hardness double"
-    )
+    return _inline(spark, K.MATERIALS, "material, name, k_spec_value, k_spec_units, hardness")
 
 
 def material_priors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(K.MATERIAL_PRIORS, "material string, k_spec_median double, log_std double")
+    return _inline(spark, K.MATERIAL_PRIORS, "material, k_spec_median, log_std")
 
 
 def with_material(rows: DataFrame, column: str = "material") -> DataFrame:

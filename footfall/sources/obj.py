@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from footfall.operators.keyed import KeyTable, attach
+from footfall.operators.keyed import KeyTable, attach, settle
 from footfall.operators.mesh import Mesh, scaled
+from footfall.session import materialize
 
 
 def obj_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -78,10 +79,12 @@ def parse_obj(lines: DataFrame, scale: float = 1.0) -> Mesh:
 
 
 def read_obj(spark: SparkSession, path: str, scale: float = 1.0) -> Mesh:
-    mesh = parse_obj(obj_lines(spark, path), scale)
-    if mesh.vertices.isEmpty():
+    """Parse OBJ files once into written vertex and face tables."""
+    parsed = parse_obj(obj_lines(spark, path), scale)
+    vertices = settle(parsed.vertices, "vertices")
+    if vertices.rows == 0:
         raise ValueError(f"no vertices found in {path}")
-    return mesh
+    return Mesh(vertices.df, materialize(parsed.faces, "faces"), parsed.normals)
 
 
 def scale_to_width(mesh: Mesh, frame_table: KeyTable, measured_m: float) -> tuple[Mesh, DataFrame]:

@@ -26,24 +26,29 @@ def embedding_surfaces(spark: SparkSession, sf_dir: str) -> Mesh:
         F.col("embedding")[F.col("k") * 3 + 1].cast("double").alias("y"),
         (F.col("embedding")[F.col("k") * 3 + 2].cast("double") / 64.0).alias("z"),
     )
-    last = emb.agg(F.max("vec_id").alias("top"))
-    faces = (
-        emb.where(F.pmod("vec_id", F.lit(3)) == 0)
-        .join(F.broadcast(last))
-        .where(F.col("vec_id") + 2 <= F.col("top"))
-        .select("vec_id", surface.alias("k"))
-        .select(
-            F.concat(F.lit("s"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("mesh_id"),
-            F.floor(F.col("vec_id") / 3).cast("long").alias("fid"),
-            F.col("vec_id").alias("v0"), (F.col("vec_id") + 1).alias("v1"), (F.col("vec_id") + 2).alias("v2"),
-        )
+    triples = emb.groupBy(F.floor(F.col("vec_id") / 3).cast("long").alias("fid")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dims")
+    ).where("n = 3")
+    first = F.col("fid") * 3
+    faces = triples.select(
+        "fid", F.explode(F.sequence(F.lit(0), F.floor(F.col("dims") / F.lit(3)).cast("int") - 1)).alias("k")
+    ).select(
+        F.concat(F.lit("s"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("mesh_id"), "fid",
+        first.alias("v0"), (first + 1).alias("v1"), (first + 2).alias("v2"),
     )
     return Mesh(vertices, faces)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a scan that has fewer splits than cores one part per core; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shipment_points(spark: SparkSession, sf_dir: str, mesh: str = "l_suppkey") -> DataFrame:
     """Line items as points (mesh_id, w, d, u) in metres, one cloud per supplier by default."""
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(mesh, "l_extendedprice", "l_shipdate", "l_quantity")
+    return spread_small(lines).select(
         F.concat(F.lit("p"), F.col(mesh).cast("string")).alias("mesh_id"),
         (F.col("l_extendedprice") / 100000.0).alias("w"),
         (F.datediff(F.col("l_shipdate"), F.lit("1995-01-01").cast("date")) / 8192.0).alias("d"),
