@@ -13,6 +13,16 @@ from footfall.operators.uncertainty import direction_class
 
 CURVE_POINTS = 200
 
+# Fixed wording of the calibration checklist.
+CHECKLIST = "\n".join([
+    "HOW TO CALIBRATE", "",
+    "1. MEASURE REAL STAIR WIDTH", "   Use: --measured-width-m <width_in_meters>", "",
+    "2. IF MESH UNITS ARE MILLIMETERS", "   Use: --scale 0.001", "",
+    "3. IF MESH UNITS ARE CENTIMETERS", "   Use: --scale 0.01", "",
+    "4. TRY DIFFERENT MATERIALS", "   Use: --material sandstone", "   Use: --material limestone", "   Use: --material marble", "",
+    "5. COMPARE ROBUST VS LEGACY METHODS", "   Use: --use-legacy-wear-volume",
+])
+
 
 def _joined(*lines: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
@@ -136,6 +146,7 @@ def traffic_assumptions(results: DataFrame) -> DataFrame:
         ).alias("assumptions_text"),
         _joined(*table).alias("traffic_text"),
         F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("• "), w)), "\n").alias("warnings_text"),
+        F.lit(CHECKLIST).alias("checklist_text"),
     )
 
 

@@ -40,7 +40,7 @@ def _lines() -> list[Column]:
         F.lit(""), F.lit("Estimated daily traffic (by building age):"),
     ]
     for years in K.HORIZONS_YEARS:
-        lines.append(fill("  If " + f"{years:>3} years old:".ljust(15) + "{0} footsteps/day", fixed(c(f"daily_{years}y"), 3)))
+        lines.append(fill("  If " + f"{years:>3} years old:".ljust(16) + "{0} footsteps/day", fixed(c(f"daily_{years}y"), 3)))
     warned = F.size("warnings") > 0
     lines += [
         only(warned, F.lit("")), only(warned, F.lit("  TRAFFIC VOLUME WARNINGS:")),

@@ -6,6 +6,7 @@ from meshes import to_mesh
 from footfall.functions import constants as K
 from footfall.operators import clamped, grid as Gr, mesh as M, plane as P, uncertainty as U
 from footfall.plans import pipeline as PL
+from footfall.sinks import charts, report
 
 G = 24
 NAMES = ("one", "two", "flat", "tilted", "tiny")
@@ -214,3 +215,23 @@ def test_weak_fits_are_refitted_with_defaults(world):
     np.testing.assert_allclose([got["one"].a, got["one"].b, got["one"].c], want["plane"], rtol=1e-8)
     assert sizes["one"] == len(want["inliers"]) and got["one"].pool == want["used"]
     assert sizes["tiny"] == got["tiny"].pool == 8
+
+
+def test_report_wording(world):
+    surface, wear, results, _, _ = world
+    rows = PL.estimate_traffic(wear, surface.config)
+    full = {r.mesh_id: r.text.split("\n") for r in report.report(rows).collect()}
+    one = results["one"]
+    for line in (
+        "STAIR WEAR ANALYSIS REPORT", "Material: Granite", f"  Inlier fraction: {one.inlier_fraction:.1%}",
+        f"Total estimated footsteps: {one.total_steps:.2e}", f"  If  50 years old:  {one.daily_50y:.3f} footsteps/day",
+        f"  If 1000 years old: {one.daily_1000y:.3f} footsteps/day", f"Confidence: {one.confidence:.1f}%",
+        "  TRAFFIC VOLUME WARNINGS:", f"Effective width: {one.w_eff:.2f} m",
+    ):
+        assert line in full["one"]
+    assert "  TRAFFIC VOLUME WARNINGS:" not in full["flat"]
+    info = {r.mesh_id: r.text for r in charts.heatmap_info(rows).collect()}["one"]
+    assert f"Volume: {one.volume:.3g} m³" in info and f"Volume: {one.volume * 1000:.1f} L" in info
+    page = {r.mesh_id: r for r in charts.traffic_assumptions(rows).collect()}
+    assert page["flat"].is_limited and page["flat"].warnings_text == ""
+    assert page["one"].banner == "⚠ CALIBRATION LIMITED ⚠" and "• Extremely high" in page["one"].warnings_text
