@@ -52,8 +52,9 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share:
         / F.sum("weight").over(onward)
     )
     tried = weighed.withColumn("_level", level)
-    holds = F.when(F.col("_level") <= F.col("_cap") / F.col("weight"), F.col("_level"))
-    level = F.coalesce(F.min(holds).over(everything), F.lit(float("inf")))
+    ratio = F.col("_cap") / F.col("weight")
+    first = F.min(F.when(F.col("_level") <= ratio, F.struct(ratio, "_rank", "_level"))).over(everything)
+    level = F.coalesce(first.getField("_level"), F.lit(float("inf")))
     return tried.withColumn("target", F.least(F.col("_cap"), level * F.col("weight"))).drop("_level", "_cap")
 
 
