@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import bpe, mixing
+from footfall.llm import bpe, language, mixing, pii, quality, sketch
 from footfall.llm.common import documents
 from footfall.session import materialize
 
@@ -44,3 +44,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(materialize(sizes, "mix-sizes"))
     out = plan.select("doc_id", "source", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+@query("op3_line_frequency")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("source", "_removed")
+
+
+@query("op5_language_ftrl")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", language.held_out(F.col("doc_id"), 3, 1))
+    model = language.train(docs.where("NOT held_out"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+@query("op1_pii_weak_supervision")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+    counts = [pii.count_of("base_spans", kind).alias(f"n_{kind}") for kind in pii.KINDS[: pii.BASE]]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
+@query("op6_threshold_sketch")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sketch.edited_pairs(documents(spark, sf_dir))
+    return pairs.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.spelled(F.col("_sketch")).alias("fingerprint"), sketch.spelled(F.col("_edited_sketch")).alias("edited_fingerprint"),
+        sketch.containment(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
+        sketch.containment(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
+    )
