@@ -132,7 +132,8 @@ def _base(text: Column) -> Column:
 
 
 def _proposed(text: Column) -> Column:
-    return F.concat(*[_of_kind(kind, matches(text, pattern, present)) for kind, pattern, present in PROPOSED])
+    found = [(kind, matches(text, pattern, present)) for kind, pattern, present in PROPOSED]
+    return F.concat(*[_of_kind(kind, _checked(kind, hits) if kind == "card" else hits) for kind, hits in found])
 
 
 def _by_kind(k: Column, table: dict[str, Column]) -> Column:
