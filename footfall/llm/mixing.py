@@ -29,6 +29,7 @@ from footfall.session import materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 SLOPES = (-0.5, 0.0, 0.5)  # by the source's rank like the weights: heavy sources grow in time
 BLOCK_ROWS = 50_000
+LEAST_BLOCKS = 64  # a source with most rows is spread over so many tasks at least
 
 
 def _cycled(values: Sequence[float], rank: Column) -> Column:
@@ -73,7 +74,7 @@ def curriculum(
     ``part`` of a last copy taken in part, and the ``position`` of each copy in time (array ``positions``)."""
     order = F.xxhash64(F.col(key).cast("string"))
     n_rows = docs.count()
-    blocks = max(1, -(-n_rows // BLOCK_ROWS))
+    blocks = max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))
     rows = docs.withColumn("_source", F.col(source)).withColumn("_order", order).withColumn("_block", F.pmod(F.col("_order"), F.lit(blocks)))
     by_block = materialize(rows.groupBy("_source", "_block").agg(F.sum("size").alias("_words")), "mix-blocks")
     targets = source_targets(by_block.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, share, most)
