@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import bpe, language, mixing, pii, quality, sketch
+from footfall.llm import automata, bpe, language, mixing, pii, quality, run_index, sketch
 from footfall.llm.common import documents
 from footfall.session import materialize
 
@@ -74,3 +74,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketch.containment(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
         sketch.containment(F.col("_sketch"), F.col("_next_sketch")).alias("near_next"),
     )
+
+
+@query("op9_suffix_automata")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.removal_digests(documents(spark, sf_dir))
+
+
+@query("op10_run_length_index")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.removal_digests(documents(spark, sf_dir))
