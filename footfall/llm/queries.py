@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import automata, bpe, language, mixing, pii, quality, run_index, sketch
+from footfall.llm import automata, bpe, language, mixing, near_dup, pii, quality, run_index, sketch
 from footfall.llm.common import documents
 from footfall.session import materialize
 
@@ -84,3 +84,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_run_length_index")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.removal_digests(documents(spark, sf_dir))
+
+
+@query("op4_coordinate_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
