@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import automata, bpe, language, mixing, near_dup, pii, quality, run_index, sketch
+from footfall.llm import automata, bpe, language, maxent, mixing, near_dup, pii, quality, run_index, sketch
 from footfall.llm.common import documents
 from footfall.session import materialize
 
@@ -89,3 +89,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_coordinate_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op2_hashed_maxent")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(documents(spark, sf_dir))

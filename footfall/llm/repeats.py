@@ -59,7 +59,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
+def record_rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["slice", "shard", "kind", "blob"])
 
@@ -190,9 +190,9 @@ class Repeats:
             for batch in batches:
                 for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                     s = self.slice(blob, shards, known)
-                    out = [(number, p, 0, self._entries(s.key[a:b], s.content[a:b], s.count[a:b], s.least[a:b])) for p, a, b in _stretches(s.shard)]
+                    out = [(number, p, 0, self._entries(s.key[a:b], s.content[a:b], s.count[a:b], s.least[a:b])) for p, a, b in stretches(s.shard)]
                     if out:
-                        yield _table(out)
+                        yield record_rows(out)
 
         return rows.mapInArrow(run, ASKED)
 
@@ -230,8 +230,8 @@ class Repeats:
 
     def answered(self, asked: DataFrame, shards: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if rows := self.meet([r[:2] + r[3:] for b in batches for r in _rows(b)], 0):
-                yield _table(rows)
+            if rows := self.meet([r[:2] + r[3:] for b in batches for r in tuples(b)], 0):
+                yield record_rows(rows)
 
         return asked.repartition(shards, "shard").mapInArrow(run, ASKED)
 
@@ -241,20 +241,20 @@ class Repeats:
         """What needs a closer look: texts of segments (kind 1), hashes of windows of hot anchors (kind 2)."""
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if left.num_rows == 0 or right.num_rows == 0:
-                return _table([])
+                return record_rows([])
             s = self.slice(left.column("blob")[0].as_py(), shards, WordHashes())
             status, _ = _statuses(s, right)
             number, out = left.column("slice")[0].as_py(), []
             chosen = np.flatnonzero(status == MIXED)
-            for p, a, b in _stretches(s.shard[chosen]):
+            for p, a, b in stretches(s.shard[chosen]):
                 at = chosen[a:b]
                 runs = [self._content(s, s.sample[i]) for i in at]
                 data = np.frombuffer(b"".join(runs), np.uint8)
                 out.append((number, p, 1, pack(at, s.key[at], np.minimum(s.count[at], 2).astype(np.uint8), s.least[at], np.array([len(x) for x in runs], np.int64), data)))
             if (status == SPREAD).any():
                 w = self.windows(s, status, shards)
-                out += [(number, p, 2, self._entries(w[1][a:b], w[2][a:b], w[3][a:b], w[4][a:b])) for p, a, b in _stretches(w[0])]
-            return pa.Table.from_batches([_table(out)])
+                out += [(number, p, 2, self._entries(w[1][a:b], w[2][a:b], w[3][a:b], w[4][a:b])) for p, a, b in stretches(w[0])]
+            return pa.Table.from_batches([record_rows(out)])
 
         return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, ASKED)
 
@@ -286,11 +286,11 @@ class Repeats:
     def indexed(self, texts: DataFrame, shards: int, index: Callable) -> DataFrame:
         """Answers of the index (kind 1) and of the meeting windows (kind 2)."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [r for b in batches for r in _rows(b)]
+            rows = [r for b in batches for r in tuples(b)]
             if out := self.meet([r[:2] + r[3:] for r in rows if r[2] == 2], 2, single=True):
-                yield _table(out)
+                yield record_rows(out)
             if out := self._look_up([r for r in rows if r[2] == 1], index):
-                yield _table(out)
+                yield record_rows(out)
 
         return texts.repartition(shards, "shard").mapInArrow(run, ASKED)
 
@@ -372,11 +372,11 @@ class Repeats:
         return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
-def _rows(batch: pa.RecordBatch) -> list[tuple]:
+def tuples(batch: pa.RecordBatch) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
 
-def _stretches(shard: np.ndarray) -> list[tuple[int, int, int]]:
+def stretches(shard: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, start, end) of each stretch of equal values."""
     if not len(shard):
         return []
@@ -392,7 +392,7 @@ def _cover(cover: np.ndarray, first: np.ndarray, stop: np.ndarray) -> None:
 def _positional(shard: np.ndarray, answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """Status and earliest id per entry from answers that follow the entries' order within each shard."""
     status, first = np.zeros(len(shard), np.uint8), np.full(len(shard), LAST, np.int64)
-    where = {p: (a, b) for p, a, b in _stretches(shard)}
+    where = {p: (a, b) for p, a, b in stretches(shard)}
     for p, k, blob in zip(answers.column("shard").to_pylist(), answers.column("kind").to_pylist(), answers.column("blob").to_pylist(), strict=True):
         if k == kind:
             a, b = where[p]
