@@ -1,4 +1,15 @@
-"""The training corpus from raw documents: a chain of stages, each written and read again."""
+"""The training corpus from raw documents: five stages, each written as Parquet and read again.
+
+1. quality: lines that too many documents of a host share are removed; documents that fail the
+   base rules or are depleted by this go.
+2. near duplicates: one document of each group of near copies stays.
+3. personal data: spans are replaced by their kind in angle brackets.
+4. mixing: documents are repeated or left out to meet their sources' targets, in training order.
+5. tokens: texts are encoded; the result has the columns of documents and ``token_ids``.
+
+Rows with nulls, empty or very long texts, repeated rows and empty tables pass as the stages'
+operators define it. Columns other than those of ``documents`` are not carried on.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +17,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import bpe, mixing
+from footfall.llm import bpe, mixing, near_dup, pii, quality
 from footfall.llm.common import documents
 from footfall.llm.queries import vocabulary
 from footfall.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.clean(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.without_near_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.masked(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +46,16 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary())
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix), ("tokens", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_rules), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mix), ("tokens", tokens),
+]
 
-# Token ids and the trained span classifier are not SQL; tests compare with brute force.
+# Token ids and the trained span classifier are not SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -120,4 +120,11 @@ def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     cut = copies.withColumn("_whole", F.col(f"_row.`{text}`"))
     cut = cut.withColumn("_whole", F.when(F.col("_copy") < F.col("copies"), F.col("_whole")).otherwise(first_words))
     ordered = cut.orderBy("_at", "_id", "_copy")
-    return ordered.select(*[(F.col("_whole") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in kept])
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("_whole")
+        old = F.col(f"_row.`{c}`")
+        return F.when(F.col("_copy") < F.col("copies"), old).otherwise(F.length("_whole").cast("long")) if c == "n_chars" else old
+
+    return ordered.select(*[column(c).alias(c) for c in kept])

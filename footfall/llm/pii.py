@@ -283,19 +283,25 @@ def spelled(spans: Column) -> Column:
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in angle brackets; overlapping spans become one."""
     kept = docs.columns
-    found = find_spans(docs, text)
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    found = find_spans(docs.select(whole, F.col(f"`{text}`").alias("_text")), "_text")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     placed = F.array_sort(F.transform("spans", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["k"].alias("k"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
-        gap = F.substr(F.col(text), acc["at"] + 1, F.greatest(m["s"] - acc["at"], F.lit(0)))
+        gap = F.substr(F.col("_text"), acc["at"] + 1, F.greatest(m["s"] - acc["at"], F.lit(0)))
         return F.when(m["s"] >= acc["at"], F.struct(m["e"].alias("at"), F.concat(acc["out"], gap, F.get(names, m["k"])).alias("out"))).otherwise(
             F.struct(F.greatest(acc["at"], m["e"]).alias("at"), acc["out"].alias("out")))
 
-    rest = lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, F.length(text)))
-    new = F.when(F.size("spans") > 0, F.aggregate(placed, start, step, rest)).otherwise(F.col(text))
-    out = found.withColumn(text, new)
-    if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*kept)
+    rest = lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1, F.length("_text")))
+    new = F.when(F.size("spans") > 0, F.aggregate(placed, start, step, rest)).otherwise(F.col("_text"))
+    out = found.withColumn("_new", new)
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("_new")
+        old = F.col(f"_row.`{c}`")
+        return F.when(F.size("spans") > 0, F.length("_new").cast("long")).otherwise(old) if c == "n_chars" else old
+
+    return out.select(*[column(c).alias(c) for c in kept])

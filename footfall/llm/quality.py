@@ -135,9 +135,9 @@ def frequent_lines(measured: DataFrame, limits: LineLimits, host: str = "source"
     return kept.select(F.col("_host"), "_line", "_documents")
 
 
-def judge(docs: DataFrame, limits: LineLimits = LineLimits(), text: str = "text", host: str = "source") -> DataFrame:
-    """Every row's figures and verdict (``base_failed``, ``kept``), and the hashes of the lines to remove."""
-    measured = materialize(measure(docs, text).withColumn("_row", F.monotonically_increasing_id()), "quality-rows")
+def judge(docs: DataFrame, limits: LineLimits = LineLimits(), text: str = "text", host: str = "source", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """For every row its ``keys`` and host, figures and verdict (``base_failed``, ``kept``), and the hashes of the lines to remove."""
+    measured = materialize(measure(docs.select(*keys, host, text), text).withColumn("_row", F.monotonically_increasing_id()), "quality-rows")
     frequent = materialize(frequent_lines(measured, limits, host), "quality-lines")
     lines = measured.select("_row", F.col(host).alias("_lh"), F.explode(F.arrays_zip("_lines", "_line_words")).alias("_at"))
     marked = lines.join(frequent, F.expr("_lh <=> _host AND _at._lines = _line")).groupBy("_row").agg(
@@ -177,8 +177,8 @@ def without_lines(docs: DataFrame, text: str = "text", removed: str = "_removed"
 def clean(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The kept documents, without the lines above the limits; columns as in ``docs``."""
     columns = docs.columns
-    keyed = docs.withColumn("_content", F.xxhash64("text"))
-    verdicts = judge(keyed.select("doc_id", "source", "_content", "text"), limits)
+    keyed = docs.withColumn("_content", F.xxhash64("text"))  # rows with equal ids, hosts and texts have equal verdicts
+    verdicts = judge(keyed, limits, keys=("doc_id", "_content"))
     chosen = verdicts.where("kept").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_content").alias("_c"), "_removed"
     ).dropDuplicates(["_id", "_src", "_c"])

@@ -48,7 +48,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_frequency")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("source", "_removed")
+    return quality.judge(documents(spark, sf_dir)).drop("source", "_removed")
 
 
 @query("op5_language_ftrl")
