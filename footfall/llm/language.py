@@ -117,7 +117,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     per_label = usable.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
     spread = per_label.withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per label
     quota = F.least(F.lit(float(SAMPLE)), F.lit(float(MAX_SAMPLE)) / F.col("labels"))
-    chosen = usable.join(spread.select(F.col("y").alias("y2"), (quota / F.col("n")).alias("part")), F.expr("y = y2"))
+    # one row per label, fewer than the columns of the model that is held anyway; unhinted, a frequent label is one task's
+    chosen = usable.join(F.broadcast(spread.select(F.col("y").alias("y2"), (quota / F.col("n")).alias("part"))), F.expr("y = y2"))
     order = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30))
     chosen = chosen.withColumn("o", order).where(F.col("o") < F.col("part") * float(1 << 30)).select("o", "t", "y")
 
