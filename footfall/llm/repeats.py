@@ -40,6 +40,8 @@ PER_SHARD = 48 << 20   # text bytes whose entries meet in one shard, about
 HOT = 20_000           # different contents of an anchor that one index takes
 LAST = np.iinfo(np.int64).max  # place in order of documents without an id
 
+_known = WordHashes()  # a worker's, kept between slices and tasks
+
 ONCE, SAME, MIXED, SPREAD = 0, 1, 2, 3  # what is known of an entry
 ASKED = "slice long, shard int, kind int, blob binary"
 
@@ -145,7 +147,7 @@ class Repeats:
     ordered: bool
     hot: int = HOT
 
-    def slice(self, blob: bytes, shards: int, known: WordHashes) -> Slice:
+    def slice(self, blob: bytes, shards: int) -> Slice:
         table = pa.ipc.open_stream(blob).read_all().combine_chunks()
         ids = table.column("id").combine_chunks()
         ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
@@ -155,7 +157,7 @@ class Repeats:
         if self.words:
             words = [t.split() for t in texts]
             ends = np.cumsum([len(w) for w in words])
-            items = known.of([x for w in words for x in w])
+            items = _known.of([x for w in words for x in w])
             grams = word_grams(items, self.gram)
         else:
             ends = np.cumsum([len(t) for t in texts])
@@ -186,10 +188,9 @@ class Repeats:
     def asked(self, rows: DataFrame, shards: int) -> DataFrame:
         """Per slice and shard the entries: hashes, counts and, if ordered, smallest ids."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WordHashes()
             for batch in batches:
                 for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                    s = self.slice(blob, shards, known)
+                    s = self.slice(blob, shards)
                     out = [(number, p, 0, self._entries(s.key[a:b], s.content[a:b], s.count[a:b], s.least[a:b])) for p, a, b in stretches(s.shard)]
                     if out:
                         yield record_rows(out)
@@ -242,7 +243,7 @@ class Repeats:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if left.num_rows == 0 or right.num_rows == 0:
                 return record_rows([])
-            s = self.slice(left.column("blob")[0].as_py(), shards, WordHashes())
+            s = self.slice(left.column("blob")[0].as_py(), shards)
             status, _ = _statuses(s, right)
             number, out = left.column("slice")[0].as_py(), []
             chosen = np.flatnonzero(status == MIXED)
@@ -360,7 +361,7 @@ class Repeats:
             names = [f.split()[0] for f in schema.split(", ")]
             out = [[] for _ in names]
             for blob in left.column("blob").to_pylist():
-                s = self.slice(blob, shards, WordHashes())
+                s = self.slice(blob, shards)
                 gone = self.marked(s, right, shards)
                 for i, key in enumerate(s.ids.to_pylist()):
                     a, b = (s.ends[i - 1] if i else 0), s.ends[i]
