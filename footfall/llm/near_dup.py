@@ -9,12 +9,13 @@ pairs that agree in at least ``MATCHES`` coordinates are confirmed on the full s
   come first in any order common to all. The order is rarest first, so values that many
   documents share are hardly ever posted, and a class with K - T + 1 values of its own
   posts nothing.
-* Skip: classes that meet are first compared with the smallest class of each list only. What
-  these comparisons link is one component, and pairs inside a component are skipped: only
-  lists that still hold several components are merged, and only across components. Long
-  lists are merged block against block, so that no task holds a whole list.
+* Lists with the same smallest class are merged together: a class is sent once to each such
+  unit, with its set. Units of more than ``BLOCK`` classes are merged block against block.
+* Skip: inside a merge, classes that are already linked to each other, however indirectly,
+  are skipped, and only the links that join something are passed on (a spanning forest).
+  Large groups of near copies so cost few comparisons and yield one link per class.
 * At similarity 0.8 or more a pair agrees in fewer than 38 of 64 coordinates with probability
-  below 5e-5.
+  below 5e-5. Sets travel as 48-bit hashes of their shingles.
 
 Defined cases: texts without words (and null texts) have empty sets, are linked with nothing
 and kept; a one-word text has its word as its only shingle; rows that share an id are one
@@ -35,8 +36,10 @@ from footfall.session import materialize
 
 COORDINATES = 64
 MATCHES = 38
+SLACK = 6                    # coordinates fewer that suffice inside a unit, whose signatures are other ones
 SIMILAR = 80                 # per cent
 BLOCK = 1024                 # classes of one side of a merge
+BROADCAST_CLASSES = 1 << 20  # up to so many classes' units (some tens of bytes each) are broadcast, beyond that both sides are shuffled
 _NO_ID = 1 << 62             # ids from here on stand for rows without an id
 
 _TURNS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -78,8 +81,7 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 if has.any():
                     hi[has] = np.add.reduceat(mixed(g ^ np.uint64(0x2545F4914F6CDD1D)), starts).view(np.int64)
                     lo[has] = np.add.reduceat(mixed(g + np.uint64(0x632BE59BD9B4E019)), starts).view(np.int64)
-                    minima = np.stack([np.minimum.reduceat(g * t, starts) >> np.uint64(32) for t in _TURNS], axis=1).astype(np.uint32)
-                    for i, s in zip(np.flatnonzero(has), minima, strict=True):
+                    for i, s in zip(np.flatnonzero(has), _signatures(g, starts), strict=True):
                         signatures[i] = s.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi), pa.array(lo), pa.array(signatures, pa.binary())],
@@ -113,95 +115,118 @@ def prefix_posts(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     return materialize(ranked.select("node", F.explode(F.slice("t", F.lit(1), most)).alias("x")).select("x.token", "node"), "near-posts")
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """Pairs (a, b) whose signatures agree often enough and whose sizes allow the similarity."""
-    own = classes.select("node", "n_shingles", "signature")
-    for side in "ab":
-        pairs = pairs.join(own.select(*[F.col(c).alias(f"{c}_{side}") for c in own.columns]).withColumnRenamed(f"node_{side}", side), side)
-    possible = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * SIMILAR
-    both = pairs.where(possible).select("a", "b", "signature_a", "signature_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES) for c in ("signature_a", "signature_b"))
-            good = pa.array((x == y).sum(axis=1) >= matches)
-            yield batch.select(["a", "b"]).filter(good)
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def full_sets(docs: DataFrame, nodes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(node, shingles) for the classes in ``nodes``, from the text of the document that names each."""
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                g, ends = shingle_sets(utf8(part.column("text")), known)
-                sets = [g[a:b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    found = texts.join(nodes, "node").mapInArrow(run, "node long, shingles binary")
-    return materialize(found.groupBy("node").agg(F.min("shingles").alias("shingles")), "near-sets")
+def units(posted: DataFrame) -> DataFrame:
+    """(node, leaders): the smallest classes of the lists that a class is on, itself included where it is one."""
+    first = posted.groupBy("token").agg(F.min("node").alias("leader"))
+    met = posted.join(materialize(first, "near-firsts"), "token").select("node", "leader").distinct()
+    return materialize(met.groupBy("node").agg(F.collect_list("leader").alias("leaders")), "near-units")  # at most one leader a coordinate
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= 80 * union."""
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+def packed_set(g: np.ndarray) -> bytes:
+    """Six bytes a shingle, sorted."""
+    low = np.sort(g & np.uint64((1 << 48) - 1))
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+def unpacked_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
-def star_pairs(posted: DataFrame) -> DataFrame:
-    """Each class with the smallest class of each list it is on."""
-    first = posted.groupBy("token").agg(F.min("node").alias("a"))
-    return posted.join(materialize(first, "near-firsts"), "token").where("a < node").select("a", F.col("node").alias("b")).distinct()
+def _signatures(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.stack([np.minimum.reduceat(g * t, starts) >> np.uint64(32) for t in _TURNS], axis=1).astype(np.uint32)
 
 
-def crossing_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
-    """Agreeing pairs of different components that share a list, by merging lists block against block."""
-    placed = posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lists = placed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    lists = materialize(lists.select("token", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "near-lists")
-    rows = placed.join(lists, "token").join(classes.select("node", "n_shingles", "signature"), "node")
+def members(docs: DataFrame, met: DataFrame, block: int, text: str, key: str) -> DataFrame:
+    """(leader, p, q, part, node, shingles): each class's set for every block pair of its units, made from the text that names it."""
+    n = met.count()
+    sizes = met.select(F.explode("leaders").alias("leader")).groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    big = materialize(sizes.select("leader", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "near-large")
+    each = met.select("node", F.explode("leaders").alias("leader")).join(big, "leader", "left").fillna({"parts": 1})
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.withColumn("_p", part).withColumn("_q", other).select(
-        "token", F.least("_p", "_q").alias("p"), F.greatest("_p", "_q").alias("q"), F.col("_p").alias("part"), "node", "component", "n_shingles", "signature"
+    pairs = each.withColumn("_p", part).withColumn("_q", other).select(
+        "node", F.struct("leader", F.least("_p", "_q").alias("p"), F.greatest("_p", "_q").alias("q"), F.col("_p").alias("part")).alias("x")
     )
-
-    def merge(rows: list[tuple]) -> set[tuple[int, int]]:
-        """Pairs of one list's two blocks (or of one with itself)."""
-        p, q = rows[0][1], rows[0][2]
-        node, comp, n = (np.array([r[i] for r in rows]) for i in (4, 5, 6))
-        part = np.array([r[3] for r in rows])
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, COORDINATES)
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        out = set()
-        for i in left:
-            may = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * SIMILAR)]
-            if p == q:
-                may = may[node[may] > node[i]]
-            hit = may[(sig[may] == sig[i]).sum(axis=1) >= matches]
-            out.update((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in hit)
+    to = pairs.groupBy("node").agg(F.collect_list("x").alias("to"))  # block pairs of one class's units
+    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(to) if n <= BROADCAST_CLASSES else to, "node")
+    found = rows.mapInArrow(_members, "leader long, p int, q int, part int, node long, shingles binary")
+    return found
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    names = ["leader", "p", "q", "part", "node", "shingles"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            g, ends = shingle_sets(utf8(piece.column("text")), known)
+            starts = np.concatenate([[0], ends[:-1]])
+            out = []
+            for node, to, a, b in zip(piece.column("node").to_pylist(), piece.column("to").to_pylist(), starts, ends, strict=True):
+                packed = packed_set(g[a:b])
+                out += [(x["leader"], x["p"], x["q"], x["part"], node, packed) for x in to]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+
+class Unit:
+    """Classes that are merged together: their sets as one inverted index, and what is linked so far."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)
+        values, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        by = np.argsort(self.ids, kind="stable")
+        self.owners = self.owner[by]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.ids, minlength=len(values)))])
+        self.ends = np.cumsum(self.sizes)
+        self.label = np.arange(len(sets))
+        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+        self.signature = _signatures(mixed(flat), self.ends - self.sizes)
+
+    def shared(self, i: int) -> np.ndarray:
+        """Common shingles of class i with every class."""
+        own = self.ids[self.ends[i] - self.sizes[i] : self.ends[i]]
+        n = self.starts[own + 1] - self.starts[own]
+        at = np.repeat(self.starts[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.owners[at], minlength=len(self.sizes))
+
+    def link(self, i: int, others: np.ndarray, matches: int) -> list[int]:
+        """Those of ``others`` that a link to class i joins to something new."""
+        may = others[self.label[others] != self.label[i]]
+        n = self.sizes
+        may = may[np.minimum(n[may], n[i]) * 100 >= np.maximum(n[may], n[i]) * SIMILAR]
+        may = may[(self.signature[may] == self.signature[i]).sum(axis=1) >= matches]
+        if not len(may):
+            return []
+        both = self.shared(i)[may]
+        out = []
+        for j in may[100 * both >= SIMILAR * (n[may] + n[i] - both)]:
+            if self.label[j] != self.label[i]:
+                self.label[self.label == self.label[j]] = self.label[i]
+                out.append(int(j))
         return out
 
+
+def merge(rows: list[tuple], matches: int = MATCHES) -> list[tuple[int, int]]:
+    """Links of one unit's two blocks (or of a block with itself) that join something."""
+    p, q = rows[0][1], rows[0][2]
+    node, part = [r[4] for r in rows], np.array([r[3] for r in rows])
+    unit = Unit([unpacked_set(r[5]) for r in rows])
+    left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+    return [(min(node[i], node[j]), max(node[i], node[j])) for i in left for j in unit.link(i, right[right > i] if p == q else right, matches)]
+
+
+def links(sent: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """Links (a, b) of all units: at most one less than it has classes for each pair of blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held and (found := sorted(merge(held))):
+            if len(held) > 1 and (found := merge(held, matches - SLACK)):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             held.clear()
@@ -213,9 +238,9 @@ def crossing_pairs(posted: DataFrame, labels: DataFrame, classes: DataFrame, mat
                 held.append(row)
         yield from flush()
 
-    n = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "token", "p", "q").sortWithinPartitions("token", "p", "q")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartition(n, "leader", "p", "q").sortWithinPartitions("leader", "p", "q", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
@@ -225,13 +250,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     sets = rows.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min(node).alias("node"), F.min("signature").alias("signature"))
     sets = materialize(sets, "near-classes")
     classes = sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")) if _repeats(sets) else sets
-    posted = prefix_posts(classes, matches)
-    full = full_sets(docs.withColumn(key, F.col(key).cast("long")), posted.select("node").distinct(), text, key)
-    stars = materialize(confirmed(agreeing(star_pairs(posted), classes, matches), full), "near-links")
-    labels = components(stars)
-    crossing = materialize(confirmed(agreeing(crossing_pairs(posted, labels, classes, matches, block), classes, matches), full), "near-links")
-    if crossing.limit(1).count():
-        labels = components(stars.union(crossing))
+    met = units(prefix_posts(classes, matches))
+    sent = members(docs, met, block, text, key)
+    labels = components(materialize(links(sent, matches), "near-links"))
     member = sets.select("hi", "lo", F.col("n_shingles").alias("_n"), "node").join(labels, "node", "left").select(
         F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "_n", F.coalesce("component", "node").alias("_component")
     )

@@ -137,20 +137,48 @@ def test_near_duplicates(spark, folder):
 
 
 def test_near_duplicates_block_by_block(spark, folder):
-    # tiny blocks, and no star links for most pairs, must not change the outcome
+    # tiny blocks, and the way without a broadcast, must not change the outcome
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    got = near_dup.near_duplicates(docs, block=2).collect()
+    old, near_dup.BROADCAST_CLASSES = near_dup.BROADCAST_CLASSES, 0
+    try:
+        got = near_dup.near_duplicates(docs, block=3).collect()
+    finally:
+        near_dup.BROADCAST_CLASSES = old
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], C.near_components(KEYED))
-    rows = near_dup.profiles(docs).where("n_shingles > 0 and doc_id is not null")
-    classes = rows.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")).cache()
-    posted = near_dup.prefix_posts(classes)
-    alone = spark.createDataFrame([], "node long, component long")
-    pairs = near_dup.crossing_pairs(posted, alone, classes, block=3)
-    full = near_dup.full_sets(docs, posted.select("node").distinct())
-    labels = near_dup.components(near_dup.confirmed(pairs, full)).collect()
-    by_component = Counter(c for k, n, c in C.near_components(KEYED) if k is not None and k == c)
-    assert {r.component for r in labels} <= set(by_component)
-    assert {r.node for r in labels} >= {k for k, t in KEYED if t and "edit" in t and k is not None}
+
+
+def test_links_of_a_unit_are_a_spanning_forest():
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    base = np.array(sorted(rnd.sample(range(1 << 40), 100)), np.uint64)
+    sets = []
+    for k in range(60):  # copies that differ from each other by about the threshold
+        w = base.copy()
+        w[rnd.sample(range(100), 11)] = np.array(rnd.sample(range(1 << 40), 11), np.uint64)
+        sets.append(np.sort(w))
+    rows = [(1, 0, 0, 0, k, near_dup.packed_set(x)) for k, x in enumerate(sets)]
+    assert all((near_dup.unpacked_set(r[5]) == x).all() for r, x in zip(rows, sets))
+    found, parent = near_dup.merge(rows, matches=20), list(range(60))
+
+    def root(x, up):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    plain = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if 100 * both >= 80 * (200 - both):
+                plain[root(i, plain)] = root(j, plain)
+    for a, b in found:
+        assert root(a, parent) != root(b, parent)
+        parent[root(a, parent)] = root(b, parent)
+    groups = lambda up: {frozenset(k for k in range(60) if root(k, up) == r) for r in {root(k, up) for k in range(60)}}
+    assert groups(parent) == groups(plain) and len(found) == 60 - len(groups(plain))
 
 
 def test_one_document_of_each_group_stays(spark, folder):
