@@ -16,7 +16,7 @@ from footfall.functions import geometry as G
 from footfall.operators import clamped, grid as Gr, mesh as M, plane as P, traffic as T, uncertainty as U
 from footfall.operators.keyed import KeyTable, settle, with_ordinals
 from footfall.operators.mixture import lateral_mixture
-from footfall.operators.quantiles import exact_quantiles, spearman_squared
+from footfall.operators.quantiles import exact_quantiles
 from footfall.operators.volume import wear_volume
 from footfall.plans import pipeline as PL
 from footfall.session import materialize
@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-GRID = 20
+GRID = K.GRID
 PLANES = 500
 AXES = (0, 1, 2)
 
@@ -53,7 +53,7 @@ def r(col: str | Column, digits: int = 9, name: str | None = None) -> Column:
 
 SV = """sv AS (SELECT 's' || lpad(CAST(k AS VARCHAR), 2, '0') AS mesh_id, vec_id AS vid,
   CAST(embedding[3*k+1] AS DOUBLE) AS x, CAST(embedding[3*k+2] AS DOUBLE) AS y, CAST(embedding[3*k+3] AS DOUBLE)/64.0 AS z
-  FROM embeddings, range(0, 21) t(k))"""
+  FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding)//3)) AS k FROM embeddings))"""
 SF = """sf AS (SELECT mesh_id, vid//3 AS fid, vid AS v0, vid+1 AS v1, vid+2 AS v2 FROM sv
   WHERE vid % 3 = 0 AND vid + 2 <= (SELECT max(vec_id) FROM embeddings))"""
 ST = """st AS (SELECT f.mesh_id, f.fid, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1,
@@ -97,10 +97,10 @@ ref AS (SELECT b.mesh_id, coalesce(q95, u_max) AS h FROM pb b LEFT JOIN edge e O
 cell AS (SELECT n.mesh_id, n.i, n.j, n.x, n.y, coalesce(greatest(0.0, h-u_top), 0.0)*1000.0 AS depth_mm FROM nodes n
   JOIN ref ON ref.mesh_id=n.mesh_id LEFT JOIN top t ON t.mesh_id=n.mesh_id AND t.i=n.i AND t.j=n.j)"""
 LEG = (PV, PB, grid_sql("pv", "pb"), LEGACY)
-LATERAL = f"""col AS (SELECT mesh_id, j, min(x) AS x, sum(depth_mm) AS v FROM cell GROUP BY mesh_id, j),
-tot AS (SELECT mesh_id, sum(v) AS t FROM col GROUP BY mesh_id),
+LATERAL = f"""col AS (SELECT mesh_id, j, min(x) AS x, CAST(sum(CAST(round(depth_mm*1e6) AS BIGINT)) AS BIGINT) AS v FROM cell GROUP BY mesh_id, j),
+tot AS (SELECT mesh_id, CAST(sum(v) AS BIGINT) AS t FROM col GROUP BY mesh_id),
 lat AS (SELECT c.mesh_id, j, x, CASE WHEN t > 0 THEN v/t ELSE 0.0 END AS share,
-  CAST(floor(CASE WHEN t > 0 THEN v/t ELSE 0.0 END*1000 + 1e-9) AS BIGINT) AS weight FROM col c JOIN tot ON tot.mesh_id=c.mesh_id)"""
+  CASE WHEN t > 0 THEN v*1000 // t ELSE 0 END AS weight FROM col c JOIN tot ON tot.mesh_id=c.mesh_id)"""
 REGION = f"""lon AS (SELECT mesh_id, i, min(y) AS y, sum(depth_mm) AS v FROM cell GROUP BY mesh_id, i),
 lm AS (SELECT mesh_id, avg(v) AS m FROM lon GROUP BY mesh_id),
 reg0 AS (SELECT l.mesh_id, avg(v) FILTER (i < {GRID//4}) AS nosing_wear, avg(v) FILTER (i >= {GRID//4} AND i < {3*GRID//4}) AS center_wear,
@@ -153,9 +153,10 @@ def shipment_cells(spark: SparkSession, sf: str) -> tuple[DataFrame, KeyTable]:
 # --- sources ---------------------------------------------------------------------
 
 def obj_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors written as OBJ lines: vertices, normals, texture noise, comments, polygons of 2 to 6 corners."""
-    emb = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    e = [F.col("embedding")[k].cast("double").cast("string") for k in range(3)]
+    """Vectors written as OBJ lines, one scan per three dimensions: vertices, normals, texture noise, comments, polygons of 2 to 6 corners."""
+    scan = F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / F.lit(3)).cast("int") - 1)).alias("scan")
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding", scan)
+    e = [F.col("embedding")[F.col("scan") * 3 + k].cast("double").cast("string") for k in range(3)]
     corner = lambda k: F.concat((F.col("vec_id") + 1 - k).cast("string"), F.lit("/1/2"))
     size = F.least(F.col("vec_id") + 1, F.lit(2) + F.pmod("vec_id", F.lit(5)))
     face = F.concat(F.lit("f "), F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), corner), "  "))
@@ -164,25 +165,27 @@ def obj_text(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws(" ", F.lit(" v"), *e, F.lit("1.0")), F.concat_ws("\t", F.lit("vn"), e[2], e[1], e[0]), face, F.lit("g part"),
     )
     return emb.select(
-        F.lit("scan").alias("mesh_id"), F.floor(F.col("vec_id") / 64).alias("chunk"), F.posexplode(lines).alias("k", "value"), "vec_id"
+        F.concat(F.lit("scan"), F.lpad(F.col("scan").cast("string"), 2, "0")).alias("mesh_id"), F.floor(F.col("vec_id") / 64).alias("chunk"), F.posexplode(lines).alias("k", "value"), "vec_id"
     ).select("mesh_id", "chunk", (F.col("vec_id") * 16 + F.col("k")).alias("pos"), "value")
 
 
-@query("obj_vertices", "SELECT 'scan' AS mesh_id, vec_id AS vid, CAST(embedding[1] AS DOUBLE)*0.5 AS x, "
-       "CAST(embedding[2] AS DOUBLE)*0.5 AS y, CAST(embedding[3] AS DOUBLE)*0.5 AS z FROM embeddings")
+SCANS = """sc AS (SELECT 'scan' || lpad(CAST(k AS VARCHAR), 2, '0') AS mesh_id, vec_id, CAST(embedding[3*k+1] AS DOUBLE) AS p,
+  CAST(embedding[3*k+2] AS DOUBLE) AS q, CAST(embedding[3*k+3] AS DOUBLE) AS s FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding)//3)) AS k FROM embeddings))"""
+
+
+@query("obj_vertices", cte(SCANS) + "SELECT mesh_id, vec_id AS vid, p*0.5 AS x, q*0.5 AS y, s*0.5 AS z FROM sc")
 def _(spark, sf):
     return obj.parse_obj(obj_text(spark, sf), 0.5).vertices
 
 
-@query("obj_faces", """WITH p AS (SELECT vec_id, least(vec_id+1, 2 + vec_id % 5) AS n FROM embeddings),
-t AS (SELECT vec_id, k FROM p, range(1, 5) r(k) WHERE k <= n-2)
-SELECT 'scan' AS mesh_id, row_number() OVER (ORDER BY vec_id, k)-1 AS fid, vec_id AS v0, vec_id-k AS v1, vec_id-k-1 AS v2 FROM t""")
+@query("obj_faces", cte(SCANS, """n AS (SELECT mesh_id, vec_id, least(vec_id+1, 2 + vec_id % 5) AS n FROM sc)""",
+       "t AS (SELECT mesh_id, vec_id, k FROM n, range(1, 5) r(k) WHERE k <= n-2)") + """
+SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY vec_id, k)-1 AS fid, vec_id AS v0, vec_id-k AS v1, vec_id-k-1 AS v2 FROM t""")
 def _(spark, sf):
     return obj.parse_obj(obj_text(spark, sf)).faces
 
 
-@query("obj_normals", "SELECT 'scan' AS mesh_id, vec_id AS nid, CAST(embedding[3] AS DOUBLE) AS nx, "
-       "CAST(embedding[2] AS DOUBLE) AS ny, CAST(embedding[1] AS DOUBLE) AS nz FROM embeddings")
+@query("obj_normals", cte(SCANS) + "SELECT mesh_id, vec_id AS nid, s AS nx, q AS ny, p AS nz FROM sc")
 def _(spark, sf):
     return obj.parse_obj(obj_text(spark, sf)).normals
 
@@ -572,7 +575,7 @@ def _(spark, sf):
 
 
 # Lane inputs per order: quantities give the component means, line count the modes.
-LANES = """ln AS (SELECT l_orderkey AS mesh_id, least(count(*), 4)-1 AS n_modes, max(l_tax)*100-3 AS kurtosis, min(l_quantity)/25.0 AS m0, max(l_quantity)/25.0 AS m1,
+LANES = """ln AS (SELECT l_orderkey AS mesh_id, count(*) % 4 AS n_modes, max(l_tax)*100-3 AS kurtosis, min(l_quantity)/25.0 AS m0, max(l_quantity)/25.0 AS m1,
   sum(l_quantity)/40.0 AS w_nom, max(l_discount) > 0.095 AS drift FROM lineitem GROUP BY l_orderkey),
 le AS (SELECT *, w_nom-0.4 AS w_eff, CASE WHEN w_nom-0.4 > 0 THEN CAST(floor((w_nom-0.4)/0.55) AS INTEGER) ELSE 0 END AS fits FROM ln),
 ls AS (SELECT *, CASE WHEN n_modes=2 THEN abs(m1-m0) END AS sep, CASE WHEN n_modes=2 THEN CASE WHEN w_eff > 0 THEN abs(m1-m0)/w_eff ELSE 0.0 END END AS ratio FROM le),
@@ -603,7 +606,7 @@ WHEN pattern LIKE 'COMPLEX%' THEN 'Multiple lanes detected (' || n_lanes || ' la
 WHEN pattern LIKE 'UNCERTAIN%' THEN 'Two modes detected but separation is ambiguous' ELSE 'Pattern: ' || pattern END AS description FROM lo""")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("mesh_id")).agg(
-        (F.least(F.count(F.lit(1)), F.lit(4)) - 1).cast("int").alias("n_modes"), (F.max("l_tax") * 100 - 3).alias("kurtosis"),
+        F.pmod(F.count(F.lit(1)), F.lit(4)).cast("int").alias("n_modes"), (F.max("l_tax") * 100 - 3).alias("kurtosis"),
         F.array(F.min("l_quantity") / 25.0, F.max("l_quantity") / 25.0).alias("means"),
         (F.sum("l_quantity") / 40.0).alias("w_nom"), (F.max("l_discount") > 0.095).alias("drift"),
     )
@@ -650,7 +653,7 @@ def _(spark, sf):
 
 @query("calibration_limited", cte(MATERIAL, MAT_VOLUME, """cl AS (SELECT *, volume*1e8 AS width, max_depth/250.0 AS inl FROM ts)""") + """
 SELECT part, material, concat_ws(' / ', CASE WHEN daily_500y > 50000 THEN 'Extremely high traffic (' || printf('%.0f', daily_500y) || ' footsteps/day at 500y)' END,
-CASE WHEN width < 0.4 OR width > 5.0 THEN 'Implausible stair width (' || printf('%.2f', width) || 'm) with scale=1.0 - likely unit mismatch' END,
+CASE WHEN width < 0.4 OR width > 5.0 THEN 'Implausible surface width (' || printf('%.2f', width) || 'm) with scale=1.0 - likely unit mismatch' END,
 CASE WHEN inl < 0.5 THEN 'Weak reference plane fit (' || printf('%.1f', inl*100) || '% inliers) - results less reliable' END,
 CASE WHEN daily_500y < 0.1 AND total_steps > 0 THEN 'Extremely low traffic (' || printf('%.3f', daily_500y) || ' footsteps/day) - likely calibration issue' END) AS reasons,
 daily_500y > 50000 OR width < 0.4 OR width > 5.0 OR inl < 0.5 OR (daily_500y < 0.1 AND total_steps > 0) AS is_limited,
@@ -679,13 +682,6 @@ def _(spark, sf):
 
 # --- uncertainty -----------------------------------------------------------------
 
-def exact_distribution(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Distribution struct over sample sets of any size."""
-    q = exact_quantiles(rows, value, U.QUANTILES, keys)
-    basic = rows.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return basic.join(q, keys).select(*keys, "n", U.distribution_of(F.col("_m"), F.col("_s"), F.col("q")).alias("dist"))
-
-
 DIST_SQL = """d AS (SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_pop(value) AS std, quantile_cont(value, 0.25) AS lo50,
   quantile_cont(value, 0.75) AS hi50, quantile_cont(value, 0.025) AS lo95, quantile_cont(value, 0.975) AS hi95 FROM events GROUP BY event_type)"""
 DIST_COLS = ("mean", "median", "std", "lo50", "hi50", "lo95", "hi95")
@@ -693,7 +689,7 @@ DIST_COLS = ("mean", "median", "std", "lo50", "hi50", "lo95", "hi95")
 
 @query("distribution_summary", cte(DIST_SQL) + "SELECT event_type, n, " + ", ".join(f"round({c},6) AS {c}" for c in DIST_COLS) + " FROM d")
 def _(spark, sf):
-    d = exact_distribution(event_samples(spark, sf), "value", ["event_type"])
+    d = U.exact_distribution(event_samples(spark, sf), "value", ["event_type"])
     parts = ("mean", "median", "std", "ci_50.lo", "ci_50.hi", "ci_95.lo", "ci_95.hi")
     return d.select("event_type", "n", *[r(F.col(f"dist.{p}"), 6, c) for p, c in zip(parts, DIST_COLS)])
 
@@ -701,7 +697,7 @@ def _(spark, sf):
 @query("distribution_text", cte(DIST_SQL) + """SELECT event_type, printf('%.2f [%.2f - %.2f]', median, lo95, hi95) AS with_ci,
 printf('%.2e [%.2e - %.2e]', median, lo95, hi95) AS scientific, printf('%.2f [%.2f-%.2f]', median, lo50, hi50) AS compact FROM d""")
 def _(spark, sf):
-    d = exact_distribution(event_samples(spark, sf), "value", ["event_type"])
+    d = U.exact_distribution(event_samples(spark, sf), "value", ["event_type"])
     return d.select(
         "event_type", U.format_with_ci("dist").alias("with_ci"), U.format_with_ci("dist", 2, True).alias("scientific"),
         U.format_compact("dist").alias("compact"),
@@ -720,7 +716,7 @@ def shipment_samples(spark, sf) -> DataFrame:
 
 SAMPLES = """sm AS (SELECT l_returnflag AS mesh_id, l_extendedprice/l_quantity AS traffic, l_quantity*1e-6 AS k_spec, (l_discount+1)/1000.0 AS scale, l_tax+1.5 AS grf,
   (l_partkey % 97)/1000.0 AS slip, l_extendedprice*1e-6 AS volume, l_extendedprice/50000.0 AS nosing_ratio, l_linestatus AS hypothesis FROM lineitem)"""
-SOURCE_COLS = {"k_spec": "k_spec", "scale": "scale", "plane": "volume", "grf": "grf", "slip": "slip"}
+SOURCE_COLS = U.SOURCE_COLS
 RANKS = "rk AS (SELECT mesh_id, " + ", ".join(
     f"rank() OVER (PARTITION BY mesh_id ORDER BY {c}) + (count(*) OVER (PARTITION BY mesh_id, {c})-1)/2.0 AS {c}"
     for c in ("traffic", *SOURCE_COLS.values())) + " FROM sm)"
@@ -728,11 +724,7 @@ RHO = "rho AS (SELECT mesh_id, " + ", ".join(f"corr({c}, traffic)**2 AS {s}" for
 
 
 def correlations(spark, sf) -> DataFrame:
-    """Squared rank correlation of traffic with each source, one column per source."""
-    found = spearman_squared(shipment_samples(spark, sf), list(SOURCE_COLS.values()), "traffic", ["mesh_id"])
-    return found.groupBy("mesh_id").agg(*[
-        F.max(F.when(F.col("column") == c, F.col("rho2"))).alias(s) for s, c in SOURCE_COLS.items()
-    ])
+    return U.correlations(shipment_samples(spark, sf))
 
 
 @query("spearman_squared", cte(SAMPLES, RANKS, RHO) + "SELECT mesh_id, " + ", ".join(f"round({s},6) AS {s}" for s in SOURCE_COLS) + " FROM rho")
@@ -793,7 +785,7 @@ CI = """ci AS (SELECT event_type, quantile_cont(p, 0.5) AS m, quantile_cont(p, 0
 
 def ascent_distribution(spark, sf) -> DataFrame:
     rows = event_samples(spark, sf).withColumn("p", U.prob_ascent(F.col("value") / 100.0, F.lit(1.0), F.lit(5.0)))
-    return exact_distribution(rows, "p", ["event_type"])
+    return U.exact_distribution(rows, "p", ["event_type"])
 
 
 @query("prob_ascent", cte(PROB) + "SELECT event_type, round(avg(p), 9) AS mean, round(min(p), 9) AS low, round(max(p), 9) AS high FROM pa GROUP BY event_type")
@@ -824,13 +816,10 @@ def _(spark, sf):
     f"round({c}/(y*365.0)*1e6, 6) AS {n}" for c, n in (("median", "median"), ("lo50", "ci50_lo"), ("hi50", "ci50_hi"), ("lo95", "ci95_lo"), ("hi95", "ci95_hi"))
 ) + ", (hi95/(50*365.0))/(lo95/(1000*365.0)+1e-20) > 100 AS log_scale FROM d, (VALUES " + ", ".join(f"('{y}y', {y})" for y in K.HORIZONS_YEARS) + ") h(horizon, y)")
 def _(spark, sf):
-    samples = event_samples(spark, sf)
-    rows = None
-    for y in K.HORIZONS_YEARS:
-        d = exact_distribution(samples.withColumn("v", F.col("value") / float(y * K.DAYS_PER_YEAR)), "v", ["event_type"])
-        d = d.select("event_type", F.col("dist").alias(f"daily_{y}y"))
-        rows = d if rows is None else rows.join(d, "event_type")
-    out = charts.traffic_intervals(rows.withColumnRenamed("event_type", "mesh_id"))
+    d = U.exact_distribution(event_samples(spark, sf), "value", ["event_type"]).withColumnRenamed("event_type", "mesh_id")
+    out = charts.traffic_intervals(d.select("mesh_id", *[
+        U.scaled_distribution("dist", float(y * K.DAYS_PER_YEAR)).alias(f"daily_{y}y") for y in K.HORIZONS_YEARS
+    ]))
     return out.select("mesh_id", "horizon", *[r(F.col(c) * 1e6, 6, c) for c in ("median", "ci50_lo", "ci50_hi", "ci95_lo", "ci95_hi")], "log_scale")
 
 
@@ -895,7 +884,7 @@ def _(spark, sf):
 
 @query("uncertainty_document")
 def _(spark, sf):
-    return report.uncertainty_document(PL.propagate(PL.load(surfaces(spark, sf)), 200, K.MC_SEED))
+    return report.uncertainty_document(PL.propagate(PL.load(surfaces(spark, sf)), K.MC_SAMPLES, K.MC_SEED))
 
 
 @query("lateral_curves")

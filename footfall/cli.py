@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))  # started as a file, from anywhere
 
-from footfall.functions import constants as K
-from footfall.plans import pipeline as PL
-from footfall.session import release_scratch, session
-from footfall.sinks import charts, report
-from footfall.sources.obj import read_obj, scale_to_width
-from footfall.operators.traffic import likely_units
+from pyspark.errors import AnalysisException  # noqa: E402
+from pyspark.sql import DataFrame, functions as F  # noqa: E402
+
+from footfall.functions import constants as K  # noqa: E402
+from footfall.plans import pipeline as PL  # noqa: E402
+from footfall.session import release_scratch, session, ship  # noqa: E402
+from footfall.sinks import charts, report  # noqa: E402
+from footfall.sources.obj import read_obj, scale_to_width  # noqa: E402
+from footfall.operators.traffic import likely_units  # noqa: E402
 
 
 def arguments(argv=None) -> argparse.Namespace:
-    parser = argparse.ArgumentParser(description="Analyse wear of scanned stair surfaces")
+    parser = argparse.ArgumentParser(description="Analyse wear of scanned surfaces")
     parser.add_argument("obj_file", help="OBJ file, folder or pattern")
     parser.add_argument("--material", default="granite", choices=[m[0] for m in K.MATERIALS])
-    parser.add_argument("--width", type=float, help="stair width in metres")
+    parser.add_argument("--width", type=float, help="surface width in metres")
     parser.add_argument("--scale", type=float, default=1.0)
     parser.add_argument("--measured-width-m", type=float)
     parser.add_argument("--output", "-o")
@@ -37,16 +40,18 @@ def arguments(argv=None) -> argparse.Namespace:
 
 
 def main(argv=None) -> int:
+    args = arguments(argv)
     spark = session()
     try:
-        return run(spark, arguments(argv))
+        return run(spark, args)
     finally:
         release_scratch(spark)
 
 
 def run(spark, args: argparse.Namespace) -> int:
+    ship(spark)
     config = PL.Config(
-        material=args.material, stair_width=args.width, scale=args.scale,
+        material=args.material, nominal_width=args.width, scale=args.scale,
         use_legacy_wear_volume=args.use_legacy_wear_volume, ransac_iters=args.ransac_iters,
         ransac_thresh_mm=args.ransac_thresh_mm, seg_angle_deg=args.seg_angle_deg,
         roi_quantiles=tuple(args.roi_quantiles), compat=not args.corrected,
@@ -59,32 +64,40 @@ def run(spark, args: argparse.Namespace) -> int:
     surface = PL.load(mesh, config)
     if args.measured_width_m:
         mesh, factors = scale_to_width(mesh, surface.frame, args.measured_width_m)
-        factors.show(truncate=False)
+        put(factors, args.output, "scales")
         surface = PL.load(mesh, config, factors)
-    show_units(surface)
+    put_units(surface, args.output)
     uncertain = None
     if args.uncertainty:
         uncertain = PL.propagate(surface, args.n_samples, args.uncertainty_seed)
-        uncertain.select("mesh_id", "classification", "traffic_dominated_by", "sensitivity").show(truncate=False)
+        put(report.uncertainty_lines(uncertain), args.output, "uncertainty_lines")
         if args.output:
             report.write_documents(report.uncertainty_document(uncertain), f"{args.output}/uncertainty")
     if uncertain is None or args.output:
         wear = PL.analyze_wear(surface)
         results = PL.estimate_traffic(wear, surface.config)
-        if uncertain is None:
-            report.report(results).show(truncate=False)
+        put(report.report(results), args.output, "report")
         if args.output:
-            report.write_documents(report.short_report(results), f"{args.output}/report")
+            report.write_documents(report.short_report(results), f"{args.output}/short_report")
             charts.write_charts(charts.all_charts(wear, results, config.grid, uncertain), f"{args.output}/charts")
     return 0
 
 
-def show_units(surface: PL.Surface) -> None:
-    """Unit heuristic on the raw width, printed when roles were given explicitly."""
+def put(rows: DataFrame, output: str | None, name: str) -> None:
+    """Write all rows under the output folder; without one, print all of them, a partition at a time."""
+    if output:
+        rows.write.mode("overwrite").json(f"{output}/{name}")
+        return
+    for row in rows.toLocalIterator():
+        print(row["text"] if "text" in rows.columns else "  ".join(f"{k}={v}" for k, v in row.asDict().items()))
+
+
+def put_units(surface: PL.Surface, output: str | None) -> None:
+    """Unit heuristic on the raw width, given when roles were set explicitly."""
     if surface.config.axes is None:
         return
     rows = surface.frame.df.select("mesh_id", (F.col("w_max") - F.col("w_min")).alias("width_raw"), F.lit(surface.config.scale).alias("scale"))
-    likely_units(rows).show(truncate=False)
+    put(likely_units(rows), output, "units")
 
 
 if __name__ == "__main__":

@@ -138,6 +138,6 @@ UNIT_OUTSIDE = "Width {0} units outside typical range"
 UNIT_GIVEN = "User specified scale={0}"
 
 LIMIT_HIGH = "Extremely high traffic ({0} footsteps/day at 500y)"
-LIMIT_WIDTH = "Implausible stair width ({0}m) with scale=1.0 - likely unit mismatch"
+LIMIT_WIDTH = "Implausible surface width ({0}m) with scale=1.0 - likely unit mismatch"
 LIMIT_PLANE = "Weak reference plane fit ({0} inliers) - results less reliable"
 LIMIT_LOW = "Extremely low traffic ({0} footsteps/day) - likely calibration issue"

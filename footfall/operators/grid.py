@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.functions import constants as K
 from footfall.functions import geometry as G
 from footfall.operators.keyed import KeyTable, attach, settle
-from footfall.operators.quantiles import exact_quantiles, sorted_quantile
+from footfall.operators.quantiles import exact_quantiles
 
 
 def node(lo: Column, hi: Column, index: Column, g: int) -> Column:
@@ -121,17 +121,18 @@ def _dense_line(sums: DataFrame, extents: KeyTable, index: str, axis: str, g: in
 def lateral_profile(cells: DataFrame, extents: KeyTable, g: int = K.GRID) -> DataFrame:
     """Column sums as shares of the total: (mesh_id, j, x, share, weight).
 
-    ``weight`` is the whole number of replicates the share stands for. A mesh without
-    wear keeps zero shares.
+    ``weight`` is the whole number of replicates the share stands for, rounded down. Depths
+    are summed as whole nanometres, so that no order of summation can change it. A mesh
+    without wear keeps zero shares.
     """
-    sums = cells.groupBy("mesh_id", "j").agg(F.sum("depth_mm").alias("value"))
+    nanometres = F.round(F.col("depth_mm") * 1e6).cast("long")
+    sums = cells.groupBy("mesh_id", "j").agg(F.sum(nanometres).alias("value"))
     total = settle(sums.groupBy("mesh_id").agg(F.sum("value").alias("total")), "total")
     line = attach(_dense_line(sums, extents, "j", "w", g), total, how="left", spread=["j"])
     share = F.coalesce(F.try_divide(F.col("value"), F.col("total")), F.lit(0.0))
     return line.select(
         "mesh_id", "j", F.col("pos").alias("x"), share.alias("share"),
-        # Sums arrive in any order: a share within rounding of a whole count takes that count.
-        F.floor(share * K.LATERAL_REPLICATES + 1e-9).cast("long").alias("weight"),
+        F.when(F.col("total") > 0, F.expr(f"cast(value as bigint) * {K.LATERAL_REPLICATES} div total")).otherwise(0).cast("long").alias("weight"),
     )
 
 
@@ -187,17 +188,11 @@ def temporal_drift(
 ) -> DataFrame:
     """Whether the centre of mass moves sideways with depth: (mesh_id, peak_0.., shift_ratio, drift).
 
-    ``widths`` gives mesh_id, w_nom (null reads as 1 m). Grids are bounded by their
-    resolution, so sorting one mesh's cells in a buffer is bounded as well.
+    ``widths`` gives mesh_id, w_nom (null reads as 1 m).
     """
     names = [f"t{k}" for k in range(len(quantiles))]
-    ordered = cells.groupBy("mesh_id").agg(F.sort_array(F.collect_list("depth_mm")).alias("s"))
-    limits = settle(
-        ordered.where(F.size("s") >= K.DRIFT_MIN_CELLS).select(
-            "mesh_id", *[sorted_quantile(F.col("s"), q).alias(n) for q, n in zip(quantiles, names)]
-        ),
-        "drift",
-    )
+    found = exact_quantiles(cells, "depth_mm", quantiles).where(F.col("n") >= K.DRIFT_MIN_CELLS)
+    limits = settle(found.select("mesh_id", *[F.col("q")[k].alias(n) for k, n in enumerate(names)]), "drift")
     masked = attach(cells, limits, spread=["i", "j"])
     peaks = []
     for k, n in enumerate(names):

@@ -11,7 +11,6 @@ from footfall.session import materialize
 
 BROADCAST_BYTES = 64 << 20   # proven bound for a broadcast side
 HOT_ROWS = 20_000_000        # a key with more rows is cut into parts before a shuffled join
-SPAN = 1 << 17               # ids per numbering span; bounds every window below
 BLOCK = 1 << 17              # rows handed to one vectorised task group
 
 MESH = ("mesh_id",)
@@ -98,20 +97,21 @@ def attach(
 def with_ordinals(rows: DataFrame, id_col: str, keys: Sequence[str] = MESH, name: str = "ord") -> DataFrame:
     """Number rows 0..n-1 per key in ``id_col`` order without sorting a key in one task.
 
-    Rows are numbered inside spans of ``SPAN`` consecutive ids; the spans' running
-    totals (one row per span) supply the offsets.
+    Rows are range-partitioned by key and id and written once; each range is numbered alone
+    and the ranges' running totals (one row per key and range) supply the offsets. How the
+    ids are spread makes no difference.
     """
     keys = list(keys)
-    spanned = rows.withColumn("_span", F.floor(F.col(id_col) / F.lit(SPAN)).cast("long"))
-    totals = spanned.groupBy(*keys, "_span").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_span").orderBy(id_col)
+    ranged = materialize(rows.repartitionByRange(*keys, id_col).withColumn("_part", F.spark_partition_id()), "ordered")
+    totals = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(id_col)
     return (
-        spanned.withColumn("_local", F.row_number().over(inside) - 1)
-        .join(offsets, keys + ["_span"])
+        ranged.withColumn("_local", F.row_number().over(inside) - 1)
+        .join(offsets, keys + ["_part"])
         .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-        .drop("_span", "_local", "_off")
+        .drop("_part", "_local", "_off")
     )
 
 

@@ -41,18 +41,20 @@ def triangles(mesh: Mesh) -> DataFrame:
     """One row per face with its corner coordinates x0..z2.
 
     Corners are exploded and looked up by one equi-join keyed by (mesh, vertex), so a
-    large mesh spreads over all tasks; a face with an unknown vertex is an error.
+    large mesh spreads over all tasks; a face with an unknown vertex is an error for every reader.
     """
     corners = mesh.faces.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "vid"))
-    found = corners.join(mesh.vertices, ["mesh_id", "vid"])
+    found = corners.join(mesh.vertices, ["mesh_id", "vid"], "left")
     picked = [
         F.max(F.when(F.col("corner") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in G.XYZ
     ]
-    out = found.groupBy("mesh_id", "fid").agg(F.count(F.lit(1)).alias("_n"), *picked)
-    complete = F.when(F.col("_n") == 3, F.col("x0")).otherwise(
-        F.raise_error(F.concat(F.lit("face refers to a missing vertex in mesh "), F.col("mesh_id"))).cast("double")
-    )
-    return out.withColumn("x0", complete).drop("_n")
+    out = found.groupBy("mesh_id", "fid").agg(F.count("x").alias("_n"), *picked)
+    return out.where(_or_raise(F.col("_n") == 3, "face refers to a missing vertex in mesh ")).drop("_n")
+
+
+def _or_raise(test: F.Column, message: str) -> F.Column:
+    """A filter that keeps every row and fails, naming the mesh, where ``test`` doesn't hold; filters are never pruned."""
+    return F.when(test, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(message), F.col("mesh_id"))).cast("boolean"))
 
 
 def mean_abs_normals(tris: DataFrame) -> DataFrame:
@@ -66,9 +68,11 @@ def mean_abs_normals(tris: DataFrame) -> DataFrame:
 def axis_roles(box: DataFrame, tris: DataFrame) -> DataFrame:
     """Infer up axis (largest mean absolute normal) and width/depth (smaller/larger extent).
 
-    Returns the bounds row plus ``width_axis, depth_axis, up_axis`` (0, 1 or 2).
+    Returns the bounds row plus ``width_axis, depth_axis, up_axis`` (0, 1 or 2). A mesh without
+    faces is an error: its axes must be given.
     """
-    joined = box.join(mean_abs_normals(tris), "mesh_id")
+    joined = box.join(mean_abs_normals(tris), "mesh_id", "left")
+    joined = joined.where(_or_raise(F.col("n_faces").isNotNull(), "no faces to infer axes from in mesh "))
     means = F.array("anx", "any", "anz")
     up = (F.array_position(means, F.array_max(means)) - 1).cast("int")
     joined = joined.withColumn("up_axis", up)

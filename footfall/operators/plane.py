@@ -263,7 +263,7 @@ def bootstrap_planes(
 
     Draws with replacement are counted per block; each block contributes the weighted
     moments of its rows for every replicate, and the moments are summed per replicate.
-    A mesh that fits one block repeats the draws of a plain seeded resample.
+    The rule is the same at every size: block k draws from the stream (seed, 0, k).
     """
     numbered = materialize(with_ordinals(support, "vid"), "inliers")
     stats = settle(
@@ -284,7 +284,7 @@ def bootstrap_planes(
         w, d, u = (pdf[c].to_numpy() - pdf["o" + c].to_numpy() for c in ("w", "d", "u"))
         feats = np.column_stack([np.ones(rows), w, d, u, w * w, d * d, w * d, w * u, d * u])
         share = _block_draws(n, block, size, reps, seed)
-        rng = np.random.default_rng(seed if n <= size else [seed, 0, block])
+        rng = np.random.default_rng([seed, 0, block])
         sums = np.empty((reps, feats.shape[1]))
         for b in range(reps):
             times = np.bincount(rng.choice(rows, int(share[b]), replace=True), minlength=rows)

@@ -11,6 +11,7 @@ from footfall.session import materialize
 
 EXACT_BUFFER_ROWS = 1_000_000  # largest key sorted in one aggregation buffer
 BINS = 1024                    # sub-intervals per narrowing pass
+INF = float("inf")
 
 
 def exact_quantiles(
@@ -26,7 +27,8 @@ def exact_quantiles(
     Keys of up to ``bound`` rows are sorted in an aggregation buffer. Larger keys are narrowed
     by counting passes: each pass bins the bracket holding the wanted ranks and keeps
     one bin, so only (key, bin) partial counts are ever shuffled. ``largest`` may give
-    a known upper limit of the rows per key.
+    a known upper limit of the rows per key. Values order as -inf, finite, inf, NaN; on both
+    routes a quantile that falls between an infinity and a finite value is that infinity.
     """
     keys = list(keys)
     rows = rows.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
@@ -41,8 +43,12 @@ def exact_quantiles(
 
 
 def lerp(low: Column, high: Column, t: Column) -> Column:
-    """Linear interpolation taken from the nearer end, so that both ends are met exactly."""
-    return F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (1 - t))
+    """Linear interpolation taken from the nearer end, so that both ends are met exactly.
+
+    Equal ends and whole positions need no arithmetic, which infinities would spoil.
+    """
+    between = F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (1 - t))
+    return F.when((t == 0) | low.eqNullSafe(high), low).otherwise(between)
 
 
 def sorted_quantile(ordered: Column, p: float) -> Column:
@@ -60,18 +66,33 @@ def _buffered(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataF
 
 
 def _narrowed(rows: DataFrame, keys: list[str], probs: Sequence[float], hot) -> DataFrame:
+    v = F.col("_v").cast("double")
+    finite = (v > -INF) & (v < INF)
     wanted = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     state = (
         attach(rows, hot, keys, spread=["_v"])
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        .groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(v == -INF).alias("n_low"), F.count_if(v == INF).alias("n_high"), F.count_if(F.isnan(v)).alias("n_nan"),
+            F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"),
+        )
         .select("*", F.inline(wanted))
         .withColumn("pos", (F.col("n") - 1) * F.col("p"))
-        .select(
-            *keys, "pi", "n", "lo", "hi", F.lit(0).cast("long").alias("below"),
-            F.floor("pos").cast("long").alias("k"), (F.col("pos") - F.floor("pos")).alias("frac"),
-            F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("xk"),
-            F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("xk1"),
-        )
+        .withColumn("k", F.floor("pos").cast("long"))
+        .withColumn("next", F.least(F.col("k") + 1, F.col("n") - 1))
+        .withColumn("last", F.col("n") - F.col("n_nan") - F.col("n_high") - 1)  # rank of the largest finite value
+    )
+
+    def special(rank: Column) -> Column:
+        """The value at a rank among the infinities and NaNs, which have known ranks; null if it is finite."""
+        beyond = F.when(rank < F.col("n") - F.col("n_nan"), F.lit(INF)).otherwise(F.lit(float("nan")))
+        return F.when(rank < F.col("n_low"), F.lit(-INF)).when(rank > F.col("last"), beyond)
+
+    here, after = special(F.col("k")), special(F.col("next"))
+    one = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    state = state.select(
+        *keys, "pi", "n", "lo", "hi", F.col("n_low").alias("below"), "k", (F.col("pos") - F.col("k")).alias("frac"),
+        F.coalesce(here, one, F.when(after.isNotNull(), F.col("hi"))).alias("xk"),
+        F.coalesce(after, one, F.when(here.isNotNull(), F.col("lo"))).alias("xk1"),
     )
     id_cols = keys + ["pi"]
     done = None
@@ -91,9 +112,11 @@ def _narrowed(rows: DataFrame, keys: list[str], probs: Sequence[float], hot) ->
 
 
 def _narrow_once(rows: DataFrame, table, keys: list[str], id_cols: list[str]) -> DataFrame:
-    width = F.col("hi") - F.col("lo")
-    # Each rounding step is monotone, so bin order agrees with value order.
-    bin_no = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("lo")) / width * BINS)).cast("int")
+    # Each rounding step is monotone, so bin order agrees with value order. Halves can't overflow.
+    # The ends always fall into different bins, so that every pass leaves fewer distinct values.
+    part = F.try_divide(F.col("_v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+    inner = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(F.coalesce(part, F.lit(0.0)) * BINS)))
+    bin_no = F.when(F.col("_v") == F.col("lo"), 0).when(F.col("_v") == F.col("hi"), BINS - 1).otherwise(inner).cast("int")
     bins = (
         attach(rows, table, keys, spread=["_v"])
         .where(F.col("_v").between(F.col("lo"), F.col("hi")))

@@ -12,7 +12,7 @@ from footfall.functions import constants as K
 from footfall.functions.text import fill, fixed, sci
 from footfall.operators.clamped import nosing_by_plane, nosing_ratio, volume_by_plane
 from footfall.operators.keyed import KeyTable, attach
-from footfall.operators.quantiles import sorted_quantile
+from footfall.operators.quantiles import exact_quantiles, spearman_squared
 from footfall.session import materialize
 
 HYPOTHESES = "array<struct<scale:double,prob:double,label:string>>"
@@ -139,26 +139,23 @@ def prob_ascent(ratio: Column, threshold: Column, slope: Column) -> Column:
 QUANTILES = (0.5, 0.25, 0.75, 0.025, 0.975)
 
 
-def sample_quantiles(ordered: Column) -> Column:
-    """Quantiles of an ascending array of one mesh's samples; one NaN sample makes all of them NaN."""
-    spoiled = F.isnan(F.get(ordered, F.size(ordered) - 1))
-    return F.array(*[
-        F.when(spoiled, F.lit(float("nan"))).otherwise(sorted_quantile(ordered, p)) for p in QUANTILES
-    ])
+def exact_distribution(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Distribution struct ``dist`` and count ``n`` per key, over sample sets of any size; one NaN makes the quantiles NaN."""
+    keys = list(keys)
+    q = exact_quantiles(rows, value, QUANTILES, keys)
+    basic = rows.groupBy(*keys).agg(
+        F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.max(F.isnan(value)).alias("_spoiled")
+    )
+    spoiled = F.transform("q", lambda x: F.when(F.col("_spoiled"), F.lit(float("nan"))).otherwise(x))
+    return basic.join(q, keys).select(*keys, "n", distribution_of(F.col("_m"), F.col("_s"), spoiled).alias("dist"))
 
 
 def distributions(samples: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One distribution struct per column and mesh; a mesh holds a bounded number of samples."""
+    """One distribution struct per column and mesh."""
     long = samples.select("mesh_id", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in columns
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns
     ])))
-    grouped = long.groupBy("mesh_id", "metric").agg(
-        F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.sort_array(F.collect_list("v")).alias("o")
-    )
-    summed = grouped.select("mesh_id", "metric", "m", "s", sample_quantiles(F.col("o")).alias("q")).select(
-        "mesh_id", "metric", distribution_of(F.col("m"), F.col("s"), F.col("q")).alias("dist")
-    )
-    return summed.groupBy("mesh_id").agg(*[
+    return exact_distribution(long, "v", ["mesh_id", "metric"]).groupBy("mesh_id").agg(*[
         F.first(F.when(F.col("metric") == c, F.col("dist")), ignorenulls=True).alias(c) for c in columns
     ])
 
@@ -185,29 +182,20 @@ def distribution_of(mean: Column, std: Column, q: Column) -> Column:
     )
 
 
-def _rank(col: Column, by: Sequence[str]) -> Column:
-    ties = Window.partitionBy(*by, col)
-    return F.rank().over(Window.partitionBy(*by).orderBy(col)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+SOURCE_COLS = {"k_spec": "k_spec", "scale": "scale", "plane": "volume", "grf": "grf", "slip": "slip"}
 
 
-def sensitivity(samples: DataFrame) -> DataFrame:
-    """Share of rank variance of traffic by source: (mesh_id, k_spec, scale, plane, grf, slip).
-
-    One mesh holds n_samples rows, so its ranks fit one window.
-    """
-    values = samples.select(
-        "mesh_id", F.log1p("traffic").alias("t"), F.log(F.col("k_spec") + 1e-20).alias("k"),
-        F.log(F.col("scale") + 1e-20).alias("sc"), F.col("grf").alias("g"), F.col("slip").alias("sl"),
-        F.log1p("volume").alias("v"),
-    )
-    names = ("t", "k", "sc", "g", "sl", "v")
-    ranked = values.select("mesh_id", *[_rank(F.col(c), ["mesh_id"]).alias(c) for c in names])
+def correlations(samples: DataFrame) -> DataFrame:
+    """Squared rank correlation of traffic with each source, one column per source; ranks need no transform of the values."""
+    found = spearman_squared(samples, list(SOURCE_COLS.values()), "traffic", ["mesh_id"])
+    return found.groupBy("mesh_id").agg(*[
+        F.coalesce(F.nanvl(F.max(F.when(F.col("column") == c, F.col("rho2"))), F.lit(0.0)), F.lit(0.0)).alias(s) for s, c in SOURCE_COLS.items()
+    ])
 
-    def share(c: str) -> Column:
-        return F.coalesce(F.nanvl(F.pow(F.corr(c, "t"), 2), F.lit(0.0)), F.lit(0.0))
 
-    return normalize_shares(ranked.groupBy("mesh_id").agg(*[share(c).alias(n) for c, n in (
-        ("k", "k_spec"), ("sc", "scale"), ("v", "plane"), ("g", "grf"), ("sl", "slip"))]))
+def sensitivity(samples: DataFrame) -> DataFrame:
+    """Share of rank variance of traffic by source: (mesh_id, k_spec, scale, plane, grf, slip)."""
+    return normalize_shares(correlations(samples))
 
 
 def normalize_shares(correlations: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ class Config:
 
     ``compat`` keeps known oddities of the published model: profiles always come from
     the default robust fit, Monte Carlo nosing applies the scale twice, and oak has no
-    Monte Carlo prior. ``stair_width`` is recorded but enters no formula.
+    Monte Carlo prior. ``nominal_width`` is recorded but enters no formula.
     """
 
     material: str = "granite"
-    stair_width: float | None = None
+    nominal_width: float | None = None
     scale: float = 1.0
     axes: tuple[int, int, int] | None = None
     use_legacy_wear_volume: bool = False

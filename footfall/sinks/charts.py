@@ -16,7 +16,7 @@ CURVE_POINTS = 200
 # Fixed wording of the calibration checklist.
 CHECKLIST = "\n".join([
     "HOW TO CALIBRATE", "",
-    "1. MEASURE REAL STAIR WIDTH", "   Use: --measured-width-m <width_in_meters>", "",
+    "1. MEASURE THE REAL WIDTH", "   Use: --measured-width-m <width_in_meters>", "",
     "2. IF MESH UNITS ARE MILLIMETERS", "   Use: --scale 0.001", "",
     "3. IF MESH UNITS ARE CENTIMETERS", "   Use: --scale 0.01", "",
     "4. TRY DIFFERENT MATERIALS", "   Use: --material sandstone", "   Use: --material limestone", "   Use: --material marble", "",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.functions import constants as K
 from footfall.functions.text import fill, fixed, percent, sci
+from footfall.operators.uncertainty import format_with_ci
 
 RULE = "=" * 70
 
@@ -19,7 +20,7 @@ def _lines() -> list[Column]:
         return F.when(test, line)
 
     lines = [
-        F.lit(RULE), F.lit("STAIR WEAR ANALYSIS REPORT"), F.lit(RULE), F.lit(""),
+        F.lit(RULE), F.lit("SURFACE WEAR REPORT"), F.lit(RULE), F.lit(""),
         fill("Input File: {0}", c("mesh_id")), fill("Material: {0}", c("name")),
         fill("Wear Volume Method: {0}", c("method")),
         only(robust, F.lit("")), only(robust, F.lit("--- ROBUST METHOD DIAGNOSTICS ---")),
@@ -34,7 +35,7 @@ def _lines() -> list[Column]:
         only(robust & c("weak_plane"), F.lit("  WARNING: Weak reference plane fit (inliers < 50%)")),
         only(robust & c("high_exclusion"), F.lit("  WARNING: High triangle exclusion (> 50%)")),
         only(robust & c("implausible_depth"), F.lit("  WARNING: Implausible max depth (> 200mm)")),
-        F.lit(""), F.lit("--- QUESTION 1: HOW OFTEN WERE THE STAIRS USED? ---"),
+        F.lit(""), F.lit("--- QUESTION 1: HOW OFTEN WAS THE SURFACE USED? ---"),
         fill("Total estimated footsteps: {0}", sci(c("total_steps"), 2)),
         fill("Wear volume: {0} m^3", sci(c("volume"), 2)),
         F.lit(""), F.lit("Estimated daily traffic (by building age):"),
@@ -71,12 +72,26 @@ def report(results: DataFrame) -> DataFrame:
 def short_report(results: DataFrame) -> DataFrame:
     """The five-line file variant: (mesh_id, text)."""
     return results.select("mesh_id", F.concat_ws(
-        "\n", F.lit("STAIR WEAR ANALYSIS REPORT"), fill("Material: {0}", F.col("material")),
+        "\n", F.lit("SURFACE WEAR REPORT"), fill("Material: {0}", F.col("material")),
         fill("Traffic: {0} steps", sci(F.col("total_steps"), 2)),
         fill("Direction: {0}", F.col("dominant_direction")), fill("Pattern: {0}", F.col("pattern")),
     ).alias("text"))
 
 
+def uncertainty_lines(results: DataFrame) -> DataFrame:
+    """Screen summary of the uncertainty per mesh: (mesh_id, text)."""
+    c = F.col
+    posterior = F.array_join(F.transform(F.map_entries("scale_hypothesis_posterior"), lambda e: fill("{0} {1}", e["key"], percent(e["value"], 0))), ", ")
+    shares = F.array_join(F.transform(F.map_entries("sensitivity"), lambda e: fill("{0} {1}", e["key"], percent(e["value"], 1))), ", ")
+    return results.select("mesh_id", F.concat_ws(
+        "\n", fill("Mesh: {0}", c("mesh_id")), fill("Wear volume (m3): {0}", format_with_ci("volume", 2, True)),
+        fill("Max depth (mm): {0}", format_with_ci("max_depth")), fill("P(ascent): {0}", format_with_ci("prob_ascent")),
+        fill("Direction: {0}", c("classification")), fill("Total steps: {0}", format_with_ci("total_steps", 2, True)),
+        *[fill(f"Daily over {y} years: " + "{0}", format_with_ci(f"daily_{y}y")) for y in K.HORIZONS_YEARS],
+        fill("Shares of variance: {0}", shares), fill("Dominated by: {0}", c("traffic_dominated_by")), fill("Scale: {0}", posterior),
+    ).alias("text"))
+
+
 def uncertainty_document(results: DataFrame) -> DataFrame:
     """Nested JSON result per mesh: (mesh_id, text)."""
 
@@ -107,9 +122,12 @@ def uncertainty_document(results: DataFrame) -> DataFrame:
         ).alias("traffic_conditional"),
         F.struct("scale_ambiguous", "weak_plane_fit").alias("flags"),
     )
-    return results.select("mesh_id", F.to_json(document, {"pretty": "true"}).alias("text"))
+    return results.select("mesh_id", F.to_json(document, {"pretty": "true", "ignoreNullFields": "false"}).alias("text"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One text row per mesh, foldered by mesh so that no single writer holds them all."""
-    documents.write.mode("overwrite").partitionBy("mesh_id").text(path)
+def write_documents(documents: DataFrame, path: str, foldered: bool = False) -> None:
+    """One JSON row (mesh_id, text) per mesh; ``foldered`` writes a text folder per mesh instead, for few meshes."""
+    if foldered:
+        documents.write.mode("overwrite").partitionBy("mesh_id").text(path)
+    else:
+        documents.write.mode("overwrite").json(path)

@@ -37,12 +37,16 @@ def _numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
     )
 
 
-def _records(lines: DataFrame, keyword: str) -> DataFrame:
-    """Token arrays of one record kind; comments, blanks and other keywords never match."""
-    kept = lines.where(F.col("value").rlike(rf"^\s*{keyword}(\s|$)"))
+def tokens(lines: DataFrame) -> DataFrame:
+    """Lines of the record kinds in use as token arrays ``t``; comments, blanks and other keywords go."""
+    kept = lines.where(F.col("value").rlike(r"^\s*(v|vn|f)(\s|$)"))
     return kept.select("mesh_id", "chunk", "pos", F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("t"))
 
 
+def _records(rows: DataFrame, keyword: str) -> DataFrame:
+    return rows.where(F.col("t")[0] == keyword)
+
+
 def _three(lines: DataFrame, keyword: str, id_name: str, names: tuple[str, str, str]) -> DataFrame:
     rows = _records(lines, keyword).select(
         "mesh_id", "chunk", "pos", *[F.col("t")[k + 1].cast("double").alias(n) for k, n in enumerate(names)]
@@ -57,6 +61,11 @@ def _vertex_index(token: Column) -> Column:
 
 
 def parse_obj(lines: DataFrame, scale: float = 1.0) -> Mesh:
+    """Mesh of OBJ lines, split into tokens once into a written table."""
+    return parse_tokens(materialize(tokens(lines), "obj"), scale)
+
+
+def parse_tokens(lines: DataFrame, scale: float = 1.0) -> Mesh:
     """Vertices and normals in file order; polygons become triangle fans, short faces vanish.
 
     Vertex numbers below 1 are rejected.
@@ -79,11 +88,16 @@ def parse_obj(lines: DataFrame, scale: float = 1.0) -> Mesh:
 
 
 def read_obj(spark: SparkSession, path: str, scale: float = 1.0) -> Mesh:
-    """Parse OBJ files once into written vertex and face tables."""
-    parsed = parse_obj(obj_lines(spark, path), scale)
+    """Parse OBJ files once into written vertex and face tables. A file without vertices is an error."""
+    lines = materialize(tokens(obj_lines(spark, path)), "obj")
+    parsed = parse_tokens(lines, scale)
     vertices = settle(parsed.vertices, "vertices")
-    if vertices.rows == 0:
-        raise ValueError(f"no vertices found in {path}")
+    # the names of the files, which the driver lists anyway; scans leave out empty files
+    files = spark.createDataFrame([(name,) for name in spark.read.text(path).inputFiles()], "mesh_id string")
+    place = F.regexp_replace("mesh_id", "^([A-Za-z]+):/+", "$1:/").alias("place")  # slashes after the scheme vary
+    bare = files.select("mesh_id", place).join(vertices.df.select(place).distinct(), "place", "left_anti").limit(1).collect()
+    if bare or vertices.rows == 0:
+        raise ValueError(f"no vertices found in {bare[0].mesh_id if bare else path}")
     return Mesh(vertices.df, materialize(parsed.faces, "faces"), parsed.normals)
 
 

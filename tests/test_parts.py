@@ -227,7 +227,7 @@ def test_lane_rules(spark, cols, pattern, count, m_max):
     assert row.single_file_possible
 
 
-def test_narrow_stair_and_drift_wording(spark):
+def test_narrow_surface_and_drift_wording(spark):
     row = lanes(spark, shy=0.1, w_nom=0.4, drift=True)
     assert row.w_eff == pytest.approx(0.2) and "single file" in row.rationale and "TEMPORAL DRIFT" in row.rationale
     assert "always possible" in row.description
@@ -415,7 +415,7 @@ def test_summary_of_one_to_ten(spark):
 
 def test_json_document(summary, tmp_path):
     pdf, out, row = summary
-    report.write_documents(report.uncertainty_document(out), f"{tmp_path}/doc")
+    report.write_documents(report.uncertainty_document(out), f"{tmp_path}/doc", foldered=True)
     files = list((tmp_path / "doc" / "mesh_id=m").glob("*.txt"))
     doc = json.loads("".join(p.read_text() for p in files))
     assert doc["metadata"]["n_samples"] == 100 and doc["metadata"]["material"] == "granite"
@@ -444,9 +444,11 @@ def test_command_line(spark, tmp_path, capsys):
     out = tmp_path / "out"
     code = cli.main([str(tmp_path / "step.obj"), "--measured-width-m", "0.9", "--material", "marble", "-o", str(out), "--uncertainty", "--n-samples", "20"])
     assert code == 0
-    short = next((out / "report").glob("mesh_id=*/*.txt")).read_text()
-    assert short.startswith("STAIR WEAR ANALYSIS REPORT\nMaterial: marble\nTraffic: ") and "Pattern: SINGLE FILE" in short
-    doc = json.loads(next((out / "uncertainty").glob("mesh_id=*/*.txt")).read_text())
+    short = json.loads(next((out / "short_report").glob("*.json")).read_text())["text"]
+    assert short.startswith("SURFACE WEAR REPORT\nMaterial: marble\nTraffic: ") and "Pattern: SINGLE FILE" in short
+    doc = json.loads(json.loads(next((out / "uncertainty").glob("*.json")).read_text())["text"])
+    lines = json.loads(next((out / "uncertainty_lines").glob("*.json")).read_text())["text"]
+    assert "P(ascent): " in lines and "Daily over 50 years: " in lines
     assert doc["metadata"]["scale_hypothesis_posterior"] == {"user": 1.0} and doc["metadata"]["scale"] == pytest.approx(0.001)
     names = {p.name for p in (out / "charts").iterdir()}
     assert {"wear_heatmap", "lateral_distribution", "longitudinal_profile", "summary_dashboard", "traffic_assumptions", "uncertainty_tornado"} <= names
