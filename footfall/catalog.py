@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from footfall.functions import constants as K
 from footfall.functions import geometry as G
 from footfall.operators import clamped, grid as Gr, mesh as M, plane as P, traffic as T, uncertainty as U
-from footfall.operators.keyed import KeyTable, settle, with_ordinals
+from footfall.operators.keyed import KeyTable, attach, settle, with_ordinals
 from footfall.operators.mixture import lateral_mixture
 from footfall.operators.quantiles import exact_quantiles
 from footfall.operators.volume import wear_volume
@@ -388,6 +388,45 @@ def _(spark, sf):
     return level.select("mesh_id", "n", r(F.col("q")[0], 9, "c"))
 
 
+FIT = """bs AS (SELECT s.mesh_id, s.inliers, a AS ha, b AS hb, c AS hc FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY inliers DESC, it) AS k FROM sc WHERE inliers > 0) s
+  JOIN hyp h ON h.mesh_id=s.mesh_id AND h.it=s.it WHERE k = 1 AND s.inliers >= 10),
+nl AS (SELECT n.* FROM num n JOIN bs ON bs.mesh_id=n.mesh_id WHERE abs(ha*w+hb*d+hc-u) < 0.002),
+im AS (SELECT mesh_id, avg(w) AS mw, avg(d) AS md, avg(u) AS mu, var_pop(w) AS vw, var_pop(d) AS vd, covar_pop(w,d) AS cwd, covar_pop(w,u) AS cwu, covar_pop(d,u) AS cdu FROM nl GROUP BY mesh_id),
+ia AS (SELECT *, (cwu*vd-cdu*cwd)/(vw*vd-cwd*cwd) AS a, (cdu*vw-cwu*cwd)/(vw*vd-cwd*cwd) AS b FROM im),
+rf AS (SELECT mesh_id, a, b, mu-a*mw-b*md AS c FROM ia),
+rm AS (SELECT l.mesh_id, sqrt(avg((a*w+b*d+c-u)**2))*1000.0 AS rms FROM nl l JOIN rf ON rf.mesh_id=l.mesh_id GROUP BY l.mesh_id)"""
+
+
+def plane_columns(df: DataFrame) -> DataFrame:
+    return df.select("mesh_id", r("a", 6), r("b", 6), r("c", 6), r("inlier_fraction"), r("rms_error_mm", 6), "method", "candidates_used", "inlier_count")
+
+
+@query("ruled_plane", cte(*HYP_CTE, SCORE, FIT) + """SELECT b.mesh_id, coalesce(round(a,6), 0.0) AS a, coalesce(round(rf.b,6), 0.0) AS b,
+round(coalesce(rf.c, (SELECT quantile_cont(z, 0.5) FROM sv WHERE sv.mesh_id=b.mesh_id)), 6) AS c, round(coalesce(inliers/cn.n, 0.0), 9) AS inlier_fraction,
+round(coalesce(rms, 0.0), 6) AS rms_error_mm, CASE WHEN rf.mesh_id IS NULL THEN 'fallback' ELSE 'RANSAC' END AS method, coalesce(cn.n, 0) AS candidates_used, coalesce(inliers, 0) AS inlier_count
+FROM box b LEFT JOIN cn ON cn.mesh_id=b.mesh_id LEFT JOIN bs ON bs.mesh_id=b.mesh_id LEFT JOIN rf ON rf.mesh_id=b.mesh_id LEFT JOIN rm ON rm.mesh_id=b.mesh_id""")
+def _(spark, sf):
+    mesh = surfaces(spark, sf)
+    frame = plain_frame(mesh)
+    return plane_columns(P.fit_planes(points_of(mesh, frame), frame, PLANES, draw=lambda counts, iters: fixed_triples(counts)).plane.df)
+
+
+@query("fallback_decision", """WITH ov AS (SELECT 'p' || CAST(l_orderkey AS VARCHAR) AS mesh_id, l_extendedprice/100000.0 AS w,
+  date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))/8192.0 AS d, l_quantity/4096.0 AS u FROM lineitem),
+ob AS (SELECT mesh_id, count(*) AS n, min(w) AS wl, max(w) AS wh, min(d) AS dl, max(d) AS dh, quantile_cont(u, 0.5) AS c FROM ov GROUP BY mesh_id),
+oc AS (SELECT v.mesh_id, count(*) AS n FROM ov v JOIN ob ON ob.mesh_id=v.mesh_id WHERE w < wl+0.1*(wh-wl) OR w > wh-0.1*(wh-wl) OR d < dl+0.1*(dh-dl) OR d > dh-0.1*(dh-dl) GROUP BY v.mesh_id)
+SELECT ob.mesh_id, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, round(c, 6) AS c, 0.0::DOUBLE AS inlier_fraction, 0.0::DOUBLE AS rms_error_mm, 'fallback' AS method, coalesce(oc.n, 0) AS candidates_used,
+CAST(0 AS BIGINT) AS inlier_count FROM ob LEFT JOIN oc ON oc.mesh_id=ob.mesh_id WHERE ob.n < 10""")
+def _(spark, sf):
+    pts = shipment_points(spark, sf, "l_orderkey")
+    small = settle(pts.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).where("n < 10").select("mesh_id"), "small")
+    pts = materialize(attach(pts, small, spread=["w"]).withColumn("vid", F.monotonically_increasing_id()), "small")
+    ext = pts.groupBy("mesh_id").agg(
+        F.min("w").alias("w_min"), F.max("w").alias("w_max"), F.min("d").alias("d_min"), F.max("d").alias("d_max"), F.count(F.lit(1)).alias("n_vertices")
+    )
+    return plane_columns(P.fit_planes(pts, settle(ext, "extents", most_vertices=F.max("n_vertices"))).plane.df)
+
+
 @query("robust_plane")
 def _(spark, sf):
     mesh = surfaces(spark, sf)

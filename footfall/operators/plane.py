@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -150,8 +150,9 @@ def fit_planes(
     iters: int = K.RANSAC_ITERS,
     thresh_mm: float = K.RANSAC_THRESH_MM,
     block: int = BLOCK,
+    draw: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> PlaneFit:
-    """Robust reference plane per mesh.
+    """Robust reference plane per mesh. ``draw`` makes the candidate triples, seeded ones by default.
 
     Plane row: mesh_id, a, b, c, inlier_fraction, rms_error_mm, method, candidates_used,
     inlier_count, and the winning three-point plane (ha, hb, hc) that defines the inliers.
@@ -161,7 +162,7 @@ def fit_planes(
     counts = settle(numbered.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")), "ccount", frame_table)
     enough = counts.of(counts.df.where(F.col("n") >= K.MIN_SUPPORT))
 
-    planes = materialize(solve_triples(draw_triples(enough.df, iters), numbered), "hypotheses")
+    planes = materialize(solve_triples((draw or draw_triples)(enough.df, iters), numbered), "hypotheses")
     scored = inlier_counts(numbered, planes, enough, thresh_m, block)
     best = settle(
         best_plane(scored, planes)
