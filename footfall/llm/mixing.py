@@ -72,10 +72,11 @@ def curriculum(
     """Plan of the mix: every row of ``docs`` (which has a column ``size``) with its source's
     ``source_size`` and ``target``, the words ``taken``, the ``copies`` taken whole, the words
     ``part`` of a last copy taken in part, and the ``position`` of each copy in time (array ``positions``)."""
-    order = F.xxhash64(F.col(key).cast("string"))
+    # 60 bits of a hash that every engine has; blocks are ranges of it, so that their number changes nothing
+    order = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
     n_rows = docs.count()
     blocks = max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))
-    rows = docs.withColumn("_source", F.col(source)).withColumn("_order", order).withColumn("_block", F.pmod(F.col("_order"), F.lit(blocks)))
+    rows = docs.withColumn("_source", F.col(source)).withColumn("_order", order).withColumn("_block", F.floor(F.col("_order") / float(1 << 60) * blocks))
     by_block = materialize(rows.groupBy("_source", "_block").agg(F.sum("size").alias("_words")), "mix-blocks")
     targets = source_targets(by_block.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights, share, most)
     targets = targets.withColumn("slope", _cycled(slopes, F.col("_rank"))).drop("_rank", "weight")

@@ -16,9 +16,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
         return fn
 
     return add
@@ -33,16 +35,59 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The windows of 9 and 10 and the pairs of 4 are all written out, so these are for small tables.
+REPEATED_WORDS = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w)-11)) AS i FROM t)),
+hit AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY h) AS f FROM win) WHERE f < doc_id),
+gone AS (SELECT DISTINCT r, i+k AS p FROM hit, range(0, 13) g(k)),
+kept AS (SELECT r, list(w[p] ORDER BY p) AS l FROM (SELECT t.r, w, unnest(range(1, len(w)+1)) AS p FROM t) x WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = x.r AND gone.p = x.p) GROUP BY r),
+n AS (SELECT r, count(*) AS c FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(array_to_string(l, ' '), '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.r = t.r LEFT JOIN n ON n.r = t.r"""
+REPEATED_BYTES = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS s, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT r, i, md5_number(substr(x, 2*i+1, 400)) AS h FROM (SELECT r, x, unnest(range(0, CAST(len(x)/2 AS BIGINT)-199)) AS i FROM t)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1),
+edge AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 1000) AS gap FROM hit),
+span AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(CAST(gap > 200 AS INT)) OVER (PARTITION BY r ORDER BY i) AS g FROM edge) GROUP BY r, g),
+each AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM span),
+per AS (SELECT r, sum(b-a) AS gone, count(*) AS spans, max(b) AS last, list([before, a] ORDER BY a) AS keep FROM each GROUP BY r),
+rest AS (SELECT t.r, coalesce(array_to_string([substr(x, 2*k[1]+1, 2*(k[2]-k[1])) for k in keep], ''), '') || substr(x, 2*coalesce(last, 0)+1) AS left_over FROM t LEFT JOIN per ON per.r = t.r)
+SELECT doc_id, CAST(len(x)//2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(left_over)) AS kept_sha256
+FROM t JOIN rest ON rest.r = t.r LEFT JOIN per ON per.r = t.r"""
+NEAR = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i+1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), CASE WHEN len(w) = 1 THEN 2 ELSE 0 END))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM pr JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100*c >= 80*(p.n + q.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS k, doc_id AS m FROM d UNION SELECT reach.k, u.b FROM reach JOIN u ON u.a = reach.m),
+comp AS (SELECT k, min(m) AS component_id FROM reach GROUP BY k)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN comp ON comp.k = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+MIX = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS o FROM documents),
+t AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][k % 3 + 1] AS weight, [-0.5, 0.0, 0.5][k % 3 + 1] AS slope, 2.0*source_size AS cap FROM t),
+l AS (SELECT *, (1.5*sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap/weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap/weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT w.*, least(cap, (SELECT level FROM l WHERE level <= cap/weight ORDER BY cap/weight, k LIMIT 1)*weight) AS target FROM w),
+p AS (SELECT d.doc_id, d.source, d.size, CAST(source_size AS BIGINT) AS source_size, target, slope, CAST(round(target) AS BIGINT) AS goal,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole FROM p),
+e AS (SELECT *, CAST(whole*size + greatest(0, least(size, goal - whole*source_size - before)) AS BIGINT) AS taken, before/target AS u, slope + 1.0 AS b FROM c)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target, taken,
+CASE WHEN taken > 0 THEN round(least(1.0, u*2.0/(b + sqrt(greatest(b*b - slope*u*4.0, 0.0)))), 9) END AS position FROM e"""
+
+
 @query("op7_bpe_forced_boundary")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), vocabulary())
 
 
-@query("op8_curriculum_mix")
+@query("op8_curriculum_mix", MIX)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text")
     plan = mixing.curriculum(materialize(sizes, "mix-sizes"))
-    out = plan.select("doc_id", "source", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("position")
+    out = plan.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken", first)
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -76,17 +121,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_suffix_automata")
+@query("op9_suffix_automata", REPEATED_WORDS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.removal_digests(documents(spark, sf_dir))
 
 
-@query("op10_run_length_index")
+@query("op10_run_length_index", REPEATED_BYTES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.removal_digests(documents(spark, sf_dir))
 
 
-@query("op4_coordinate_join")
+@query("op4_coordinate_join", NEAR)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
