@@ -39,7 +39,9 @@ class KeyTable:
 
     @property
     def bytes(self) -> int:
-        return self.rows * _width(self.df.schema)
+        """Upper estimate; names of meshes (file paths) count with the longest one seen, four bytes a character."""
+        longer = max(0, 4 * (self.seen.get("_longest") or 0) - 64) if "mesh_id" in self.df.columns else 0
+        return self.rows * (_width(self.df.schema) + longer)
 
     def of(self, df: DataFrame) -> "KeyTable":
         """The same keys with other columns."""
@@ -60,6 +62,8 @@ def settle(df: DataFrame, label: str = "keys", like: KeyTable | None = None, **f
     ``like`` is a table with the same keys whose hot keys are hot here as well.
     """
     watch = Observation()
+    if "mesh_id" in df.columns:
+        figures["_longest"] = F.max(F.length("mesh_id"))
     counted = df.observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()])
     written = materialize(counted, label)
     seen = watch.get

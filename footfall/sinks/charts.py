@@ -28,10 +28,6 @@ def _joined(*lines: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
 
 
-def heatmap(cells: DataFrame, extents: KeyTable, g: int = K.GRID) -> DataFrame:
-    return dense_grid(cells, extents, g)
-
-
 def heatmap_info(results: DataFrame) -> DataFrame:
     """Info box of the heat map: (mesh_id, text)."""
     c = F.col
@@ -71,6 +67,7 @@ def lateral_curves(profile: DataFrame, results: DataFrame) -> DataFrame:
     return observed.unionByName(curves)
 
 
+# The wording of this text is fixed.
 def lateral_info(results: DataFrame) -> DataFrame:
     c = F.col
     single = c("pattern").contains(K.SINGLE)
@@ -88,6 +85,7 @@ def lateral_info(results: DataFrame) -> DataFrame:
     )
 
 
+# The wording of this text is fixed.
 def longitudinal_info(profile: DataFrame, results: DataFrame, g: int = K.GRID) -> DataFrame:
     """Region borders and info box of the longitudinal chart."""
     c = F.col
@@ -103,6 +101,7 @@ def longitudinal_info(profile: DataFrame, results: DataFrame, g: int = K.GRID) -
     return borders.join(info, "mesh_id")
 
 
+# The wording of this text is fixed.
 def conclusions(results: DataFrame) -> DataFrame:
     """Evidence summary without traffic numbers: (mesh_id, text)."""
     c = F.col
@@ -125,6 +124,7 @@ def conclusions(results: DataFrame) -> DataFrame:
     ).alias("text"))
 
 
+# The wording of this text is fixed.
 def traffic_assumptions(results: DataFrame) -> DataFrame:
     """Banner, assumptions, horizon table and warnings of the traffic page."""
     c = F.col
@@ -191,6 +191,7 @@ def direction_panel(uncertainty: DataFrame) -> DataFrame:
     )
 
 
+# The wording of this text is fixed.
 def uncertainty_text(uncertainty: DataFrame) -> DataFrame:
     def ci(name: str, show) -> Column:
         d = F.col(name)["ci_95"]
@@ -212,7 +213,7 @@ def uncertainty_text(uncertainty: DataFrame) -> DataFrame:
 def all_charts(wear, results: DataFrame, g: int = K.GRID, uncertainty: DataFrame | None = None) -> dict[str, DataFrame]:
     """Chart tables by name; the uncertainty panels only with uncertainty results."""
     charts = {
-        "wear_heatmap": heatmap(wear.cells, wear.extents, g), "wear_heatmap_info": heatmap_info(results),
+        "wear_heatmap": dense_grid(wear.cells, wear.extents, g), "wear_heatmap_info": heatmap_info(results),
         "lateral_distribution": lateral_curves(wear.lateral, results), "lateral_distribution_info": lateral_info(results),
         "longitudinal_profile": wear.longitudinal, "longitudinal_profile_info": longitudinal_info(wear.longitudinal, results, g),
         "summary_dashboard": conclusions(results), "traffic_assumptions": traffic_assumptions(results),
