@@ -92,12 +92,15 @@ def test_language_model(spark, folder):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_and_word_factors_sum_to_one():
+def test_group_and_class_factors_sum_to_one():
     import numpy as np
 
-    w = np.random.default_rng(1).normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
-    p = maxent.class_probabilities(np.array([[0, maxent.BUCKETS[0], maxent.ROWS - 1]]), w, np.zeros(maxent.CLASSES, np.float32))
-    assert abs(p.sum() - 1) < 1e-5
+    rnd, n = np.random.default_rng(1), maxent.CLASSES
+    w = maxent.Weights(maxent.Model(np.arange(n), np.arange(n), np.zeros(0, np.uint64)))
+    w.groups[:], w.classes[:] = rnd.normal(size=w.groups.shape), rnd.normal(size=w.classes.shape)
+    rows = np.array([[0, maxent.BUCKETS[0], maxent.ROWS - 1]] * maxent.GROUPS)
+    one, two = maxent.probabilities(rows, np.arange(maxent.GROUPS), w)
+    assert abs((one[0][:, None] * two).sum() - 1) < 1e-5
 
 
 def test_line_quality(spark, folder):
