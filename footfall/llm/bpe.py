@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -29,7 +30,8 @@ from tokenizers import Tokenizer
 
 from footfall.llm.common import slices, utf8
 
-KNOWN_CHUNKS = 300_000   # entries of each table of a worker; a full table is emptied
+KNOWN_CHUNKS = 150_000   # entries of each table of a worker; a full table is emptied
+ENCODED_BYTES = 2 << 20  # text whose tokens are held as lists at once
 SHORT = 48               # fragments up to this length are merged by rescanning
 LATIN = 0x250            # texts below this code point are split here, others by the library's own splitter
 
@@ -203,9 +205,11 @@ def encode(df: DataFrame, path: str, text: str = "text", to: str = "token_ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(spec.value)
         for batch in batches:
-            for part in slices(batch, text):
-                ids = [bpe.encode(t) for t in utf8(part.column(text))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, to])
+            for part in slices(batch, text, ENCODED_BYTES):
+                ids = [np.array(bpe.encode(t), np.int32) for t in utf8(part.column(text))]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, to])
 
     return df.select(*rest).mapInArrow(run, schema)
 
