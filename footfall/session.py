@@ -74,16 +74,23 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/footfall-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables written so far by this process; call it once results are stored."""
+def scratch_tables() -> list[str]:
+    """Paths of the scratch tables of this process; what one piece of work has added is its own."""
+    return list(_written)
+
+
+def release_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete the scratch tables ``paths`` (all written so far by this process, if not given); call it once results are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     released = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        released += bool(path.getFileSystem(conf).delete(path, True))
+    for name in list(_written) if paths is None else paths:
+        if name in _written:
+            _written.remove(name)
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            released += bool(path.getFileSystem(conf).delete(path, True))
     return released
