@@ -13,6 +13,7 @@ operators define it. Columns other than those of ``documents`` are not carried o
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,28 +21,53 @@ from pyspark.sql import DataFrame, SparkSession
 from footfall.llm import bpe, mixing, near_dup, pii, quality
 from footfall.llm.common import documents
 from footfall.llm.queries import vocabulary
-from footfall.session import materialize
+from footfall.session import materialize, release_scratch, scratch_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+_scratch: dict[int, list[str]] = {}  # by stage: tables that its result, while unwritten, reads
 
+
+def stage(place: int) -> Callable[[Stage], Stage]:
+    """A stage's input has been written, so what the stages before it kept aside is no longer read: it is deleted first."""
+
+    def wrap(run: Stage) -> Stage:
+        @functools.wraps(run)
+        def stage_run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for earlier in [k for k in _scratch if k < place]:
+                release_scratch(spark, _scratch.pop(earlier))
+            known = set(scratch_tables())
+            out = run(spark, docs, sf_dir)
+            _scratch.setdefault(place, []).extend(p for p in scratch_tables() if p not in known)
+            return out
+
+        return stage_run
+
+    return wrap
+
+
+@stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.clean(docs.select(*COLUMNS))
 
 
+@stage(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dup.without_near_duplicates(docs)
 
 
+@stage(2)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.masked(docs)
 
 
+@stage(3)
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+@stage(4)
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocabulary())
 
@@ -56,6 +82,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    for name, step in STAGES[:-1]:
+        docs = materialize(step(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
