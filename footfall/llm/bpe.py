@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from tokenizers import Tokenizer
 
 from footfall.llm.common import slices, utf8
 
-KNOWN_CHUNKS = 150_000   # entries of each table of a worker; a full table is emptied
+KNOWN_CHUNKS = 300_000   # entries of each table of a worker; a full table is emptied
 ENCODED_BYTES = 2 << 20  # text whose tokens are held as lists at once
 SHORT = 48               # fragments up to this length are merged by rescanning
 LATIN = 0x250            # texts below this code point are split here, others by the library's own splitter
@@ -69,7 +70,8 @@ class ForcedBoundaryBpe:
         self.alphabet = byte_alphabet()
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[bytes, tuple[int, str, str]] = {}
+        self.coded: dict[bytes, tuple[int, ...]] = {}            # runs without white space, for ``encode``
+        self.chunks: dict[bytes, tuple[int, str, str]] = {}      # the same with their spellings, for ``parts``
 
     def boundaries(self, piece: str) -> list[int]:
         """Places of ``piece`` that are certain cuts."""
@@ -149,6 +151,14 @@ class ForcedBoundaryBpe:
         normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def code(self, chunk: bytes) -> tuple[int, ...]:
+        """Tokens of a run without white space."""
+        found = tuple(i for p in self.split(chunk) for i in self.piece(p))
+        if len(self.coded) > KNOWN_CHUNKS:
+            self.coded.clear()
+        self.coded[chunk] = found
+        return found
+
     def chunk(self, chunk: bytes) -> tuple[int, str, str]:
         """Token count, ids as text and decoded text of a run without white space."""
         ids = [i for p in self.split(chunk) for i in self.piece(p)]
@@ -162,22 +172,30 @@ class ForcedBoundaryBpe:
         """The library's decoding for a file without a decoder: tokens joined by one space."""
         return " ".join([self.tokens[i] for i in ids])
 
+    def stretches(self, text: bytes) -> list[tuple[bytes, int | None]]:
+        """The text between special tokens, and the special tokens (with their ids), in order."""
+        if b"<|" not in text or not self.split_special:
+            return [(text, None)]
+        return [(part, self.special[part.decode()] if k % 2 else None) for k, part in enumerate(self.split_special.split(text))]
+
     def parts(self, text: bytes) -> list[tuple[int, str, str]]:
         """What ``chunk`` gives for each run of the text and each special token in it, in order."""
-        if b"<|" in text and self.split_special and len(found := self.split_special.split(text)) > 1:
-            out = []
-            for k, part in enumerate(found):
-                if k % 2:
-                    i = self.special[part.decode()]
-                    out.append((1, str(i), self.decode([i])))
-                else:
-                    out += self.parts(part)
-            return out
-        get, new = self.chunks.get, self.chunk
-        return [p for p in [get(c) or new(c) for c in text.split()] if p[0]]
+        get, new, out = self.chunks.get, self.chunk, []
+        for part, special in self.stretches(text):
+            if special is None:
+                out += [p for p in [get(c) or new(c) for c in part.split()] if p[0]]
+            else:
+                out.append((1, str(special), self.decode([special])))
+        return out
 
     def encode(self, text: bytes) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split()]
+        get, new, out = self.coded.get, self.code, []
+        for part, special in self.stretches(text):
+            if special is None:
+                out += chain.from_iterable([get(c) or new(c) for c in part.split()])
+            else:
+                out.append(special)
+        return out
 
 
 _ready: dict[str, ForcedBoundaryBpe] = {}  # a worker keeps its encoders and their tables between tasks
