@@ -138,22 +138,75 @@ def _signatures(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat(g * t, starts) >> np.uint64(32) for t in _TURNS], axis=1).astype(np.uint32)
 
 
-def members(docs: DataFrame, met: DataFrame, block: int, text: str, key: str) -> DataFrame:
-    """(leader, p, q, part, node, shingles): each class's set for every block pair of its units, made from the text that names it."""
-    n = met.count()
-    sizes = met.select(F.explode("leaders").alias("leader")).groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+def block_pairs(met: DataFrame, block: int) -> DataFrame:
+    """(leader, p, q, part, node): each class of a unit for every pair of blocks that its own block is in."""
+    each = met.select("node", F.explode("leaders").alias("leader"))
+    sizes = each.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     big = materialize(sizes.select("leader", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "near-large")
-    each = met.select("node", F.explode("leaders").alias("leader")).join(big, "leader", "left").fillna({"parts": 1})
+    each = each.join(big, "leader", "left").fillna({"parts": 1})
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = each.withColumn("_p", part).withColumn("_q", other).select(
-        "node", F.struct("leader", F.least("_p", "_q").alias("p"), F.greatest("_p", "_q").alias("q"), F.col("_p").alias("part")).alias("x")
+    return each.withColumn("part", part).withColumn("_q", other).select(
+        "leader", F.least("part", "_q").alias("p"), F.greatest("part", "_q").alias("q"), "part", "node"
     )
-    to = pairs.groupBy("node").agg(F.collect_list("x").alias("to"))  # block pairs of one class's units
+
+
+def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each (leader, p, q) in turn, from sorted batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _by_unit(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "leader", "p", "q").sortWithinPartitions("leader", "p", "q", "node")
+
+
+def partnered(rows: list[tuple], matches: int) -> np.ndarray:
+    """Which of a unit's rows (.., part, node, signature) agree in enough coordinates with one of the other block."""
+    p, q = rows[0][1], rows[0][2]
+    part = np.array([r[3] for r in rows])
+    sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(-1, COORDINATES)
+    left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+    out = np.zeros(len(rows), bool)
+    for a in range(0, len(left), 128):
+        at = left[a : a + 128]
+        agree = (sig[at][:, None, :] == sig[right][None, :, :]).sum(axis=2) >= matches
+        agree &= at[:, None] != right[None, :]
+        out[at] |= agree.any(axis=1)
+        out[right] |= agree.any(axis=0)
+    return out
+
+
+def agreeing(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """The rows of ``block_pairs`` whose signature agrees with another's of the unit; only their sets are sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        for rows in _units_of(batches):
+            kept = [r for r, good in zip(rows, partnered(rows, matches), strict=True) if good]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], k) for i, k in enumerate(kinds)], names=["leader", "p", "q", "part", "node"])
+
+    rows = pairs.join(classes.select("node", "signature"), "node").select("leader", "p", "q", "part", "node", "signature")
+    return _by_unit(rows).mapInArrow(run, "leader long, p int, q int, part int, node long")
+
+
+def members(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
+    """``pairs`` with each class's set, made from the text that names the class."""
+    to = pairs.groupBy("node").agg(F.collect_list(F.struct("leader", "p", "q", "part")).alias("to"))  # block pairs of one class's units
+    to = materialize(to, "near-to")
+    few = to.count() <= BROADCAST_CLASSES
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(to) if n <= BROADCAST_CLASSES else to, "node")
-    found = rows.mapInArrow(_members, "leader long, p int, q int, part int, node long, shingles binary")
-    return found
+    rows = texts.join(F.broadcast(to) if few else to, "node")
+    return rows.mapInArrow(_members, "leader long, p int, q int, part int, node long, shingles binary")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,24 +276,12 @@ def links(sent: DataFrame, matches: int = MATCHES) -> DataFrame:
     """Links (a, b) of all units: at most one less than it has classes for each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1 and (found := merge(held, matches - SLACK)):
+        for rows in _units_of(batches):
+            if len(rows) > 1 and (found := merge(rows, matches - SLACK)):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            held.clear()
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield from flush()
-                held.append(row)
-        yield from flush()
 
-    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sent.repartition(n, "leader", "p", "q").sortWithinPartitions("leader", "p", "q", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return _by_unit(sent).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
@@ -251,7 +292,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
     sets = materialize(sets, "near-classes")
     classes = sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")) if _repeats(sets) else sets
     met = units(prefix_posts(classes, matches))
-    sent = members(docs, met, block, text, key)
+    sent = members(docs, agreeing(block_pairs(met, block), classes, matches), text, key)
     labels = components(materialize(links(sent, matches), "near-links"))
     member = sets.select("hi", "lo", F.col("n_shingles").alias("_n"), "node").join(labels, "node", "left").select(
         F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "_n", F.coalesce("component", "node").alias("_component")
