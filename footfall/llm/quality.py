@@ -3,21 +3,29 @@ remove lines above the limits, and reject documents that this depletes.
 
 A line is normalised by lower-casing A-Z and joining its words by single spaces; lines
 without a word don't count. For each host (column ``source``) and line the distinct
-documents that have it are counted. So that copies and near copies of one document don't
-turn its own text into boilerplate, documents are told apart by the smallest hash among
-their *other* lines: copies share it, unrelated documents don't.
+documents that have it are counted, and the host's size is counted in the same unit.
+
+Documents are told apart by the set of all their lines, so exact copies are one. So that near
+copies of one document don't turn its own text into boilerplate either, texts that have a
+recurring line (in more than ``min_documents`` texts of the host) are compared in a second
+look: a line that isn't recurring itself, but equals another line of such texts except within
+a quarter of its words, stands for that line (for the most frequent recurring one, if there
+are several, otherwise for the one with the smallest hash). Pages that share any number of
+lines but have a line of their own so stay different documents; copies with a word exchanged
+here and there become one. Lines of fewer than ``OWN_WORDS`` words always stand for themselves.
 
 A line is removed where its count exceeds both ``min_documents`` and ``share`` of the
 host's documents. A document is depleted if fewer than ``min_words`` words are left or more
 than ``max_removed`` of its words went.
 
-Counting combines map-side and shuffles (host, line, document) and then (host, line), so a
-line that every document has is summed from partial counts. Marking is an equi-join of lines
-with the few lines above the limit, which the run-time skew join can split.
+Counting combines map-side and shuffles (host, line, text) and then (host, line), so a
+line that every document has is summed from partial counts; only texts with a recurring line
+go through the second look. Marking is an equi-join of lines with the few lines above the
+limit, which the run-time skew join can split.
 
 Defined cases: a null text has no words (and fails the base rules); a null host is a host of
 its own; repeated rows are judged each, alike; an empty table gives no rows; texts of one
-line only are never depleted by copies of themselves.
+line only are never depleted by copies of themselves; texts without words are one document.
 """
 
 from __future__ import annotations
@@ -35,6 +43,9 @@ from footfall.session import materialize
 
 WINDOW = 5        # words of the windows whose repetition inside a text counts
 MIN_WORDS = 10
+PARTS = 4         # a line's variants each leave one of so many parts out
+OWN_WORDS = 6     # words from which a line has variants
+VARIANTS = tuple(f"_variant{k}" for k in range(PARTS))
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -78,8 +89,15 @@ def repeated_words(hashes: np.ndarray, ends: np.ndarray, window: int = WINDOW) -
     return _sums(np.cumsum(cover[:n]) > 0, ends)
 
 
+def variants(parts: np.ndarray) -> np.ndarray:
+    """For every line, from the hashes of its parts (line x PARTS): hashes of the line without one of them."""
+    placed = mixed(parts ^ np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    rest = placed.sum(axis=1, dtype=np.uint64)[:, None] - placed
+    return mixed(rest ^ np.arange(1, PARTS + 1, dtype=np.uint64)).view(np.int64)
+
+
 def _measure(texts: list[bytes], words_known: WordHashes) -> list[list]:
-    n_words, dup, hashes, counts, words = [], [], [], [], []
+    n_words, dup, hashes, counts, words, whole, parts = [], [], [], [], [], [], []
     for text in texts:
         seen, own, sizes, here, again = set(), [], [], 0, 0
         for line in text.split(b"\n"):
@@ -90,8 +108,14 @@ def _measure(texts: list[bytes], words_known: WordHashes) -> list[list]:
             words += w
             again += line in seen
             seen.add(line)
-            own.append(xxhash.xxh3_64_intdigest(ascii_lower(b" ".join(w))) - (1 << 63))
+            lower = ascii_lower(b" ".join(w))
+            own.append(xxhash.xxh3_64_intdigest(lower) - (1 << 63))
             sizes.append(len(w))
+            if len(w) >= OWN_WORDS:
+                x = lower.split(b" ")
+                cuts = [len(w) * k // PARTS for k in range(PARTS + 1)]
+                parts += [xxhash.xxh3_64_intdigest(b" ".join(x[a:b])) for a, b in zip(cuts, cuts[1:])]
+        whole.append(xxhash.xxh3_64_intdigest(np.array(sorted(set(own)), np.int64).tobytes()) - (1 << 63))
         n_words.append(here)
         dup.append(again)
         hashes.append(own)
@@ -99,17 +123,23 @@ def _measure(texts: list[bytes], words_known: WordHashes) -> list[list]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     repeat = repeated_words(words_known.of(words), np.cumsum(n_words)) if words else np.zeros(len(texts), np.int64)
-    return [n_words, _sums(_CHAR[data], ends), _sums(_SYMBOL[data], ends), dup, repeat, hashes, counts]
+    made = iter(variants(np.array(parts, np.uint64).reshape(-1, PARTS)).tolist())
+    missing = [None] * PARTS
+    each = [[next(made) if n >= OWN_WORDS else missing for n in sizes] for sizes in counts]
+    without = [[[v[k] for v in lines] for lines in each] for k in range(PARTS)]
+    return [n_words, _sums(_CHAR[data], ends), _sums(_SYMBOL[data], ends), dup, repeat, hashes, counts, whole, *without]
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Per row the text's figures and its lines (hashes and word counts); other columns stay, the text goes."""
+    """Per row the text's figures, its lines (hashes, word counts, variants) and a hash of their set; other columns stay, the text goes."""
     rest = [c for c in docs.columns if c != text]
     schema = docs.select(*rest).schema
     for name in FIGURES:
         schema = schema.add(name, "long")
-    schema = schema.add("_lines", T.ArrayType(T.LongType())).add("_line_words", T.ArrayType(T.IntegerType()))
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+    schema = schema.add("_lines", T.ArrayType(T.LongType())).add("_line_words", T.ArrayType(T.IntegerType())).add("_text", "long")
+    for name in VARIANTS:
+        schema = schema.add(name, T.ArrayType(T.LongType()))
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()] + [pa.list_(pa.int64())] * PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -122,17 +152,50 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def same(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on the host (nulls are equal) and ``key``; those of ``right`` go."""
+    other = right.withColumnsRenamed({"_host": "_h", key: "_k"})
+    joined = left.join(other, F.expr(f"_host <=> _h AND {key} = _k"), how)
+    return joined if how == "left_semi" else joined.drop("_h", "_k")
+
+
+def stand_ins(lines: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(host, line, stand-in) of lines that aren't recurring and share a variant with another line."""
+    each = lines.where(F.col(VARIANTS[0]).isNotNull()).distinct()
+    ranked = same(each, recurring, "_line", "left").withColumn("_rank", F.struct((-F.coalesce("_texts", F.lit(0))).alias("n"), F.col("_line").alias("line")))
+    ranked = materialize(ranked.select("_host", "_line", "_texts", "_rank", F.explode(F.array(*VARIANTS)).alias("_variant")), "quality-variants")
+    groups = ranked.groupBy("_host", "_variant").agg(F.min("_rank").alias("_best"), F.min("_line").alias("_lo"), F.max("_line").alias("_hi"))
+    shared = materialize(groups.where("_lo < _hi").select("_host", "_variant", "_best"), "quality-shared")
+    best = same(ranked.where("_texts IS NULL").select("_host", "_line", "_variant"), shared, "_variant").groupBy("_host", "_line").agg(F.min("_best").alias("_best"))
+    return best.select("_host", "_line", F.col("_best.line").alias("_for")).where("_line != _for")
+
+
 def frequent_lines(measured: DataFrame, limits: LineLimits, host: str = "source") -> DataFrame:
     """(host, line) above the limits, from the distinct documents that have it."""
-    lines = measured.select(F.col(host).alias("_host"), F.array_distinct("_lines").alias("_own"))
-    two = F.slice(F.array_sort("_own"), 1, 2)  # the smallest hash, and what stands in for it on its own line
-    each = lines.select("_host", two.alias("_two"), F.explode("_own").alias("_line"))
-    other = F.when(F.col("_two")[0] == F.col("_line"), F.try_element_at("_two", F.lit(2))).otherwise(F.col("_two")[0])
-    found = each.select("_host", "_line", F.coalesce(other, F.lit(0)).alias("_document")).distinct()
-    counted = found.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_documents")).where(F.col("_documents") > limits.min_documents)
-    hosts = measured.groupBy(F.col(host).alias("_h")).agg(F.count(F.lit(1)).alias("_size"))
-    kept = counted.join(hosts, F.expr("_host <=> _h")).where(F.col("_documents") > F.col("_size") * limits.share)
-    return kept.select(F.col("_host"), "_line", "_documents")
+    texts = measured.withColumnRenamed(host, "_host")
+    lines = texts.select("_host", "_text", F.explode("_lines").alias("_line")).distinct()
+    recurring = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_texts")).where(F.col("_texts") > limits.min_documents)
+    recurring = materialize(recurring, "quality-recurring")
+    all_lines = texts.select("_host", "_text", F.explode("_lines").alias("_line"))
+    having = materialize(same(all_lines, recurring, "_line", "left_semi").distinct(), "quality-having")
+    touched = same(texts, having.select("_host", "_text").distinct(), "_text", "left_semi")
+    own = touched.select("_host", "_text", F.explode(F.arrays_zip("_lines", *VARIANTS)).alias("_at")).select(
+        "_host", "_text", F.col("_at._lines").alias("_line"), *[F.col(f"_at.{v}").alias(v) for v in VARIANTS]
+    )
+    own = materialize(own, "quality-own")
+    canon = materialize(stand_ins(own.drop("_text"), recurring), "quality-stand-ins")
+    named = same(own.select("_host", "_text", "_line"), canon, "_line", "left")
+    alike = F.xxhash64(F.array_sort(F.collect_set(F.coalesce("_for", "_line"))))  # as many entries as a text has lines, at most
+    units = materialize(named.groupBy("_host", "_text").agg(alike.alias("_document")), "quality-documents")
+    counted = same(having, units, "_text").select("_host", "_line", "_document").distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_documents"))
+    # the host's size: texts without a recurring line, and the documents that the others are
+    plain = texts.select("_host", "_text").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
+    fewer = units.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
+    merged = units.select("_host", "_document").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
+    parts = plain.unionByName(fewer.withColumn("_n", -F.col("_n"))).unionByName(merged)
+    hosts = parts.groupBy(F.col("_host").alias("_h")).agg(F.sum("_n").alias("_size"))
+    kept = counted.where(F.col("_documents") > limits.min_documents).join(hosts, F.expr("_host <=> _h"))
+    return kept.where(F.col("_documents") > F.col("_size") * limits.share).select("_host", "_line", "_documents")
 
 
 def judge(docs: DataFrame, limits: LineLimits = LineLimits(), text: str = "text", host: str = "source", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -143,7 +206,7 @@ def judge(docs: DataFrame, limits: LineLimits = LineLimits(), text: str = "text"
     marked = lines.join(frequent, F.expr("_lh <=> _host AND _at._lines = _line")).groupBy("_row").agg(
         F.sum("_at._line_words").alias("n_removed_words"), F.collect_set("_line").alias("_removed")
     )
-    judged = measured.drop("_lines", "_line_words").join(marked, "_row", "left").withColumn(
+    judged = measured.drop("_lines", "_line_words", "_text", *VARIANTS).join(marked, "_row", "left").withColumn(
         "n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long")
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)

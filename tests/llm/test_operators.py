@@ -124,6 +124,26 @@ def test_copies_do_not_make_boilerplate(spark):
     assert all(r.kept for r in quality.judge(docs).collect())
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 20, 40])
+def test_template_lines_are_counted_by_pages(spark, n):
+    # n lines on every page of a host, and one line of the page's own
+    template = [" ".join(f"t{t}x{j}" for j in range(7)) for t in range(n)]
+    pages = [(k, "\n".join([*template, " ".join(f"p{k}x{j}" for j in range(12))]), f"s{k % 3}") for k in range(300)]
+    pages += pages[:40]  # copies of pages
+    got = quality.judge(spark.createDataFrame(pages, "doc_id long, text string, source string")).collect()
+    assert len(got) == 340 and all(r.n_removed_words == 7 * n for r in got)
+
+
+def test_documents_and_hosts_are_counted_in_one_unit(spark):
+    # 21 of 400 texts have the line; but 380 of them are copies with a word exchanged in one line or another
+    text = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(30)]
+    copies = ["\n".join(x.replace(f"w{k % 30}x{k % 9}", f"edit{k}") for x in text) for k in range(380)]
+    pages = ["the common line has seven words here\n" + " ".join(f"p{k}x{j}" for j in range(12)) for k in range(21)]
+    rows = [(k, t, None) for k, t in enumerate(copies + pages)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.n_removed_words for r in got} == {k: 7 if k >= 380 else 0 for k in range(401)}
+
+
 def test_cleaning_removes_lines_and_keeps_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     cleaned = quality.clean(docs)
