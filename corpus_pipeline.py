@@ -2,7 +2,7 @@
 
 1. quality: lines that too many documents of a host share are removed; documents that fail the
    base rules or are depleted by this go.
-2. near duplicates: one document of each group of near copies stays.
+2. near duplicates: one document of each group of near copies (0.8 on shingles of five words) stays.
 3. personal data: spans are replaced by their kind in angle brackets.
 4. mixing: documents are repeated or left out to meet their sources' targets, in training order.
 5. tokens: texts are encoded; the result has the columns of documents and ``token_ids``.
@@ -24,6 +24,7 @@ from footfall.llm.queries import vocabulary
 from footfall.session import materialize, release_scratch, scratch_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+SHINGLE_WORDS = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 _scratch: dict[int, list[str]] = {}  # by stage: tables that its result, while unwritten, reads
@@ -54,7 +55,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.without_near_duplicates(docs)
+    return near_dup.without_near_duplicates(docs, words=SHINGLE_WORDS)
 
 
 @stage(2)

@@ -1,6 +1,6 @@
 """Near-duplicates by an inverted join of MinHash signature coordinates.
 
-A document is the set of its distinct 2-word shingles (A-Z lower-cased). Documents with equal
+A document is the set of its distinct shingles of ``words`` words (A-Z lower-cased; 2 if not given). Documents with equal
 sets become one class. Each class has a signature of ``COORDINATES`` minima; it is posted under
 (coordinate, value) pairs, classes that meet there are counted over the whole signature, and
 pairs that agree in at least ``MATCHES`` coordinates are confirmed on the full sets.
@@ -18,12 +18,13 @@ pairs that agree in at least ``MATCHES`` coordinates are confirmed on the full s
   below 5e-5. Sets travel as 48-bit hashes of their shingles.
 
 Defined cases: texts without words (and null texts) have empty sets, are linked with nothing
-and kept; a one-word text has its word as its only shingle; rows that share an id are one
+and kept; a text of fewer words than a shingle has all of them as its only shingle; rows that share an id are one
 document; rows without an id are linked by content and never name a component.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,18 +46,26 @@ _NO_ID = 1 << 62             # ids from here on stand for rows without an id
 _TURNS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], known: WordHashes, words: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """All documents' sorted distinct shingle hashes end to end, and the documents' ends."""
-    words = [lower_words(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
+    found = [lower_words(t) for t in texts]
+    counts = np.array([len(w) for w in found], np.int64)
     ends = np.cumsum(counts)
-    h = known.of([x for w in words for x in w])
+    h = known.of([x for w in found for x in w])
     doc = np.repeat(np.arange(len(texts)), counts)
-    g = gram_hashes(h, 2)
-    whole = doc[:-1] == doc[1:] if len(doc) else np.zeros(0, bool)
-    single = np.flatnonzero(counts == 1)
-    g = np.concatenate([g[whole], mixed(h[ends[single] - 1] ^ np.uint64(0x5851F42D4C957F2D))])
-    d = np.concatenate([doc[:-1][whole], single])
+    g = gram_hashes(h, words)
+    first = doc[: len(g)]
+    whole = first == doc[words - 1 :][: len(g)]
+    g, d = [g[whole]], [first[whole]]
+    for n in range(1, words):  # texts of n words
+        short = np.flatnonzero(counts == n)
+        at = (ends[short] - n)[:, None] + np.arange(n)
+        own = h[at[:, 0]] if len(short) else np.zeros(0, np.uint64)
+        for k in range(1, n):
+            own = mixed(own) + h[at[:, k]]
+        g.append(mixed(own ^ np.uint64(0x5851F42D4C957F2D) * np.uint64(n)))
+        d.append(short)
+    g, d = np.concatenate(g), np.concatenate(d)
     by = np.lexsort((g, d))
     g, d = g[by], d[by]
     new = np.ones(len(g), bool)
@@ -65,14 +74,14 @@ def shingle_sets(texts: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.
     return g, np.searchsorted(d, np.arange(len(texts)), side="right")
 
 
-def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 2) -> DataFrame:
     """(doc_id, n_shingles, hi, lo: hashes of the set, signature) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                g, ends = shingle_sets(utf8(part.column("text")), known)
+                g, ends = shingle_sets(utf8(part.column("text")), known, words)
                 n = np.diff(np.concatenate([[0], ends]))
                 has = n > 0
                 starts = (ends - n)[has]
@@ -199,23 +208,23 @@ def agreeing(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> Da
     return _by_unit(rows).mapInArrow(run, "leader long, p int, q int, part int, node long")
 
 
-def members(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
+def members(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int = 2) -> DataFrame:
     """``pairs`` with each class's set, made from the text that names the class."""
     to = pairs.groupBy("node").agg(F.collect_list(F.struct("leader", "p", "q", "part")).alias("to"))  # block pairs of one class's units
     to = materialize(to, "near-to")
     few = to.count() <= BROADCAST_CLASSES
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
     rows = texts.join(F.broadcast(to) if few else to, "node")
-    return rows.mapInArrow(_members, "leader long, p int, q int, part int, node long, shingles binary")
+    return rows.mapInArrow(functools.partial(_members, words=words), "leader long, p int, q int, part int, node long, shingles binary")
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     names = ["leader", "p", "q", "part", "node", "shingles"]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
     for batch in batches:
         for piece in slices(batch, "text"):
-            g, ends = shingle_sets(utf8(piece.column("text")), known)
+            g, ends = shingle_sets(utf8(piece.column("text")), known, words)
             starts = np.concatenate([[0], ends[:-1]])
             out = []
             for node, to, a, b in zip(piece.column("node").to_pylist(), piece.column("to").to_pylist(), starts, ends, strict=True):
@@ -284,15 +293,17 @@ def links(sent: DataFrame, matches: int = MATCHES) -> DataFrame:
     return _by_unit(sent).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", matches: int = MATCHES, block: int = BLOCK, words: int = 2
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
-    rows = materialize(profiles(docs, text, key), "near-profiles")
+    rows = materialize(profiles(docs, text, key, words), "near-profiles")
     node = F.coalesce("doc_id", F.lit(_NO_ID) + F.pmod(F.col("hi"), F.lit(1 << 61)))
     sets = rows.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min(node).alias("node"), F.min("signature").alias("signature"))
     sets = materialize(sets, "near-classes")
     classes = sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")) if _repeats(sets) else sets
     met = units(prefix_posts(classes, matches))
-    sent = members(docs, agreeing(block_pairs(met, block), classes, matches), text, key)
+    sent = members(docs, agreeing(block_pairs(met, block), classes, matches), text, key, words)
     labels = components(materialize(links(sent, matches), "near-links"))
     member = sets.select("hi", "lo", F.col("n_shingles").alias("_n"), "node").join(labels, "node", "left").select(
         F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "_n", F.coalesce("component", "node").alias("_component")
@@ -311,9 +322,9 @@ def _repeats(sets: DataFrame) -> bool:
     return bool(sets.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
 
 
-def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 2) -> DataFrame:
     """One document of each component (the one with the smallest id), one row of rows that repeat; columns as in ``docs``."""
-    kept = near_duplicates(docs, text, key).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, text, key, words=words).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     left = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
     again = left.withColumn("_same", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("#"), F.xxhash64(text).cast("string"))))
     return again.dropDuplicates(["_same"]).drop("_same")

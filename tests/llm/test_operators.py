@@ -159,6 +159,30 @@ def test_near_duplicates(spark, folder):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicate_stage_takes_five_words(spark):
+    # edits that leave 0.8 of the two-word shingles but not of the five-word ones; and very short texts
+    rows = []
+    for k in range(24):
+        base = [f"d{k}w{j}" for j in range(60)]
+        rows.append((2 * k, " ".join(base)))
+        for e in range(k % 6):
+            base[5 + 10 * e] = "edit"
+        rows.append((2 * k + 1, " ".join(base).upper()))
+    rows += [(100 + k, t) for k, t in enumerate(["a b c d", "A b  c d", "a b c", "b a c", "a b", "b a", "a", "a", "", None, "a b c d e", "a b c d e e"])]
+    sets = {}
+    for key, text in rows:
+        w = (text or "").lower().split()
+        sets[key] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    parent = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent = {k: min(parent[a], parent[b]) if p in (parent[a], parent[b]) else p for k, p in parent.items()}
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates.__wrapped__(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(parent.values()))
+
+
 def test_near_duplicates_block_by_block(spark, folder):
     # tiny blocks, and the way without a broadcast, must not change the outcome
     docs = spark.read.parquet(f"{folder}/documents.parquet")
