@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import automata, bpe, language, maxent, mixing, near_dup, pii, quality, run_index, sketch
+from footfall.llm import automata, bpe, language, maxent, mixing, near_dup, pii, quality, run_index, search, simhash, sketch, trie
 from footfall.llm.common import documents
 from footfall.session import materialize
 
@@ -76,6 +76,34 @@ e AS (SELECT *, CAST(whole*size + greatest(0, least(size, goal - whole*source_si
 SELECT doc_id, source, size, source_size, round(target, 6) AS target, taken,
 CASE WHEN taken > 0 THEN round(least(1.0, u*2.0/(b + sqrt(greatest(b*b - slope*u*4.0, 0.0)))), 9) END AS position FROM e"""
 
+SEARCH = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+g AS (SELECT count(*) AS all_docs, CAST(sum(len(t)) AS BIGINT) AS all_terms FROM d WHERE len(t) > 0),
+q AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+qt AS (SELECT i, unnest(t) AS term FROM q),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000*ln((2.0*all_docs+2)/(2.0*count(*)+1))) AS BIGINT) AS w FROM p, g GROUP BY term, all_docs),
+s AS (SELECT i, r, CAST(sum(w*((1000000000*tf)//(1000*tf+20*(50+(50*CAST(len(t) AS BIGINT)*all_docs)//all_terms)))) AS BIGINT) AS score
+  FROM qt JOIN p ON p.term = qt.term JOIN w ON w.term = p.term JOIN d USING (r), g GROUP BY i, r),
+k AS (SELECT q.item_id, CAST(row_number() OVER (PARTITION BY s.i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s JOIN q ON q.i = s.i JOIN d ON d.r = s.r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50"""
+CRC32 = """list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))"""
+TRIE = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS o,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor({CRC32.format("conv_id")}, 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+s AS (SELECT c.conv_id, 0 AS part, o, role, text FROM c JOIN t ON t.conv_id = base WHERE o < h UNION ALL SELECT c.conv_id, 1, o, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE o >= h),
+l AS (SELECT conv_id, list([role, text] ORDER BY part, o) AS l FROM s GROUP BY conv_id),
+p AS (SELECT conv_id, d, len(l) = d AS ends, sha256(CAST(l[1:d] AS VARCHAR) || CAST(list_transform(l[1:d], lambda x: len(x[1])*1000003 + len(x[2])) AS VARCHAR)) AS name, CASE WHEN d > 0 THEN length(l[d][2]) ELSE 0 END AS chars
+  FROM (SELECT c.conv_id, coalesce(l.l, []) AS l, unnest(range(0, coalesce(len(l.l), 0) + 1)) AS d FROM c LEFT JOIN l ON l.conv_id = c.conv_id)),
+n AS (SELECT d, name, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, name),
+m AS (SELECT p.conv_id, p.d, n.conv_id AS node, n.n, n.chars FROM p JOIN n ON n.d = p.d AND n.name = p.name),
+f AS (SELECT DISTINCT x.node AS top, x.d AS top_d, y.node, y.d, y.n, y.chars FROM m x JOIN m y ON y.conv_id = x.conv_id AND y.d >= x.d),
+kids AS (SELECT top, top_d, count(*) AS k FROM f WHERE d = top_d + 1 GROUP BY top, top_d),
+totals AS (SELECT f.top, f.top_d, count(*) FILTER (kids.k IS NULL) AS leaves, sum((f.n-1)*f.chars) AS saved FROM f LEFT JOIN kids ON kids.top = f.node AND kids.top_d = f.d GROUP BY f.top, f.top_d)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, above.node AS parent_conv_id, n.n AS n_convs, coalesce(kids.k, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM n JOIN totals ON totals.top = n.conv_id AND totals.top_d = n.d LEFT JOIN kids ON kids.top = n.conv_id AND kids.top_d = n.d LEFT JOIN m above ON above.conv_id = n.conv_id AND above.d = n.d - 1"""
+
 
 @query("op7_bpe_forced_boundary")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,3 +167,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_hashed_maxent")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(documents(spark, sf_dir))
+
+
+@query("op11_hybrid_search", SEARCH)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op12_prefix_trie", TRIE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_pigeonhole_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))

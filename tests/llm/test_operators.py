@@ -41,7 +41,7 @@ def same(got, want):
     assert sorted(map(tuple, got), key=order) == sorted(map(tuple, want), key=order)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if int(n[2:].split("_")[0]) <= 10))
 def test_empty_table(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
