@@ -11,10 +11,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.catalog import (
-    AXES_CTE, BOX, FIXED_TRI, SF, ST, SN, SL, SV, TREAD_CTE, VOLUME, cte, level_plane, plain_frame, points_of, query, r, surfaces, tread_of,
+    FIXED_TRI, GRID, LEG, SF, SL, SN, ST, SV, TREAD_CTE, VOLUME, cte, level_plane, plain_frame, points_of, query, r, shipment_cells, surfaces, tread_of,
 )
 from footfall.functions import constants as K
-from footfall.operators import clusters, flight, mesh as M, posterior, sobol
+from footfall.operators import clusters, erosion, flight, mesh as M, posterior, provenance, sobol
 from footfall.operators.keyed import attach, settle
 from footfall.operators.uncertainty import scale_prior
 from footfall.operators.volume import corner_depths
@@ -214,7 +214,7 @@ def _(spark, sf):
 # --- steps compared --------------------------------------------------------------
 
 @query("wear_consistency", cte(
-    "rw AS (SELECT l_orderkey, l_linenumber, l_extendedprice/1000.0 AS y, CAST(l_linenumber AS DOUBLE) AS x FROM lineitem)",
+    "rw AS (SELECT l_orderkey, l_linenumber, ln(l_extendedprice) AS y, CAST(l_linenumber AS DOUBLE) AS x FROM lineitem)",
     "mn AS (SELECT l_orderkey, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM rw GROUP BY l_orderkey)",
     "ce AS (SELECT l_orderkey, x-mx AS x, y-my AS y FROM rw JOIN mn USING (l_orderkey))",
     "su AS (SELECT l_orderkey, sum(x*x) AS x2, sum(x*x*x) AS x3, sum(x*x*x*x) AS x4, sum(x*y) AS xy, sum(x*x*y) AS xxy, sum(y*y) AS yy FROM ce GROUP BY l_orderkey)",
@@ -225,12 +225,12 @@ def _(spark, sf):
     f"p5 AS (SELECT *, CASE WHEN n > rank AND sse > {flight.FLAT}*yy THEN sqrt(sse/(n-rank)) END AS sigma FROM p4)",
     "ev AS (SELECT l_orderkey, l_linenumber, rw.y, rw.x-mx AS d1, (rw.x-mx)*(rw.x-mx)-m1*(rw.x-mx)-m0 AS d2, my, b1, b2, n, x2, q2, rank, sigma FROM rw JOIN p5 USING (l_orderkey))",
     "lv AS (SELECT *, my+b1*d1+b2*d2 AS expected, 1.0/n+CASE WHEN rank > 1 THEN d1*d1/x2 ELSE 0 END+CASE WHEN rank > 2 THEN d2*d2/q2 ELSE 0 END AS h FROM ev)",
-    "st AS (SELECT *, CASE WHEN h < 1-1e-9 THEN (y-expected)/(sigma*sqrt(1-h)) END AS s FROM lv)") + """SELECT l_orderkey, l_linenumber, y AS depth, round(expected, 9) AS expected, round(s, 6) AS studentised,
+    "st AS (SELECT *, CASE WHEN h < 1-1e-9 THEN (y-expected)/(sigma*sqrt(1-h)) END AS s FROM lv)") + """SELECT l_orderkey, l_linenumber, round(y, 9) AS depth, round(expected, 9) AS expected, round(s, 6) AS studentised,
 CASE WHEN s < -2 THEN 'LOWER' WHEN s > 2 THEN 'HIGHER' WHEN s IS NULL THEN 'UNKNOWN' ELSE 'CONSISTENT' END AS wear FROM st""")
 def _(spark, sf):
-    steps = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000.0).alias("depth"))
+    steps = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.ln("l_extendedprice").alias("depth"))
     found = flight.consistency(steps, ["l_orderkey"], "l_linenumber")
-    return found.select("l_orderkey", "l_linenumber", "depth", r("expected"), r("studentised", 6), "wear")
+    return found.select("l_orderkey", "l_linenumber", r("depth"), r("expected"), r("studentised", 6), "wear")
 
 
 MOMENT_SQL = """wt AS (SELECT l_partkey, count(*) AS n, sum(l_quantity*(l_extendedprice/1000.0))/sum(l_quantity) AS mean FROM lineitem GROUP BY l_partkey),
@@ -317,3 +317,82 @@ def _shifts_sql() -> str:
 def _(spark, sf):
     found = flight.shifts(flights(spark, sf, "l_quantity"), "l_suppkey", ORDER, "l_quantity", GAIN, HALVINGS)
     return found.select("l_suppkey", "first", "last", "n", r("mean"))
+
+
+# --- provenance ------------------------------------------------------------------
+
+CHI2 = f"'{provenance.CHI_SQUARE_95[1]!r}'::DOUBLE"
+CHI1 = f"'{provenance.CHI_SQUARE_95[0]!r}'::DOUBLE"
+READINGS = """rd AS (SELECT l_partkey AS part, l_orderkey, l_linenumber, ln(l_extendedprice) AS a, l_discount+l_tax/3.0 AS b, l_discount < 0.06 AS original FROM lineitem),
+el AS (SELECT part, count(*) AS n, avg(a) AS ma, avg(b) AS mb, covar_samp(a, a) AS caa, covar_samp(b, a) AS cba, covar_samp(b, b) AS cbb FROM rd WHERE original GROUP BY part HAVING count(*) > 1),
+d1 AS (SELECT *, CASE WHEN caa > 0 THEN caa END AS da, CASE WHEN caa > 0 THEN cba/caa ELSE 0 END AS l FROM el),
+d2 AS (SELECT *, CASE WHEN cbb > 0 AND cbb-l*l*coalesce(da, 0) > 1e-9*cbb THEN cbb-l*l*coalesce(da, 0) END AS db FROM d1)"""
+FAR = """CASE WHEN da IS NOT NULL THEN (a-ma)*(a-ma)/da WHEN abs(a-ma) > 1e-9*abs(ma) THEN 'inf'::DOUBLE ELSE 0.0 END
++CASE WHEN db IS NOT NULL THEN ((b-mb)-l*(a-ma))*((b-mb)-l*(a-ma))/db WHEN abs((b-mb)-l*(a-ma)) > sqrt(1e-9*cbb)+1e-9*abs(mb) THEN 'inf'::DOUBLE ELSE 0.0 END"""
+FEATURES = ("a", "b")
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("part"), "l_orderkey", "l_linenumber", F.ln("l_extendedprice").alias("a"),
+        (F.col("l_discount") + F.col("l_tax") / 3.0).alias("b"), (F.col("l_discount") < 0.06).alias("original"))
+
+
+@query("provenance_readings", cte(READINGS, f"fr AS (SELECT rd.*, CASE WHEN n > 2 THEN {FAR} END AS d, CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN {CHI2} ELSE {CHI1} END AS lim FROM rd LEFT JOIN d2 ON d2.part = rd.part)") + """
+SELECT part, l_orderkey, l_linenumber, original, round(d, 6) AS distance2, d > lim AS outside FROM fr""")
+def _(spark, sf):
+    rows = readings(spark, sf)
+    found = provenance.judge_readings(rows, provenance.ellipse(rows.where("original"), ["part"], FEATURES), ["part"], FEATURES)
+    return found.select("part", "l_orderkey", "l_linenumber", "original", r("distance2", 6), "outside")
+
+
+@query("provenance", cte(READINGS, f"fr AS (SELECT rd.*, CASE WHEN n > 2 THEN {FAR} END AS d, CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN {CHI2} ELSE {CHI1} END AS lim FROM rd LEFT JOIN d2 ON d2.part = rd.part WHERE NOT original)",
+    "su AS (SELECT part, count(*) AS n_suspects, count(*) FILTER (d > lim) AS n_outside, avg(a) AS a, avg(b) AS b FROM fr GROUP BY part)",
+    f"ce AS (SELECT su.part, n, n_suspects, n_outside, CASE WHEN n > 2 THEN {FAR} END AS d, CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN {CHI2} ELSE {CHI1} END AS lim FROM su LEFT JOIN d2 ON d2.part = su.part)") + """
+SELECT part, coalesce(n, 0) AS n_reference, n_suspects, n_outside, round(d, 6) AS distance2,
+CASE WHEN d > lim THEN 'OTHER SOURCE' WHEN d IS NULL THEN 'UNKNOWN' ELSE 'SAME SOURCE POSSIBLE' END AS verdict FROM ce""")
+def _(spark, sf):
+    rows = readings(spark, sf)
+    found = provenance.provenance(rows.where("original"), rows.where("NOT original"), ["part"], FEATURES)
+    return found.withColumn("distance2", r("distance2", 6))
+
+
+# --- erosion ---------------------------------------------------------------------
+
+EROSION_COLUMNS = ("baseline_mm", "mechanical_share", "centre", "spread", "weathering_mm", "traffic_mm", "explained")
+
+
+@query("coupled_erosion", cte(*LEG, f"ln_ AS (SELECT mesh_id, j, min(x) AS x, sum(depth_mm)/{GRID} AS d FROM cell GROUP BY mesh_id, j)",
+    f"bs AS (SELECT mesh_id, avg(d) FILTER (j < {GRID // 10} OR j >= {GRID - GRID // 10}) AS base FROM ln_ GROUP BY mesh_id)",
+    "wn AS (SELECT c.mesh_id, sum(greatest(0.0, depth_mm-base)) AS above, sum(depth_mm) AS whole FROM cell c JOIN bs ON bs.mesh_id = c.mesh_id GROUP BY c.mesh_id)",
+    "ab AS (SELECT l.*, greatest(0.0, d-base) AS above FROM ln_ l JOIN bs ON bs.mesh_id = l.mesh_id)",
+    "ct AS (SELECT mesh_id, sum(above*x)/nullif(sum(above), 0) AS centre FROM ab GROUP BY mesh_id)",
+    "sp AS (SELECT ab.mesh_id, any_value(centre) AS centre, sqrt(sum(above*(x-centre)*(x-centre))/nullif(sum(above), 0)) AS spread FROM ab JOIN ct ON ct.mesh_id = ab.mesh_id GROUP BY ab.mesh_id)",
+    "gs AS (SELECT ab.*, centre, spread, coalesce(CASE WHEN spread > 0 THEN exp(-(x-centre)*(x-centre)/(2*spread*spread)) END, 0) AS g FROM ab JOIN sp ON sp.mesh_id = ab.mesh_id)",
+    "su AS (SELECT mesh_id, any_value(centre) AS centre, any_value(spread) AS spread, count(*) AS n, avg(g) AS mg, avg(d) AS my, sum(g*g) AS gg, sum(g*d) AS gy, sum(d*d) AS yy FROM gs GROUP BY mesh_id)",
+    "s1 AS (SELECT *, (gy-n*mg*my)/nullif(gg-n*mg*mg, 0) AS slope FROM su)",
+    "s2 AS (SELECT *, coalesce(CASE WHEN slope <= 0 THEN 0 WHEN my-slope*mg < 0 THEN gy/nullif(gg, 0) ELSE slope END, 0) AS e1 FROM s1)",
+    "s3 AS (SELECT *, greatest(0.0, my-e1*mg) AS e0 FROM s2)",
+    "s4 AS (SELECT *, yy-2*e0*n*my-2*e1*gy+e0*e0*n+2*e0*e1*n*mg+e1*e1*gg AS rest, yy-n*my*my AS var FROM s3)") + """SELECT s4.mesh_id, round(base, 6) AS baseline_mm, round(coalesce(above/nullif(whole, 0), 0), 6) AS mechanical_share, round(centre, 6) AS centre, round(spread, 6) AS spread,
+round(e0, 6) AS weathering_mm, round(e1, 6) AS traffic_mm, round(CASE WHEN var > 1e-12*yy THEN 1-rest/var END, 6) AS explained FROM s4 JOIN bs ON bs.mesh_id = s4.mesh_id JOIN wn ON wn.mesh_id = s4.mesh_id""")
+def _(spark, sf):
+    cells, ext = shipment_cells(spark, sf)
+    return erosion.coupled_erosion(cells, ext).select("mesh_id", *[r(c, 6) for c in EROSION_COLUMNS])
+
+
+@query("log_profile", cte(*LEG, "lj AS (SELECT mesh_id, j, min(x) AS x, count(*) AS n, avg(ln(depth_mm)) AS y, var_pop(ln(depth_mm))*count(*) AS w FROM cell WHERE depth_mm > 0 GROUP BY mesh_id, j)",
+    "mn AS (SELECT mesh_id, count(*) AS m, sum(n) AS cells, sum(n*x)/sum(n) AS mx, sum(n*y)/sum(n) AS my, sum(w) AS within FROM lj GROUP BY mesh_id)",
+    "ce AS (SELECT lj.mesh_id, n, x-mx AS x, y-my AS y FROM lj JOIN mn ON mn.mesh_id = lj.mesh_id)",
+    "su AS (SELECT mesh_id, sum(n*x*x) AS x2, sum(n*x*x*x) AS x3, sum(n*x*x*x*x) AS x4, sum(n*x*y) AS xy, sum(n*x*x*y) AS xxy, sum(n*y*y) AS yy FROM ce GROUP BY mesh_id)",
+    "p1 AS (SELECT *, x2/cells AS m0, CASE WHEN x2 > 0 THEN x3/x2 ELSE 0 END AS m1 FROM su JOIN mn USING (mesh_id))",
+    "p2 AS (SELECT *, x4-m1*x3-m0*x2 AS q2 FROM p1)",
+    f"p3 AS (SELECT *, CASE WHEN x2 > 0 THEN xy/x2 ELSE 0 END AS b1, CASE WHEN q2 > {flight.FLAT}*x4 THEN (xxy-m1*xy)/q2 ELSE 0 END AS b2, CASE WHEN q2 > {flight.FLAT}*x4 THEN 3 WHEN x2 > 0 THEN 2 ELSE 1 END AS rank FROM p2)",
+    "p4 AS (SELECT *, CASE WHEN m > rank THEN greatest(0.0, yy-b1*b1*x2-b2*b2*q2)/(m-rank) END AS lack, CASE WHEN cells > m THEN within/(cells-m) END AS pure, rank = 3 AND b2 < 0 AS down FROM p3)",
+    "p5 AS (SELECT *, cbrt(CASE WHEN pure > 0 THEN lack/pure END) AS f, 2.0/(9.0*(m-rank)) AS u, 2.0/(9.0*(cells-m)) AS v FROM p4)",
+    "p6 AS (SELECT *, ((1-v)*f-(1-u))/sqrt(v*f*f+u) AS score FROM p5)") + f"""SELECT mesh_id, m AS n_columns, CAST(cells AS BIGINT) AS n_cells, round(CASE WHEN down THEN mx-(b1-b2*m1)/(2*b2) END, 6) AS centre,
+round(CASE WHEN down THEN sqrt(-0.5/b2) END, 6) AS spread, round(lack, 6) AS lack, round(pure, 6) AS pure, round(score, 6) AS score,
+CASE WHEN score IS NULL THEN 'UNKNOWN' WHEN NOT down THEN 'NO TRACK' WHEN score > {erosion.ONE_SIDED_95!r} THEN 'NOT GAUSSIAN' ELSE 'SINGLE TRACK' END AS verdict FROM p6""")
+def _(spark, sf):
+    cells, _ = shipment_cells(spark, sf)
+    return erosion.log_profile(cells).select(
+        "mesh_id", "n_columns", "n_cells", r("centre", 6), r("spread", 6), r("lack", 6), r("pure", 6), r("score", 6), "verdict")

@@ -18,29 +18,31 @@ SIGMAS = 2.0
 FLAT = 1e-12  # part of the whole variation below which what is left is rounding
 
 
-def trend(steps: DataFrame, keys: Sequence[str], x: str = "step", y: str = "depth") -> DataFrame:
-    """Parabola of ``y`` over ``x`` per key, from centred moments up to the fourth.
+def trend(steps: DataFrame, keys: Sequence[str], x: str = "step", y: str = "depth", weight: str | None = None) -> DataFrame:
+    """Parabola of ``y`` over ``x`` per key, from centred moments up to the fourth, each row counting ``weight`` (1).
 
     Columns: n, x_mean, y_mean, b1 (by x - x_mean), m1 = m3 / m2 and m0 = m2 (the second polynomial is
     (x - x_mean)^2 - m1 (x - x_mean) - m0), b2 (by the second polynomial), q1 and q2 (sums of squares of both
     polynomials), sse, sigma (residual standard deviation) and rank: 3, or 2 or 1 where the steps stand at fewer
     than three or two places (b2 or both are then zero). Without a degree of freedom, or with nothing left but
-    rounding, sigma is null.
+    rounding, sigma is null. Rows with a null or NaN value, or without a weight above 0, are left out.
     """
     keys = list(keys)
-    rows = steps.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
-    rows = rows.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    means = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean")), "trend-means")
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = steps.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w"))
+    rows = rows.where("x IS NOT NULL AND y IS NOT NULL AND w > 0 AND NOT isnan(y)")
+    w = F.col("w")
+    mean = lambda c: (F.sum(w * F.col(c)) / F.sum("w")).alias(f"{c}_mean")
+    means = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("whole"), mean("x"), mean("y")), "trend-means")
     means = means.with_hot("n", keys)
-    at = attach(rows, means.of(means.df.drop("n")), keys, spread=["x", "y"]).select(
-        *keys, (F.col("x") - F.col("x_mean")).alias("x"), (F.col("y") - F.col("y_mean")).alias("y"))
+    at = attach(rows, means.of(means.df.select(*keys, "x_mean", "y_mean")), keys, spread=["x", "y"]).select(
+        *keys, "w", (F.col("x") - F.col("x_mean")).alias("x"), (F.col("y") - F.col("y_mean")).alias("y"))
     x1, y1 = F.col("x"), F.col("y")
-    sums = at.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in (
+    sums = at.groupBy(*keys).agg(*[F.sum(w * v).alias(k) for k, v in (
         ("x2", x1 * x1), ("x3", x1 * x1 * x1), ("x4", x1 * x1 * x1 * x1), ("xy", x1 * y1), ("xxy", x1 * x1 * y1), ("yy", y1 * y1))])
     fit = means.df.join(sums, keys)
-    n = F.col("n")
     fit = fit.withColumn("q1", F.col("x2")).withColumns({
-        "m0": F.col("x2") / n, "m1": F.when(F.col("q1") > 0, F.col("x3") / F.col("q1")).otherwise(0.0)})
+        "m0": F.col("x2") / F.col("whole"), "m1": F.when(F.col("q1") > 0, F.col("x3") / F.col("q1")).otherwise(0.0)})
     fit = fit.withColumn("q2", F.col("x4") - F.col("m1") * F.col("x3") - F.col("m0") * F.col("x2"))
     straight, bent = F.col("q1") > 0, F.col("q2") > FLAT * F.col("x4")
     fit = fit.withColumns({
@@ -49,7 +51,7 @@ def trend(steps: DataFrame, keys: Sequence[str], x: str = "step", y: str = "dept
         "rank": F.when(bent, 3).when(straight, 2).otherwise(1)})
     left = F.col("yy") - F.col("b1") * F.col("b1") * F.col("q1") - F.col("b2") * F.col("b2") * F.col("q2")
     fit = fit.withColumn("sse", F.greatest(F.lit(0.0), left))
-    free = n - F.col("rank")
+    free = F.col("n") - F.col("rank")
     fit = fit.withColumn("sigma", F.when((free > 0) & (F.col("sse") > FLAT * F.col("yy")), F.sqrt(F.col("sse") / free)))
     return fit.select(*keys, "n", "x_mean", "y_mean", "m0", "m1", "q1", "q2", "b1", "b2", "rank", "sse", "sigma")
 

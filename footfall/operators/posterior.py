@@ -86,6 +86,7 @@ def _chain(m: dict[str, np.ndarray], chain: int, steps: int, slope_weight: float
 
     far = 2.0 * (chain - 1.5)  # starts on both sides, up to three standard deviations away
     a, b, c, s = a0 + far * s0 / l11, b0 + far * s0 / l22, far * s0 / np.sqrt(n), np.log(s0) + far / np.sqrt(2 * np.maximum(n - 1, 1))
+    a, b = np.clip(a, -steepest, steepest), np.clip(b, -steepest, steepest)
     here = density(a, b, c, s)
     for t, (u1, u2, u3, u4, u5) in enumerate(_uniform(chain, steps), 1):
         r1, r2 = JUMP * math.sqrt(-2 * math.log(u1)), JUMP * math.sqrt(-2 * math.log(u3))
@@ -104,7 +105,7 @@ def plane_chains(
 ) -> DataFrame:
     """(mesh_id, chain, run, name, n, s1, s2, taken): sums over each ``RUN`` steps after ``warm`` of each chain.
 
-    ``steepest`` bounds both slopes (a start beyond it moves in freely); the posterior then has no closed form. Chains start around the
+    ``steepest`` bounds both slopes; the posterior then has no closed form. Chains start around the
     least-squares plane. ``height`` is counted from the mean height. Meshes of fewer than three points have no chain.
     """
     limit = math.inf if steepest is None else steepest
