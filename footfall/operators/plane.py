@@ -258,13 +258,15 @@ def _block_draws(n: int, block: int, size: int, reps: int, seed: int) -> np.ndar
 
 
 def bootstrap_planes(
-    support: DataFrame, planes: KeyTable, reps: int = K.MC_SAMPLES, seed: int = K.MC_SEED, size: int = BLOCK
+    support: DataFrame, planes: KeyTable, reps: int = K.MC_SAMPLES, seed: int = K.MC_SEED, size: int = BLOCK,
+    times: Callable[[np.ndarray, int], np.ndarray] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Least-squares planes of resampled inliers: samples (mesh_id, b, a, b_, c) and quality.
 
     Draws with replacement are counted per block; each block contributes the weighted
     moments of its rows for every replicate, and the moments are summed per replicate.
-    The rule is the same at every size: block k draws from the stream (seed, 0, k).
+    The rule is the same at every size: block k draws from the stream (seed, 0, k). ``times`` replaces the
+    draws: for given row numbers it says how often each replicate takes them (replicates x rows).
     """
     numbered = materialize(with_ordinals(support, "vid"), "inliers")
     stats = settle(
@@ -284,12 +286,16 @@ def bootstrap_planes(
         rows = len(pdf)
         w, d, u = (pdf[c].to_numpy() - pdf["o" + c].to_numpy() for c in ("w", "d", "u"))
         feats = np.column_stack([np.ones(rows), w, d, u, w * w, d * d, w * d, w * u, d * u])
-        share = _block_draws(n, block, size, reps, seed)
-        rng = np.random.default_rng([seed, 0, block])
-        sums = np.empty((reps, feats.shape[1]))
-        for b in range(reps):
-            times = np.bincount(rng.choice(rows, int(share[b]), replace=True), minlength=rows)
-            sums[b] = times @ feats
+        sums = np.zeros((reps, feats.shape[1]))
+        if times is not None:
+            ords = pdf["ord"].to_numpy()
+            for at in range(0, rows, CHUNK):
+                sums += times(ords[at:at + CHUNK], reps) @ feats[at:at + CHUNK]
+        else:
+            share = _block_draws(n, block, size, reps, seed)
+            rng = np.random.default_rng([seed, 0, block])
+            for b in range(reps):
+                sums[b] = np.bincount(rng.choice(rows, int(share[b]), replace=True), minlength=rows) @ feats
         out = pd.DataFrame(sums, columns=["s", "sw", "sd", "su", "sww", "sdd", "swd", "swu", "sdu"])
         out.insert(0, "b", np.arange(reps))
         out.insert(0, "mesh_id", key[0])

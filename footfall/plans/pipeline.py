@@ -5,8 +5,10 @@ Every step is keyed by mesh, so any number of surfaces runs in one job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions import constants as K
@@ -29,6 +31,9 @@ class Config:
     ``compat`` keeps known oddities of the published model: profiles always come from
     the default robust fit, Monte Carlo nosing applies the scale twice, and oak has no
     Monte Carlo prior. ``nominal_width`` is recorded but enters no formula.
+
+    ``triples``, ``mixture_rounds`` and ``times`` replace seeded draws and tolerances by rules, see
+    ``fit_planes``, ``fit_mixtures`` and ``bootstrap_planes``.
     """
 
     material: str = "granite"
@@ -43,6 +48,9 @@ class Config:
     grid: int = K.GRID
     flip_depth: bool = False
     compat: bool = True
+    triples: Callable[[DataFrame, int], DataFrame] | None = None
+    mixture_rounds: int | None = None
+    times: Callable[[np.ndarray, int], np.ndarray] | None = None
 
     @property
     def default_fit(self) -> bool:
@@ -71,7 +79,7 @@ class Surface:
     def fit(self, iters: int, thresh_mm: float) -> P.PlaneFit:
         key = (iters, thresh_mm)
         if key not in self.fits:
-            self.fits[key] = P.fit_planes(self.points, self.frame, iters, thresh_mm)
+            self.fits[key] = P.fit_planes(self.points, self.frame, iters, thresh_mm, draw=self.config.triples)
         return self.fits[key]
 
     def segmented(self, angle: float, roi) -> DataFrame:
@@ -142,7 +150,7 @@ def analyze_wear(surface: Surface) -> Wear:
     lateral = materialize(Gr.lateral_profile(cells, surface.frame, c.grid), "lateral")
     along = materialize(Gr.longitudinal_profile(cells, surface.frame, c.grid), "along")
     moments = Gr.lateral_moments(lateral).withColumnRenamed("skewness", "lateral_skewness")
-    mixture = lateral_mixture(lateral)
+    mixture = lateral_mixture(lateral, c.mixture_rounds)
     regions = Gr.longitudinal_regions(along, c.grid, c.flip_depth)
     # Moments of a profile without a mixture are not reported.
     fitted = F.col("n_modes") > 0
@@ -170,19 +178,20 @@ def analyze(mesh: M.Mesh, config: Config = Config()) -> tuple[Surface, Wear, Dat
 
 
 def propagate(
-    surface: Surface, n: int = K.MC_SAMPLES, seed: int = K.MC_SEED, samples_only: bool = False
+    surface: Surface, n: int = K.MC_SAMPLES, seed: int = K.MC_SEED, samples_only: bool = False, draws: DataFrame | None = None
 ) -> DataFrame:
-    """Uncertainty of a prepared surface: one result row per mesh, or its samples."""
+    """Uncertainty of a prepared surface: one result row per mesh, or its samples. ``draws`` (see ``monte_carlo_draws``) replaces the seeded ones."""
     c = surface.config
     fit = surface.fit(c.ransac_iters, c.ransac_thresh_mm)
     support, planes = P.bootstrap_support(surface.points, surface.frame, fit, c.ransac_iters, c.ransac_thresh_mm)
-    plane_samples, quality = P.bootstrap_planes(support, planes, n, seed)
+    plane_samples, quality = P.bootstrap_planes(support, planes, n, seed, times=c.times)
     plane_samples, quality = materialize(plane_samples, "bootstrap"), materialize(quality, "quality")
     widths = surface.frame.df.select("mesh_id", (F.col("w_max") - F.col("w_min")).alias("width"))
     given = F.when(F.col("scale") != 1.0, F.col("scale"))
     scaled = widths.join(surface.scale_rows(), "mesh_id").withColumn("user_scale", given)
     config = U.scale_prior(scaled, "width").withColumns({"n_planes": F.lit(n), "material": F.lit(c.material)})
-    draws = U.monte_carlo_draws(with_material_prior(config, compat=c.compat), n, seed)
+    if draws is None:
+        draws = U.monte_carlo_draws(with_material_prior(config, compat=c.compat), n, seed)
     tread = surface.segmented(K.TREAD_ANGLE_DEG, K.ROI_QUANTILES).where("is_tread")
     samples = U.monte_carlo_samples(
         draws, plane_samples, materialize(tread.select("mesh_id", "fid", *[f"{x}{k}" for k in range(3) for x in "wdu"]), "mctread"),
