@@ -98,3 +98,99 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("kurtosis", kurtosis).select(
         "mesh_id", *[r(c, 6) for c in ROUNDED], r("total_steps", 0), r("daily_500y", 3), "triangles_used", "plane_method", "n_modes", "dominant_direction", "pattern", "n_lanes", "rationale",
         "temporal_drift_likely", "weak_plane", "high_exclusion", "implausible_depth")
+
+
+# --- bootstrap and propagation ---------------------------------------------------
+
+def ruled_times(ords: np.ndarray, reps: int) -> np.ndarray:
+    """How often replicate b takes row number ord, by a rule of both: 0 to 3 times."""
+    b, at = np.arange(reps)[:, None], ords[None, :]
+    return ((b * 7919 + at * 10473 + b * at * 31) % 13 % 4).astype(float)
+
+
+BOOTSTRAP = f"""inl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY mesh_id ORDER BY vid)-1 AS o, avg(w) OVER (PARTITION BY mesh_id) AS ow, avg(d) OVER (PARTITION BY mesh_id) AS od, avg(u) OVER (PARTITION BY mesh_id) AS ou
+  FROM (SELECT mesh_id, vid, w, d, u FROM nl UNION ALL SELECT mesh_id, vid, x, y, z FROM sv WHERE mesh_id NOT IN (SELECT mesh_id FROM rf))),
+wt AS (SELECT mesh_id, b, (b*7919+o*10473+b*o*31) % 13 % 4 AS t, ow, od, ou, w-ow AS w, d-od AS d, u-ou AS u FROM inl, range(0, {REPLICATES}) r(b)),
+bm AS (SELECT mesh_id, b, any_value(ow) AS ow, any_value(od) AS od, any_value(ou) AS ou, sum(t) AS s, sum(t*w)/sum(t) AS w, sum(t*d)/sum(t) AS d, sum(t*u)/sum(t) AS u,
+  sum(t*w*w)/sum(t) AS ww, sum(t*d*d)/sum(t) AS dd, sum(t*w*d)/sum(t) AS wd, sum(t*w*u)/sum(t) AS wu, sum(t*d*u)/sum(t) AS du FROM wt GROUP BY mesh_id, b),
+bv AS (SELECT *, ww-w*w AS vw, dd-d*d AS vd, wd-w*d AS cwd, wu-w*u AS cwu, du-d*u AS cdu FROM bm),
+bp AS (SELECT *, (cwu*vd-cdu*cwd)/(vw*vd-cwd*cwd) AS pa, (cdu*vw-cwu*cwd)/(vw*vd-cwd*cwd) AS pb FROM bv),
+bt AS MATERIALIZED (SELECT mesh_id, CAST(b AS INTEGER) AS b, pa, pb, u+ou-pa*(w+ow)-pb*(d+od) AS pc FROM bp)"""
+
+
+@query("ruled_bootstrap", cte(*PLANE_CTE, BOOTSTRAP) + "SELECT mesh_id, b, round(pa, 6) AS pa, round(pb, 6) AS pb, round(pc, 6) AS pc FROM bt")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    surface = PL.load(surfaces(spark, sf), RULES)
+    support, planes = P.bootstrap_support(surface.points, surface.frame, surface.fit(K.RANSAC_ITERS, K.RANSAC_THRESH_MM))
+    found = P.bootstrap_planes(support, planes, REPLICATES, times=ruled_times)[0]
+    return found.select("mesh_id", "b", r("pa", 6), r("pb", 6), r("pc", 6))
+
+
+def finite(name: str) -> F.Column:
+    """The value, or null where a centre without wear leaves no number."""
+    return F.when(~F.isnan(name) & (F.abs(F.col(name)) < float("inf")), F.col(name))
+
+
+UNITS = (("mm", 0.001), ("cm", 0.01), ("m", 1.0))
+
+
+def ruled_draws(meshes: DataFrame) -> DataFrame:
+    """Monte Carlo draws by a rule of the sample number."""
+    s = F.col("s")
+    unit = F.element_at(F.array(*[F.struct(F.lit(u).alias("label"), F.lit(x).alias("scale")) for u, x in UNITS]), (s % 3 + 1).cast("int"))
+    rows = meshes.select("mesh_id", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("s"))
+    return rows.select(
+        "mesh_id", "s", (unit["scale"] * (0.9 + (s % 11) / 64.0)).alias("scale"), unit["label"].alias("hypothesis"), (s * 5 % REPLICATES).cast("long").alias("b"),
+        (1e-6 * (0.5 + (s % 7) / 4.0)).alias("k_spec"), (1.25 + (s % 5) / 8.0).alias("grf"), ((1 + s % 9) / 1024.0).alias("slip"),
+        (0.875 + (s % 4) / 16.0).alias("threshold"), (4.0 + (s % 3) / 2.0).alias("slope"))
+
+
+DRAWS = f"""dw AS MATERIALIZED (SELECT CAST(s AS INTEGER) AS s, [{', '.join(f'{x!r}::DOUBLE' for _, x in UNITS)}][s%3+1]*(0.9::DOUBLE+(s%11)/64.0) AS scale, [{', '.join(f"'{u}'" for u, _ in UNITS)}][s%3+1] AS hypothesis, s*5%{REPLICATES} AS b,
+  1e-6*(0.5+(s%7)/4.0) AS k_spec, 1.25+(s%5)/8.0 AS grf, (1+s%9)/1024.0 AS slip, 0.875+(s%4)/16.0 AS threshold, 4.0+(s%3)/2.0 AS slope FROM range(0, {REPLICATES}) q(s))"""
+SAMPLED = (
+    "tri AS (SELECT t.*, bt.b AS rep, pa AS a, pb AS b, pc AS c FROM tread t JOIN bt ON bt.mesh_id=t.mesh_id WHERE is_tread)", VOLUME,
+    "bw AS MATERIALIZED (SELECT mesh_id, rep, sum((p0+p1+p2)/3.0*area) AS volume, max(greatest(p0,p1,p2))*1000.0 AS max_depth, coalesce(avg(CASE WHEN p0+p1+p2 > 0 THEN (p0+p1+p2)/3.0 END), 0)*1000.0 AS mean_depth FROM dep GROUP BY mesh_id, rep)",
+    """nz AS MATERIALIZED (SELECT v.mesh_id, s, avg(greatest(0.0, pa*scale*x+pb*scale*y+pc-scale*z)) FILTER (y < y_min+0.25*(y_max-y_min)) AS front,
+  avg(greatest(0.0, pa*scale*x+pb*scale*y+pc-scale*z)) FILTER (y >= y_min+0.25*(y_max-y_min) AND y <= y_max-0.25*(y_max-y_min)) AS centre
+  FROM sv v JOIN box x0 ON x0.mesh_id=v.mesh_id JOIN bt ON bt.mesh_id=v.mesh_id JOIN dw ON dw.b=bt.b GROUP BY v.mesh_id, s)""",
+    """sm AS MATERIALIZED (SELECT bt.mesh_id, dw.s, dw.scale, dw.hypothesis, dw.k_spec, dw.grf, dw.slip, volume, max_depth, mean_depth,
+  CASE WHEN centre = 0 THEN CASE WHEN coalesce(front, 0) > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END ELSE coalesce(front, 0)/coalesce(centre, 1e-10) END AS nosing_ratio, threshold, slope,
+  volume/(k_spec*1e-9*(700.0*grf)*slip) AS traffic FROM bt JOIN dw ON dw.b=bt.b JOIN bw ON bw.mesh_id=bt.mesh_id AND bw.rep=bt.b JOIN nz ON nz.mesh_id=bt.mesh_id AND nz.s=dw.s)""",
+    "sp_ AS MATERIALIZED (SELECT *, 1.0/(1.0+exp(slope*(nosing_ratio-threshold))) AS prob_ascent FROM sm)")
+SAMPLE_CTE = (*PLANE_CTE, BOOTSTRAP, *TREAD_ON, DRAWS, *SAMPLED)
+SAMPLE_COLUMNS = {"volume_cm3": "volume*1e6", "max_depth": "max_depth", "mean_depth": "mean_depth", "nosing_ratio": "nosing_ratio", "prob_ascent": "prob_ascent"}
+RULED = PL.Config(axes=AXES, triples=RULES.triples, times=ruled_times)
+
+
+def ruled_surface(spark: SparkSession, sf: str) -> tuple[PL.Surface, DataFrame]:
+    surface = PL.load(surfaces(spark, sf), RULED)
+    return surface, ruled_draws(surface.frame.df)
+
+
+@query("ruled_samples", cte(*SAMPLE_CTE) + "SELECT mesh_id, s, hypothesis, round(scale, 9) AS scale, " + ", ".join(f"round(CASE WHEN isfinite({e}) THEN {e} END, 6) AS {c}" for c, e in SAMPLE_COLUMNS.items()) + ", round(traffic, 0) AS traffic FROM sp_")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    surface, draws = ruled_surface(spark, sf)
+    found = PL.propagate(surface, REPLICATES, samples_only=True, draws=draws).withColumn("volume_cm3", F.col("volume") * 1e6)
+    return found.select("mesh_id", "s", "hypothesis", r("scale"), *[r(finite(c), 6, c) for c in SAMPLE_COLUMNS], r("traffic", 0))
+
+
+METRICS = {"volume": 1e6, "max_depth": 1.0, "mean_depth": 1.0, "prob_ascent": 1.0, "nosing_ratio": 1.0, "total_steps": 1e-6, "daily_500y": 1.0}
+DISTRIBUTION = {"mean": "mean", "median": "median", "std": "std", "lo50": "ci_50.lo", "hi50": "ci_50.hi", "lo95": "ci_95.lo", "hi95": "ci_95.hi"}
+SUMMARY = "mt AS (" + " UNION ALL ".join(
+    f"SELECT mesh_id, '{m}' AS metric, {k!r}::DOUBLE*{'traffic' if m == 'total_steps' else 'traffic/(500*365.0)' if m == 'daily_500y' else m} AS v FROM sp_" for m, k in METRICS.items()) + ")"
+
+
+def _summary_sql() -> str:
+    figures = {"mean": "avg(v)", "median": "quantile_cont(v, 0.5)", "std": "stddev_pop(v)", "lo50": "quantile_cont(v, 0.25)", "hi50": "quantile_cont(v, 0.75)", "lo95": "quantile_cont(v, 0.025)", "hi95": "quantile_cont(v, 0.975)"}
+    spoiled = "bool_and(isfinite(v))"  # one sample without a number leaves no distribution
+    return "SELECT mesh_id, metric, " + ", ".join(f"CASE WHEN {spoiled} THEN round({e}, 6) END AS {c}" for c, e in figures.items()) + " FROM mt GROUP BY mesh_id, metric"
+
+
+@query("ruled_propagation", cte(*SAMPLE_CTE, SUMMARY) + _summary_sql())
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    surface, draws = ruled_surface(spark, sf)
+    found = PL.propagate(surface, REPLICATES, draws=draws)
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), *[(F.col(f"{m}.{p}") * k).alias(c) for c, p in DISTRIBUTION.items()]) for m, k in METRICS.items()]))
+    known = finite("mean").isNotNull()  # a sample that is no number spoils the mean
+    return found.select("mesh_id", rows).select("mesh_id", "metric", *[r(F.when(known, F.col(c)), 6, c) for c in DISTRIBUTION])
