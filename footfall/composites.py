@@ -6,11 +6,13 @@ rounds, the bootstrap its draw counts and the propagation its samples by rules o
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.catalog import (
-    AXES, BOX, CAND, DIRECTION, DRIFT, FIT, GRID, HYP, LANES, LATERAL, LEG, MOMENTS, REGION, ROI, SCORE, SF, SGRID, SL, SN, ST, STRIP, SV, TILT, TREAD,
+    AXES, BOX, CAND, DIRECTION, DRIFT, FIT, GRID, HYP, LANES, LATERAL, LEG, MOMENTS, ORACLE, REGION, ROI, SCORE, SF, SGRID, SL, SN, ST, STRIP, SV, TILT, TREAD,
     VOLUME, VOLUME_OUT, cte, fixed_triples, grid_sql, query, r, shipment_cells, surfaces,
 )
 from footfall.functions import constants as K
@@ -18,6 +20,7 @@ from footfall.operators import grid as Gr, plane as P, uncertainty as U
 from footfall.operators.mixture import VARIANCE_FLOOR, lateral_mixture
 from footfall.plans import pipeline as PL
 from footfall.session import materialize
+from footfall.sinks import charts, report
 
 ROUNDS = 6
 REPLICATES = 64
@@ -194,3 +197,64 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(m).alias("metric"), *[(F.col(f"{m}.{p}") * k).alias(c) for c, p in DISTRIBUTION.items()]) for m, k in METRICS.items()]))
     known = finite("mean").isNotNull()  # a sample that is no number spoils the mean
     return found.select("mesh_id", rows).select("mesh_id", "metric", *[r(F.when(known, F.col(c)), 6, c) for c in DISTRIBUTION])
+
+
+# --- texts -----------------------------------------------------------------------
+# The wording below is fixed: it repeats the report's and the charts' texts.
+
+_SAID = ORACLE["simultaneity"]
+DESCRIPTION = _SAID[_SAID.index("CASE WHEN pattern='SINGLE FILE' AND fits=0"):_SAID.index(" AS description")]
+TEXT_CTE = (*ANALYSIS_CTE, "cd AS (SELECT b.mesh_id, coalesce(cn.n, 0) AS candidates FROM box b LEFT JOIN cn ON cn.mesh_id=b.mesh_id)",
+            "tc AS (SELECT mesh_id, count(*) FILTER (is_tread) AS tread_count FROM tread GROUP BY mesh_id)",
+            f"""tx AS (SELECT *, total_steps/(500*365.0) AS daily, CASE WHEN total_steps > 0 THEN volume/total_steps ELSE 0 END AS step_volume, {DESCRIPTION} AS description
+  FROM (SELECT * REPLACE (coalesce(volume, 0.0) AS volume, coalesce(max_depth, 0.0) AS max_depth, coalesce(total_steps, 0.0) AS total_steps) FROM an) JOIN cd USING (mesh_id) JOIN tc USING (mesh_id))""",
+            f"""wn AS (SELECT *, list_filter([CASE WHEN max_depth > 200 THEN '{K.DEPTH_WARNING}' END, CASE WHEN step_volume > 1e-9 THEN 'Per-step wear volume ' || printf('%.2e', step_volume) || '{K.STEP_WARNING.split("{0}")[1].replace("'", "''")}' END,
+  CASE WHEN daily > 50000 THEN 'Extremely high traffic (' || printf('%.0f', daily) || '{K.HIGH_TRAFFIC_WARNING.split("{0}")[1]}' END,
+  CASE WHEN daily < 0.1 AND total_steps > 0 THEN 'Extremely low traffic (' || printf('%.3f', daily) || '{K.LOW_TRAFFIC_WARNING.split("{0}")[1]}' END], lambda x: x IS NOT NULL) AS warnings FROM tx)""")
+
+
+def _lines_sql(lines: list[str]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(lines) + "], lambda x: x IS NOT NULL), chr(10))"
+
+
+def _report_sql() -> str:
+    rule = f"'{report.RULE}'"
+    years = [f"'  If {f'{y:>3} years old:'.ljust(16)}' || printf('%.3f', total_steps/({y}*365.0)) || ' footsteps/day'" for y in K.HORIZONS_YEARS]
+    return _lines_sql([
+        rule, "'SURFACE WEAR REPORT'", rule, "''", "'Input File: ' || mesh_id", "'Material: Granite'", "'Wear Volume Method: robust_triangle'", "''", "'--- ROBUST METHOD DIAGNOSTICS ---'",
+        "'Reference Plane:'", "'  Method: ' || plane_method", "'  Inlier fraction: ' || printf('%.1f', inlier_fraction*100) || '%'", "'  RMS error: ' || printf('%.2f', rms) || ' mm'", "'  Candidates used: ' || candidates",
+        "'Tread Segmentation:'", "'  Tread triangles: ' || tread_count", "'  Excluded fraction: ' || printf('%.1f', excluded_fraction*100) || '%'",
+        "CASE WHEN inlier_fraction < 0.5 THEN '  WARNING: Weak reference plane fit (inliers < 50%)' END", "CASE WHEN excluded_fraction > 0.5 THEN '  WARNING: High triangle exclusion (> 50%)' END",
+        "CASE WHEN max_depth > 200 THEN '  WARNING: Implausible max depth (> 200mm)' END", "''", "'--- QUESTION 1: HOW OFTEN WAS THE SURFACE USED? ---'",
+        "'Total estimated footsteps: ' || printf('%.2e', total_steps)", "'Wear volume: ' || printf('%.2e', volume) || ' m^3'", "''", "'Estimated daily traffic (by building age):'", *years,
+        "CASE WHEN len(warnings) > 0 THEN '' END", "CASE WHEN len(warnings) > 0 THEN '  TRAFFIC VOLUME WARNINGS:' END",
+        "CASE WHEN len(warnings) > 0 THEN array_to_string(list_transform(warnings, lambda x: '    - ' || x), chr(10)) END", "''", "'--- QUESTION 2: WAS A DIRECTION FAVORED? ---'",
+        "'Dominant direction: ' || dominant_direction", "'Confidence: ' || printf('%.1f', confidence) || '%'", "'Ascent/Descent ratio: ' || printf('%.2f', ascent_descent_ratio)", "'Explanation: ' || explanation", "''",
+        "'--- QUESTION 3: HOW MANY PEOPLE SIMULTANEOUSLY? ---'", "'Usage pattern: ' || pattern", "'Description: ' || description", "'Number of lanes: ' || n_lanes", "'Effective width: ' || wide || ' m'",
+        "'Single file possible: True'", "'Two-abreast lanes: ' || fits", "CASE WHEN drift THEN 'Temporal drift detected: YES (peaks shift over depth)' ELSE 'Temporal drift detected: NO' END", "''", rule])
+
+
+HEATMAP = ["'Method: robust_triangle'", "'Max depth: ' || printf('%.1f', max_depth) || ' mm'", "'Volume: ' || printf('%.3g', volume) || ' m³'", "'Volume: ' || printf('%.1f', volume*1000) || ' L'",
+           "'RANSAC inliers: ' || printf('%.1f', inlier_fraction*100) || '%'", "CASE WHEN inlier_fraction < 0.5 THEN '⚠ weak plane fit' END", "'RMS error: ' || printf('%.2f', rms) || ' mm'",
+           "'Excluded: ' || printf('%.1f', excluded_fraction*100) || '%'"]
+LATERAL_TEXT = ["'Final Pattern: ' || pattern", "'W_nom: ' || printf('%.2f', w_nom) || 'm  W_eff: ' || wide || 'm'", "'shy_dist: 0.20m  w_lane: 0.55m'", "'M_max_two_abreast: ' || fits",
+                "'Single file possible: True'", "CASE WHEN drift THEN '⚠ Temporal drift: YES' END"]
+ALONG_TEXT = ["'Nosing Ratio: ' || printf('%.2f', nosing_wear_ratio)", "'Direction: ' || dominant_direction", "'Confidence: ' || printf('%.0f', confidence) || '%'", "''", "'(Heuristic inference)'",
+              "'Assumes depth axis orientation is correct; flip if reversed.'"]
+BAR = "━" * 25
+SUMMARY_TEXT = [f"'STABLE CONCLUSIONS' || chr(10) || '{BAR}' || chr(10) || chr(10) || '✅ GEOMETRY:'", "'  • Max depth: ' || printf('%.1f', max_depth) || ' mm'",
+                "'  • Volume: ' || printf('%.3g', volume) || ' m³ (' || printf('%.1f', volume*1000) || ' L)'", "'  • Method: robust_triangle' || CASE WHEN inlier_fraction < 0.5 THEN ' (⚠ weak plane fit)' ELSE '' END",
+                "chr(10) || '✅ SIMULTANEITY (Physics-Constrained):'", "'  • Pattern: ' || pattern", "'  • W_eff: ' || wide || ' m'", "'  • ' || description", "chr(10) || '⚠ DIRECTION (Heuristic):'",
+                "'  • ' || dominant_direction", "'  • Confidence: ' || printf('%.0f', confidence) || '%'", "'  • ' || explanation", "'  • Note: Assumes depth axis orientation' || chr(10) || '    is correct; flip if reversed.'",
+                "chr(10) || '⚠ TRAFFIC: CALIBRATION-LIMITED' || chr(10) || '  • Traffic estimates require validated' || chr(10) || '    scale/material parameters.' || chr(10) || '  • See traffic_assumptions.png for' || chr(10) || '    conditional estimates.'",
+                "CASE WHEN drift THEN chr(10) || '⚠ Temporal drift detected' || chr(10) || '  (peaks shift over depth)' END"]
+CHARTS = {"report": _report_sql(), "heatmap": _lines_sql(HEATMAP), "lateral": _lines_sql(LATERAL_TEXT), "longitudinal": _lines_sql(ALONG_TEXT), "summary": _lines_sql(SUMMARY_TEXT)}
+
+
+@query("ruled_texts", cte(*TEXT_CTE) + " UNION ALL ".join(f"SELECT mesh_id, '{name}' AS chart, {text} AS text FROM wn" for name, text in CHARTS.items()))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    _, wear, results = PL.analyze(surfaces(spark, sf), RULES)
+    texts = {"report": report.report(results), "heatmap": charts.heatmap_info(results), "lateral": charts.lateral_info(results),
+             "longitudinal": charts.longitudinal_info(wear.longitudinal, results), "summary": charts.conclusions(results)}
+    rows = [t.select("mesh_id", F.lit(name).alias("chart"), "text") for name, t in texts.items()]
+    return functools.reduce(DataFrame.union, rows)
