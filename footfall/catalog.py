@@ -82,13 +82,16 @@ def cte(*parts: str) -> str:
 
 
 def grid_sql(points: str, extents: str, g: int = GRID) -> str:
-    """Highest point near each node by comparing every node with every point of its mesh."""
-    return f"""nodes AS (SELECT mesh_id, i, j, w_min, w_max, d_min, d_max,
-  CASE WHEN j={g-1} THEN w_max ELSE w_min + j*((w_max-w_min)/{g-1}.0) END AS x,
-  CASE WHEN i={g-1} THEN d_max ELSE d_min + i*((d_max-d_min)/{g-1}.0) END AS y
+    """Nodes, and the highest point near each: a point can only be near the two nodes around it on each axis."""
+    step = {a: f"(({a}_max-{a}_min)/{g-1}.0)" for a in "wd"}
+    place = lambda a, k: f"CASE WHEN {k}={g-1} THEN {a}_max ELSE {a}_min + {k}*{step[a]} END"
+    below = lambda a: f"CAST(floor((p.{a}-{a}_min)*{g-1}.0/nullif({a}_max-{a}_min, 0)) AS INTEGER)"
+    return f"""nodes AS (SELECT mesh_id, i, j, w_min, w_max, d_min, d_max, {place('w', 'j')} AS x, {place('d', 'i')} AS y
   FROM {extents}, range(0,{g}) a(i), range(0,{g}) b(j)),
-top AS (SELECT n.mesh_id, n.i, n.j, max(p.u) AS u_top FROM nodes n JOIN {points} p ON p.mesh_id=n.mesh_id
-  AND abs(p.w-n.x) < (n.w_max-n.w_min)/{g}.0 AND abs(p.d-n.y) < (n.d_max-n.d_min)/{g}.0 GROUP BY n.mesh_id, n.i, n.j)"""
+around AS (SELECT p.mesh_id, p.w, p.d, p.u, w_min, w_max, d_min, d_max, {below('w')}+q AS j, {below('d')}+r AS i
+  FROM {points} p JOIN {extents} e ON e.mesh_id=p.mesh_id, range(0,2) a(q), range(0,2) b(r)),
+top AS (SELECT mesh_id, i, j, max(u) AS u_top FROM around WHERE i BETWEEN 0 AND {g-1} AND j BETWEEN 0 AND {g-1}
+  AND abs(w-({place('w', 'j')})) < (w_max-w_min)/{g}.0 AND abs(d-({place('d', 'i')})) < (d_max-d_min)/{g}.0 GROUP BY mesh_id, i, j)"""
 
 
 LEGACY = """edge AS (SELECT p.mesh_id, quantile_cont(u, 0.95) AS q95 FROM pv p JOIN pb b ON b.mesh_id=p.mesh_id

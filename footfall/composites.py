@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.catalog import (
-    AXES, BOX, CAND, DIRECTION, DRIFT, FIT, GRID, HYP, LANES, LATERAL, LEG, MOMENTS, ORACLE, REGION, ROI, SCORE, SF, SGRID, SL, SN, ST, STRIP, SV, TILT, TREAD,
+    AXES, BOX, CAND, DIRECTION, DRIFT, FIT, GRID, HYP, LANES, LATERAL, LEG, MOMENTS, ORACLE, RANKS, REGION, RHO, ROI, SCORE, SF, SGRID, SHARES, SL, SN, ST, STRIP, SV, TILT, TREAD,
     VOLUME, VOLUME_OUT, cte, fixed_triples, grid_sql, query, r, shipment_cells, surfaces,
 )
 from footfall.functions import constants as K
@@ -258,3 +258,64 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
              "longitudinal": charts.longitudinal_info(wear.longitudinal, results), "summary": charts.conclusions(results)}
     rows = [t.select("mesh_id", F.lit(name).alias("chart"), "text") for name, t in texts.items()]
     return functools.reduce(DataFrame.union, rows)
+
+
+def _spoiled(name: str, value: str) -> str:
+    """Quantiles and mean of a metric; one sample that is no number leaves no distribution."""
+    figures = {"m": f"quantile_cont({value}, 0.5)", "lo": f"quantile_cont({value}, 0.025)", "hi": f"quantile_cont({value}, 0.975)", "mean": f"avg({value})"}
+    return ", ".join(f"CASE WHEN bool_or(isnan({value})) THEN 'nan'::DOUBLE ELSE {e} END AS {name}_{k}" for k, e in figures.items())
+
+
+FIGURES = {"volume": "volume", "max_depth": "max_depth", "mean_depth": "mean_depth", "prob_ascent": "prob_ascent", "nosing_ratio": "nosing_ratio", "total_steps": "traffic"}
+DOUBT_CTE = (*SAMPLE_CTE, RANKS, RHO, SHARES, "hs AS (SELECT mesh_id, string_agg(hypothesis || ' ' || printf('%.0f', 100.0*n/total) || '%', ', ' ORDER BY hypothesis) AS scales, count(*) FILTER (n > 0.1*total) AS likely FROM (SELECT mesh_id, hypothesis, count(*) AS n, sum(count(*)) OVER (PARTITION BY mesh_id) AS total FROM sp_ GROUP BY mesh_id, hypothesis) GROUP BY mesh_id)",
+             "qf AS (SELECT pl.mesh_id, CASE WHEN plane_method = 'RANSAC' THEN inlier_fraction ELSE 1.0 END AS inl, CASE WHEN plane_method = 'RANSAC' THEN rms ELSE (SELECT sqrt(avg((c-z)*(c-z)))*1000.0 FROM sv WHERE sv.mesh_id = pl.mesh_id) END AS rms FROM pl)",
+             "ds AS (SELECT mesh_id, " + ", ".join(
+                 _spoiled(m, e) for m, e in FIGURES.items())
+             + ", CASE WHEN bool_or(isnan(nosing_ratio)) THEN 'nan'::DOUBLE ELSE quantile_cont(1/(nosing_ratio+1e-10), 0.5) END AS flipped, stddev_pop(scale)/avg(scale) AS scale_cv FROM sp_ GROUP BY mesh_id)",
+             f"""dt AS (SELECT ds.*, scales, scale_cv > 0.5 OR likely > 1 AS scale_ambiguous, inl < 0.6 OR qf.rms > 5.0 AS weak, (nosing_ratio_m < 0.85) <> (flipped < 0.85) AS axis, k_spec+scale+plane+grf+slip AS whole, k_spec, scale, plane, grf, slip,
+  ['k_spec','scale','plane','grf','slip'][list_position([k_spec, scale, plane, grf, slip], list_max([k_spec, scale, plane, grf, slip]))] AS dominant,
+  CASE WHEN prob_ascent_lo > 0.5 AND NOT isnan(prob_ascent_lo) THEN printf('ASCENT (%.0f%% [%.0f-%.0f%%])', prob_ascent_m*100, prob_ascent_lo*100, prob_ascent_hi*100)
+  WHEN prob_ascent_hi < 0.5 THEN printf('DESCENT (%.0f%% [%.0f-%.0f%%])', (1-prob_ascent_m)*100, (1-prob_ascent_hi)*100, (1-prob_ascent_lo)*100)
+  ELSE printf('AMBIGUOUS (P_ascent=%.0f%% [%.0f-%.0f%%])', prob_ascent_m*100, prob_ascent_lo*100, prob_ascent_hi*100) END AS label
+  FROM ds JOIN hs USING (mesh_id) JOIN qf USING (mesh_id) JOIN pl_ USING (mesh_id))""".replace("pl_", "shr"))
+DOUBT_CTE = tuple(c.replace("pl AS (SELECT mesh_id, k_spec", "shr AS (SELECT mesh_id, k_spec") for c in DOUBT_CTE)
+
+
+def _interval(name: str, show: str, divisor: str = "1") -> str:
+    return f"printf('{show} [{show} - {show}]', {name}_m/{divisor}, {name}_lo/{divisor}, {name}_hi/{divisor})"
+
+
+def _panel(name: str, show: str, divisor: str = "1") -> str:
+    return f"printf('     CI95: [{show}, {show}]', {name}_lo/{divisor}, {name}_hi/{divisor})"
+
+
+def _flag(name: str) -> str:
+    return f"CASE WHEN {name} THEN 'True' ELSE 'False' END"
+
+
+STEPS_500Y = "(500*365.0)"
+PANEL = [f"'Monte Carlo samples: {REPLICATES}'", f"'Seed: {K.MC_SEED}'", "chr(10) || 'GEOMETRY (Stable)'", "'  Volume: ' || printf('%.2e', volume_m) || ' m³'", _panel("volume", "%.2e"),
+         "'  Max depth: ' || printf('%.2f', max_depth_m) || ' mm'", _panel("max_depth", "%.2f"), "chr(10) || 'TRAFFIC (Conditional, 500y)'", f"'  Daily: ' || printf('%.2e', total_steps_m/{STEPS_500Y}) || ' steps/day'",
+         _panel("total_steps", "%.2e", STEPS_500Y), "chr(10) || 'FLAGS'", f"'  Scale ambiguous: ' || {_flag('scale_ambiguous')}", f"'  Weak plane fit: ' || {_flag('weak')}", f"'  Axis ambiguous: ' || {_flag('axis')}"]
+LINES = ["'Mesh: ' || mesh_id", f"'Wear volume (m3): ' || {_interval('volume', '%.2e')}", f"'Max depth (mm): ' || {_interval('max_depth', '%.2f')}", f"'P(ascent): ' || {_interval('prob_ascent', '%.2f')}", "'Direction: ' || label",
+         f"'Total steps: ' || {_interval('total_steps', '%.2e')}", *[f"'Daily over {y} years: ' || {_interval('total_steps', '%.2f', f'({y}*365.0)')}" for y in K.HORIZONS_YEARS],
+         "'Shares of variance: ' || " + " || ', ' || ".join(f"'{s} ' || printf('%.1f', 100*{s}/whole) || '%'" for s in K.SENSITIVITY_SOURCES), "'Dominated by: ' || dominant", "'Scale: ' || scales"]
+FIELDS = {"volume_cm3": ("$.geometry.volume_m3.median", "volume_m", 1e6), "max_depth_mm": ("$.geometry.max_depth_mm.ci_95[1]", "max_depth_hi", 1.0), "mean_depth_mm": ("$.geometry.mean_depth_mm.mean", "mean_depth_mean", 1.0),
+          "prob_ascent": ("$.directionality.prob_ascent.median", "prob_ascent_m", 1.0), "million_steps": ("$.traffic_conditional.total_steps.median", "total_steps_m", 1e-6),
+          "daily_500y": ("$.traffic_conditional.daily_500y.ci_95[0]", f"total_steps_lo/{STEPS_500Y}", 1.0), "share_k_spec": ("$.traffic_conditional.sensitivity.k_spec", "k_spec/whole", 1.0),
+          "samples": ("$.metadata.n_samples", f"{REPLICATES}", 1.0)}
+WORDS = {"classification": ("$.directionality.classification", "label"), "dominant_source": ("$.traffic_conditional.dominant_source", "dominant"),
+         "scale_ambiguous": ("$.flags.scale_ambiguous", f"lower({_flag('scale_ambiguous')})"), "weak_plane_fit": ("$.flags.weak_plane_fit", f"lower({_flag('weak')})")}
+
+
+@query("ruled_uncertainty", cte(*DOUBT_CTE) + f"SELECT mesh_id, {_lines_sql(PANEL)} AS panel, {_lines_sql(LINES)} AS lines, " + ", ".join(
+    f"CASE WHEN isfinite({e}*{k!r}::DOUBLE) THEN round({e}*{k!r}::DOUBLE, 5) END AS {c}" for c, (_, e, k) in FIELDS.items()) + ", " + ", ".join(f"{e} AS {c}" for c, (_, e) in WORDS.items()) + " FROM dt")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    surface, draws = ruled_surface(spark, sf)
+    results = materialize(PL.propagate(surface, REPLICATES, draws=draws), "doubt")
+    found = charts.uncertainty_text(results).withColumnRenamed("text", "panel").join(report.uncertainty_lines(results).withColumnRenamed("text", "lines"), "mesh_id")
+    document = report.uncertainty_document(results).withColumnRenamed("text", "json")
+    field = lambda path: F.get_json_object("json", path)
+    return found.join(document, "mesh_id").select(
+        "mesh_id", "panel", "lines", *[(field(path).cast("double") * k).alias(c) for c, (path, _, k) in FIELDS.items()], *[field(path).alias(c) for c, (path, _) in WORDS.items()]).select(
+        "mesh_id", "panel", "lines", *[r(finite(c), 5, c) for c in FIELDS], *WORDS)
