@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from footfall.catalog import (
-    AXES, BOX, CAND, DIRECTION, DRIFT, FIT, GRID, HYP, LANES, LATERAL, LEG, MOMENTS, ORACLE, RANKS, REGION, RHO, ROI, SCORE, SF, SGRID, SHARES, SL, SN, ST, STRIP, SV, TILT, TREAD,
+    AXES, BOX, CAND, DIRECTION, DRIFT, FIT, GRID, HYP, LANES, LATERAL, LEG, LEGACY, MOMENTS, ORACLE, RANKS, REGION, RHO, ROI, SCORE, SF, SGRID, SHARES, SL, SN, ST, STRIP, SV, TILT, TREAD,
     VOLUME, VOLUME_OUT, cte, fixed_triples, grid_sql, query, r, shipment_cells, surfaces,
 )
 from footfall.functions import constants as K
@@ -199,6 +199,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("mesh_id", rows).select("mesh_id", "metric", *[r(F.when(known, F.col(c)), 6, c) for c in DISTRIBUTION])
 
 
+# The level-reference method, chosen by its setting.
+LEVEL = PL.Config(axes=AXES, use_legacy_wear_volume=True, compat=False, mixture_rounds=ROUNDS)
+LEVEL_CTE = (SV, "pv AS (SELECT mesh_id, x AS w, y AS d, z AS u FROM sv)",
+             "pb AS (SELECT mesh_id, min(w) AS w_min, max(w) AS w_max, min(d) AS d_min, max(d) AS d_max, max(u) AS u_max FROM pv GROUP BY mesh_id)", grid_sql("pv", "pb"), LEGACY, LATERAL, MOMENTS, REGION, DRIFT, DIRECTION,
+             mixture_sql(), LANES_OF, LANES[LANES.index("le AS"):],
+             f"lv AS (SELECT c.mesh_id, sum(depth_mm/1000.0)*min(((w_max-w_min)/{GRID-1})*((d_max-d_min)/{GRID-1})) AS volume, max(depth_mm) AS max_depth, coalesce(avg(depth_mm) FILTER (depth_mm > 0), 0) AS mean_depth FROM cell c JOIN pb ON pb.mesh_id=c.mesh_id GROUP BY c.mesh_id)")
+LEVEL_COLUMNS = {"volume_cm3": "volume*1e6", "max_depth": "max_depth", "mean_depth": "mean_depth", "reference_height": "h", "w_nom": "w_nom", "nosing_wear_ratio": "nosing_wear_ratio", "shift_ratio": "shift_ratio", "confidence": "confidence"}
+
+
+@query("ruled_legacy_analysis", cte(*LEVEL_CTE) + "SELECT mesh_id, 'legacy_grid' AS method, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in LEVEL_COLUMNS.items()) + """, round(volume/(1e-6*1e-9*(700.0*1.7)*0.002)/(500*365.0), 3) AS daily_500y,
+CAST(n_modes AS INTEGER) AS n_modes, dominant_direction, pattern, drift AS temporal_drift_likely FROM lv JOIN ref USING (mesh_id) JOIN dir USING (mesh_id) JOIN lo USING (mesh_id)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = PL.analyze(surfaces(spark, sf), LEVEL)[2].withColumn("volume_cm3", F.col("volume") * 1e6)
+    return found.select("mesh_id", "method", *[r(c, 6) for c in LEVEL_COLUMNS], r("daily_500y", 3), "n_modes", "dominant_direction", "pattern", "temporal_drift_likely")
+
+
 # --- texts -----------------------------------------------------------------------
 # The wording below is fixed: it repeats the report's and the charts' texts.
 
