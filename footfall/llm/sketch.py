@@ -8,9 +8,9 @@ as its one shingle. A text with shingles of which none lies below the threshold
 smallest hash.
 
 Defined cases: null texts are empty; texts without words have the empty sketch, whose
-likeness is 1 to an empty sketch and 0 to any other; equal texts have equal sketches. Rows
-that share an id are one document (the smallest text), rows without an id are one document
-that comes last.
+likeness is 1 to an empty sketch and 0 to any other; equal texts have equal sketches. Every row
+is a document: the next one of rows that share an id is the one with the next smaller text, and
+rows without an id come last in descending order.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.llm.common import WORD, text_or_empty
+from footfall.operators.keyed import with_ordinals
 from footfall.session import materialize
 
 WORDS = 5
@@ -62,11 +63,16 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def one_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, text); ids are made unique only where some repeat. A null id becomes the smallest long."""
-    rows = docs.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("long").alias("_id"), text_or_empty(text).alias("text"))
-    repeated = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return rows.groupBy("_id").agg(F.min("text").alias("text")) if repeated else rows
+def placed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _key, text) of every row: ``_id`` is unique and orders rows by id, those without one first, then by text.
+
+    It is the id itself while no id repeats, else the row's number in that order, counted range by range.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("long").alias("_id"), text_or_empty(text).alias("text"))
+    if not rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return rows
+    at = rows.select("_key", F.lit(0).alias("_all"), F.struct("_id", "text").alias("_at"))
+    return with_ordinals(at, "_at", ["_all"], "_id").select("_id", "_key", F.col("_at.text").alias("text"))
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     document. Texts are shuffled once by id (both uses share the exchange); each document then
     sends only the characters that its predecessor needs, with its sketch.
     """
-    rows = one_per_id(docs, key, text)
+    rows = placed(docs, key, text)
     pairs = materialize(neighbours(rows.select("_id", F.length("text").cast("long").alias("n_chars"))), "sketch-ids")
     asked = pairs.select(F.col("_next").alias("_id"), F.col("_id").alias("_to"), (F.floor(F.col("n_chars") / 2)).cast("int").alias("_need"))
     spread = rows.repartition("_id")
@@ -107,6 +113,4 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     half = F.floor(F.col("n_chars") / 2)
     return own.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.col("_head"))).withColumn(
         "n_replaced", half
-    ).withColumn("_sketch", sketch(F.col("text"))).withColumn("_edited_sketch", sketch(F.col("edited"))).withColumn(
-        key, F.when(F.col("_id") != -(1 << 63), F.col("_id"))
-    )
+    ).withColumn("_sketch", sketch(F.col("text"))).withColumn("_edited_sketch", sketch(F.col("edited"))).withColumn(key, F.col("_key"))

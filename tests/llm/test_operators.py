@@ -266,24 +266,29 @@ def test_long_texts_are_read_in_pieces():
 
 
 def test_sketches(spark, folder):
-    got = {r.doc_id: r for r in rows_of(spark, folder, "op6")}
-    one = {}
-    for k, t in KEYED:
-        one[k] = min(one.get(k, t or ""), t or "")
-    ids = sorted((k for k in one if k is not None), reverse=True) + ([None] if None in one else [])
-    assert set(got) == set(ids)
-    prints = {}
-    for i, k in enumerate(ids):
-        text, after = one[k], one[ids[(i + 1) % len(ids)]]
+    got = rows_of(spark, folder, "op6")
+    down = sorted(((k, t or "") for k, t in KEYED), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()), reverse=True)
+    want, prints = [], {}
+    for i, (k, text) in enumerate(down):
         half = len(text) // 2
-        edited = text[: len(text) - half] + after[:half]
-        r = got[k]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        edited = text[: len(text) - half] + down[(i + 1) % len(down)][1][:half]
+        want.append((k, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    same([r[:3] for r in got], want)
+    assert len(set(down)) < len(down) and sum(k is None for k, _ in down) > 1
+    texts = {(k, len(t)): t for k, t in down}
+    for r in got:
+        text = texts[r.doc_id, r.n_chars]
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.fingerprint == "") == (not C.words(text))
         assert prints.setdefault(" ".join(C.words(text)), r.fingerprint) == r.fingerprint
 
 
+def test_every_row_without_an_id_is_sketched(spark):
+    rows = [(1, "one text of its own"), (1, "another text with that id"), (None, "no id here"), (None, "nor here"), (2, "two")]
+    got = sketch.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    same(got, rows)
+
+
 def test_containment_of_unequal_documents(spark):
     big = " ".join(f"w{k}" for k in range(40000))
     small = " ".join(f"w{k}" for k in range(10000, 14000))
