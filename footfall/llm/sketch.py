@@ -93,7 +93,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     order = Window.orderBy("_block")  # one row per range
     link = first.select(F.col("_block").alias("_b"), F.coalesce(F.lag("_top").over(order), F.max("_top").over(Window.partitionBy())).alias("_below"))
     return dealt.withColumn("_next", F.lead("_id").over(inside)).join(F.broadcast(link), F.expr("_block = _b")).select(
-        "_id", "n_chars", F.coalesce("_next", "_below").alias("_next")
+        *ids.columns, F.coalesce("_next", "_below").alias("_next")
     )
 
 
@@ -105,10 +105,10 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     sends only the characters that its predecessor needs, with its sketch.
     """
     rows = placed(docs, key, text)
-    pairs = materialize(neighbours(rows.select("_id", F.length("text").cast("long").alias("n_chars"))), "sketch-ids")
-    asked = pairs.select(F.col("_next").alias("_id"), F.col("_id").alias("_to"), (F.floor(F.col("n_chars") / 2)).cast("int").alias("_need"))
-    spread = rows.repartition("_id")
-    sent = spread.join(asked, "_id").select(F.col("_to").alias("_id"), F.expr("left(text, _need)").alias("_head"), sketch(F.col("text")).alias("_next_sketch"))
+    pairs = materialize(neighbours(rows.select("_id", "_key", F.length("text").cast("long").alias("n_chars"))), "sketch-ids")
+    asked = pairs.select(F.col("_next").alias("_id"), F.col("_id").alias("_to"), "_key", (F.floor(F.col("n_chars") / 2)).cast("int").alias("_need"))
+    spread = rows.select("_id", "text").repartition("_id")
+    sent = spread.join(asked, "_id").select(F.col("_to").alias("_id"), "_key", F.expr("left(text, _need)").alias("_head"), sketch(F.col("text")).alias("_next_sketch"))
     own = spread.join(sent, "_id").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2)
     return own.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 2) as int))"), F.col("_head"))).withColumn(
