@@ -149,7 +149,7 @@ def shifts(steps: DataFrame, key: str, order: Sequence[str], value: str, gain: f
     segments = spread.select(key, F.lit(0).cast("long").alias("lo"), F.col("_n").alias("hi"), F.lit(0.0).alias("s_lo"), F.col("_all").alias("s_hi"), F.lit(True).alias("open"))
     for _ in range(rounds):
         held = settle(segments, "flight-segments")
-        cut = rows.join(held.df.where("open"), key).where("upto > lo AND upto < hi")
+        cut = attach(rows, held.of(held.df.where("open")), [key], spread=["upto"]).where("upto > lo AND upto < hi")
         n, m = F.col("upto") - F.col("lo"), F.col("hi") - F.col("upto")
         step = (F.col("total") - F.col("s_lo")) / n - (F.col("s_hi") - F.col("total")) / m
         drop = step * step * n * m / (F.col("hi") - F.col("lo"))
