@@ -15,6 +15,7 @@ are judged on the input. Words may hold any bytes but white space and are compar
 from __future__ import annotations
 
 from hashlib import sha256
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -126,14 +127,13 @@ RULE = Repeats(length=WINDOW, gram=GRAM, words=True, ordered=True)
 
 
 def _digest(s: Slice, i: int, gone: np.ndarray) -> tuple:
-    words = s.words[i]
-    kept = words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-    return len(words), int(gone.sum()), sha256(b" ".join(kept)).hexdigest()
+    kept = compress(s.items(i), (~gone).tolist()) if gone.any() else s.items(i)
+    return s.n_items(i), int(gone.sum()), sha256(b" ".join(kept)).hexdigest()
 
 
 def _cleaned(s: Slice, i: int, gone: np.ndarray) -> tuple:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    kept = b" ".join(w for w, g in zip(s.words[i], gone.tolist(), strict=True) if not g)
+    kept = b" ".join(compress(s.items(i), (~gone).tolist()))
     return kept.decode("utf-8", "replace"), edges[::2].tolist(), edges[1::2].tolist()
 
 

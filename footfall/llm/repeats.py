@@ -1,12 +1,13 @@
 """Finding runs of items (words or bytes) that repeat across a corpus, in three passes.
 
-Documents are packed into slices of about ``SLICE`` bytes, written once, compressed.
-
-1. Each slice cuts its documents into segments around content-defined anchors (see
-   ``anchors``) and sends, per distinct segment, two hashes (anchor and content) to the
-   place where the anchor's hash belongs. There it shows which anchors occur once (nothing
-   repeats), which always stand in the same content (all of it repeats), and which stand in
-   different contents.
+Documents are packed into slices of about ``SLICE`` bytes, written once, compressed. With each
+slice its segments are written: how its documents are cut around content-defined anchors (see
+``anchors``), and per distinct segment two hashes, of its anchor and of its content, in the
+order of the anchors' hashes. Texts are hashed and cut there only.
+
+1. The hashes go to the place (a range of anchor hashes) where they belong. There it shows
+   which anchors occur once (nothing repeats), which always stand in the same content (all of
+   it repeats), and which stand in different contents.
 2. Slices send the text of the last kind only. An index over these texts (a suffix automaton
    for words, a run-length BWT for bytes) tells for every window where else it occurs.
 3. Slices take the answers in, mark the repeated windows of their documents and write the
@@ -16,7 +17,7 @@ Nothing is gathered by document or by passage: a slice sends a segment once howe
 has it, so a passage that a third of all documents share arrives as one entry per slice.
 An anchor with more than ``HOT`` different contents isn't indexed in one place; its windows
 are sent one by one as hashes to places of their own, which gives the same answer.
-Answers are positional: a slice derives the order of its entries again from its text.
+Answers are positional: they follow the order of a slice's entries.
 """
 
 from __future__ import annotations
@@ -66,8 +67,9 @@ def record_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["slice", "shard", "kind", "blob"])
 
 
-def packed_slices(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]:
-    """Table (slice, blob) of compressed record batches (id, text), and the bytes of all texts."""
+def packed_slices(docs: DataFrame, text: str, key: str, rule: Repeats) -> tuple[DataFrame, int]:
+    """Table (slice, blob, entries, cuts), and the bytes of all texts: compressed record batches
+    (id, text), the hashes that meet those of other slices, and the segments."""
     seen = Observation()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +82,12 @@ def packed_slices(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
                 writer.write_table(table)
+            cuts, key, content = rule.cut(*opened(table))
+            entries = rule.entries(key, content, cuts.count, cuts.least)
+            blobs = [sink.getvalue().to_pybytes(), entries, cuts.packed()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "size", "blob"]
+                [pa.array([number], pa.int64()), pa.array([size], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)],
+                names=["slice", "size", "blob", "entries", "cuts"],
             )
 
         for batch in batches:
@@ -96,29 +102,73 @@ def packed_slices(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, int]
             yield packed()
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(run, "slice long, size long, blob binary").observe(seen, F.sum("size").alias("bytes"))
+    made = rows.mapInArrow(run, "slice long, size long, blob binary, entries binary, cuts binary").observe(seen, F.sum("size").alias("bytes"))
     return materialize(made, "repeat-slices").drop("size"), 0 if (n := seen.get["bytes"]) is None else n
 
 
+def opened(table: pa.Table) -> tuple[list[int | None], np.ndarray, list[bytes]]:
+    """Ids, their places in order, and texts of a slice's documents."""
+    ids = table.column("id").to_pylist()
+    return ids, np.array([LAST if i is None else i for i in ids], np.int64), utf8(table.column("text"))
+
+
 @dataclass(frozen=True)
-class Slice:
-    """One slice's documents laid end to end as items, with its distinct segments in sending order."""
-
-    ids: pa.Array
-    texts: list[bytes]
-    words: list[list[bytes]] | None
-    order: np.ndarray          # per document: its id as a number
-    ends: np.ndarray
-    found: Segments
+class Cuts:
+    """Documents laid end to end as items, cut into segments; distinct segments are entries, in sending order."""
+
+    ends: np.ndarray           # per document, among the items
+    first: np.ndarray          # per segment: its first and last window
+    last: np.ndarray
+    doc: np.ndarray
     entry: np.ndarray          # per segment: index of its entry
-    shard: np.ndarray          # per entry, ascending
-    key: np.ndarray
-    content: np.ndarray
-    sample: np.ndarray         # per entry: one segment that has it
+    by: np.ndarray             # segments in the order of their entries
+    head: np.ndarray           # per entry: its first place in ``by``
     count: np.ndarray          # per entry: its segments here
     least: np.ndarray          # per entry: smallest id of a document that has it
-    prefix: np.ndarray         # running polynomial sums over the items
-    length: int
+
+    @staticmethod
+    def of(order: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, entry: np.ndarray, by: np.ndarray) -> Cuts:
+        doc = np.searchsorted(ends, first, side="right")
+        count = np.bincount(entry) if len(entry) else np.zeros(0, np.int64)
+        head = np.cumsum(count) - count
+        least = np.minimum.reduceat(order[doc[by]], head) if len(head) else np.zeros(0, np.int64)
+        return Cuts(ends, first, last, doc, entry, by, head, count, least)
+
+    def packed(self) -> bytes:
+        """Segments follow each other, so their places are kept as small steps."""
+        steps = [np.diff(a, prepend=0).astype(np.uint32) for a in (self.ends, self.first)]
+        return pack(*steps, (self.last - self.first).astype(np.uint32), self.entry.astype(np.uint32))
+
+    @staticmethod
+    def unpacked(blob: bytes, order: np.ndarray) -> Cuts:
+        ends, first, span, entry = (a.astype(np.int64) for a in unpack(blob))
+        first = np.cumsum(first)
+        return Cuts.of(order, np.cumsum(ends), first, first + span, entry, np.argsort(entry, kind="stable"))
+
+    @property
+    def sample(self) -> np.ndarray:
+        """Per entry one segment that has it."""
+        return self.by[self.head]
+
+
+class Slice:
+    """One slice's documents and cuts; texts are split into words when asked for."""
+
+    def __init__(self, blob: bytes, cuts: bytes, words: bool) -> None:
+        self.ids, self.order, self.texts = opened(pa.ipc.open_stream(blob).read_all())
+        self.cuts = Cuts.unpacked(cuts, self.order)
+        self._split: dict[int, list[bytes]] | None = {} if words else None
+
+    def items(self, doc: int) -> list[bytes] | bytes:
+        """A document's words, or its bytes."""
+        if self._split is None:
+            return self.texts[doc]
+        if doc not in self._split:
+            self._split = {doc: self.texts[doc].split()}  # documents are visited in order
+        return self._split[doc]
+
+    def n_items(self, doc: int) -> int:
+        return int(self.cuts.ends[doc] - (self.cuts.ends[doc - 1] if doc else 0))
 
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -131,6 +181,11 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _running(items: np.ndarray) -> np.ndarray:
+    """Running polynomial sums over the items."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * _powers(len(items), _B)[:-1], dtype=np.uint64)])
+
+
 def run_hashes(prefix: np.ndarray, inverse: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of the items from ``first`` up to ``stop``."""
     return mixed((prefix[stop] - prefix[first]) * inverse[first] + (stop - first).astype(np.uint64))
@@ -147,41 +202,27 @@ class Repeats:
     ordered: bool
     hot: int = HOT
 
-    def slice(self, blob: bytes, shards: int) -> Slice:
-        table = pa.ipc.open_stream(blob).read_all().combine_chunks()
-        ids = table.column("id").combine_chunks()
-        ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
-        texts = utf8(table.column("text"))
-        order = np.array([LAST if i is None else i for i in ids.to_pylist()], np.int64)
-        words = None
+    def hashed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents' ends among the items, hashes of the items and of the grams."""
         if self.words:
             words = [t.split() for t in texts]
-            ends = np.cumsum([len(w) for w in words])
             items = _known.of([x for w in words for x in w])
-            grams = word_grams(items, self.gram)
-        else:
-            ends = np.cumsum([len(t) for t in texts])
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            items = mixed(data.astype(np.uint64) + np.uint64(977))
-            grams = byte_hashes(data, self.gram)
-        found = segments(grams, ends.astype(np.int64), self.length, self.gram)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * _powers(len(items), _B)[:-1], dtype=np.uint64)])
-        inverse = _powers(len(items), _BI)
-        content = run_hashes(prefix, inverse, found.first, found.last + self.length)
-        shard = (mixed(found.key) % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort((content, found.key, shard))
+            return np.cumsum([len(w) for w in words], dtype=np.int64), items, word_grams(items, self.gram)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        return np.cumsum([len(t) for t in texts], dtype=np.int64), mixed(data.astype(np.uint64) + np.uint64(977)), byte_hashes(data, self.gram)
+
+    def cut(self, ids: list, order: np.ndarray, texts: list[bytes]) -> tuple[Cuts, np.ndarray, np.ndarray]:
+        """Segments of documents, and per entry the hashes of its anchor and content."""
+        ends, items, grams = self.hashed(texts)
+        found = segments(grams, ends, self.length, self.gram)
+        content = run_hashes(_running(items), _powers(len(items), _BI), found.first, found.last + self.length)
+        key = mixed(found.key)
+        by = np.lexsort((content, key))
         new = np.ones(len(by), bool)
-        new[1:] = (found.key[by[1:]] != found.key[by[:-1]]) | (content[by[1:]] != content[by[:-1]])
+        new[1:] = (key[by[1:]] != key[by[:-1]]) | (content[by[1:]] != content[by[:-1]])
         entry = np.empty(len(by), np.int64)
         entry[by] = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        sample = by[head]
-        count = np.diff(np.append(head, len(by)))
-        least = np.minimum.reduceat(order[found.doc[by]], head) if len(head) else np.zeros(0, np.int64)
-        return Slice(ids, texts, words, order, ends, found, entry, shard[sample], found.key[sample], content[sample], sample, count, least, prefix, self.length)
-
-    def inverse(self, s: Slice) -> np.ndarray:
-        return _powers(len(s.prefix) - 1, _BI)
+        return Cuts.of(order, ends, found.first, found.last, entry, by), key[by[new]], content[by[new]]
 
     # -- pass 1 -------------------------------------------------------------------
 
@@ -189,19 +230,19 @@ class Repeats:
         """Per slice and shard the entries: hashes, counts and, if ordered, smallest ids."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for number, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                    s = self.slice(blob, shards)
-                    out = [(number, p, 0, self._entries(s.key[a:b], s.content[a:b], s.count[a:b], s.least[a:b])) for p, a, b in stretches(s.shard)]
-                    if out:
+                for number, blob in zip(batch.column("slice").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                    parts = unpack(blob)
+                    if out := [(number, p, 0, pack(*(x[a:b] for x in parts))) for p, a, b in stretches(place_of(parts[0], shards))]:
                         yield record_rows(out)
 
-        return rows.mapInArrow(run, ASKED)
+        return rows.select("slice", "entries").mapInArrow(run, ASKED)
 
-    def _entries(self, key: np.ndarray, content: np.ndarray, count: np.ndarray, least: np.ndarray) -> bytes:
+    def entries(self, key: np.ndarray, content: np.ndarray, count: np.ndarray, least: np.ndarray) -> bytes:
         return pack(key, content, np.minimum(count, 2).astype(np.uint8), *([least] if self.ordered else []))
 
     def meet(self, rows: list[tuple[int, int, bytes]], answer: int, single: bool = False) -> list[tuple]:
-        """Entries of one place brought together; ``single``: contents belong to their keys (windows)."""
+        """Entries of one place brought together: what is known of each, the smallest ids of SAME ones and
+        the anchors' numbers (here) of MIXED ones; ``single``: contents belong to their keys (windows)."""
         if not rows:
             return []
         parts = [unpack(b) for _, _, b in rows]
@@ -220,12 +261,12 @@ class Repeats:
         contents = np.add.reduceat(new_content.astype(np.int64), heads)
         state = np.where(total < 2, ONCE, np.where(contents == 1, SAME, np.where(contents <= self.hot, MIXED, SPREAD))).astype(np.uint8)
         first = np.minimum.reduceat(least[by], heads)
-        status, earliest = np.empty(len(by), np.uint8), np.empty(len(by), np.int64)
-        status[by], earliest[by] = state[group], first[group]
+        status, earliest, anchor = np.empty(len(by), np.uint8), np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        status[by], earliest[by], anchor[by] = state[group], first[group], group
         out, at = [], 0
         for (number, shard, _), n in zip(rows, sizes, strict=True):
             st = status[at : at + n]
-            out.append((number, shard, answer, pack(st, *([earliest[at : at + n][st == SAME]] if self.ordered else []))))
+            out.append((number, shard, answer, pack(st, anchor[at : at + n][st == MIXED], *([earliest[at : at + n][st == SAME]] if self.ordered else []))))
             at += n
         return out
 
@@ -242,47 +283,56 @@ class Repeats:
         """What needs a closer look: texts of segments (kind 1), hashes of windows of hot anchors (kind 2)."""
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if left.num_rows == 0 or right.num_rows == 0:
-                return record_rows([])
-            s = self.slice(left.column("blob")[0].as_py(), shards)
-            status, _ = _statuses(s, right)
+                return pa.Table.from_batches([record_rows([])])
+            known = Answers.of(right, 0)
             number, out = left.column("slice")[0].as_py(), []
-            chosen = np.flatnonzero(status == MIXED)
-            for p, a, b in stretches(s.shard[chosen]):
+            if not (known.status >= MIXED).any():
+                return pa.Table.from_batches([record_rows([])])
+            s = Slice(left.column("blob")[0].as_py(), left.column("cuts")[0].as_py(), self.words)
+            c, sample = s.cuts, s.cuts.sample
+            chosen = np.flatnonzero(known.status == MIXED)
+            runs: list[bytes] = [b""] * len(chosen)
+            for i in np.argsort(c.first[sample[chosen]]).tolist():
+                runs[i] = self._content(s, sample[chosen[i]])
+            for p, a, b in stretches(known.shard[chosen]):
                 at = chosen[a:b]
-                runs = [self._content(s, s.sample[i]) for i in at]
-                data = np.frombuffer(b"".join(runs), np.uint8)
-                out.append((number, p, 1, pack(at, s.key[at], np.minimum(s.count[at], 2).astype(np.uint8), s.least[at], np.array([len(x) for x in runs], np.int64), data)))
-            if (status == SPREAD).any():
-                w = self.windows(s, status, shards)
-                out += [(number, p, 2, self._entries(w[1][a:b], w[2][a:b], w[3][a:b], w[4][a:b])) for p, a, b in stretches(w[0])]
+                data = np.frombuffer(b"".join(runs[a:b]), np.uint8)
+                lens = np.array([len(x) for x in runs[a:b]], np.int64)
+                out.append((number, p, 1, pack(at, known.anchor[at], np.minimum(c.count[at], 2).astype(np.uint8), c.least[at], lens, data)))
+            if (known.status == SPREAD).any():
+                w = self.windows(s, known.status, shards)
+                out += [(number, p, 2, self.entries(w[1][a:b], w[2][a:b], w[3][a:b], w[4][a:b])) for p, a, b in stretches(w[0])]
             return pa.Table.from_batches([record_rows(out)])
 
-        return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, ASKED)
+        return rows.select("slice", "blob", "cuts").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, ASKED)
 
     def _content(self, s: Slice, segment: int) -> bytes:
         """A segment's text; words are joined by line feeds, which no word holds."""
-        doc, first = s.found.doc[segment], s.found.first[segment]
-        base = s.ends[doc - 1] if doc else 0
-        a, b = first - base, s.found.last[segment] + self.length - base
-        return b"\n".join(s.words[doc][a:b]) if s.words is not None else s.texts[doc][a:b]
+        doc, first = int(s.cuts.doc[segment]), s.cuts.first[segment]
+        base = s.cuts.ends[doc - 1] if doc else 0
+        run = s.items(doc)[first - base : s.cuts.last[segment] + self.length - base]
+        return b"\n".join(run) if self.words else run
 
     def windows(self, s: Slice, status: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
         """Distinct windows of segments with hot anchors: shard, two hashes, count, smallest id; and per window its entry and place."""
-        at = np.flatnonzero(status[s.entry] == SPREAD)
-        lens = s.found.last[at] - s.found.first[at] + 1
-        place = np.repeat(s.found.first[at] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        doc = np.repeat(s.found.doc[at], lens)
-        h = run_hashes(s.prefix, self.inverse(s), place, place + self.length)
-        other = np.repeat(s.found.key[at], lens)
-        shard = (h % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort((other, h, shard))
+        c = s.cuts
+        _, items, grams = self.hashed(s.texts)
+        anchors = segments(grams, c.ends, self.length, self.gram).key
+        at = np.flatnonzero(status[c.entry] == SPREAD)
+        lens = c.last[at] - c.first[at] + 1
+        place = np.repeat(c.first[at] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        doc = np.repeat(c.doc[at], lens)
+        h = run_hashes(_running(items), _powers(len(items), _BI), place, place + self.length)
+        other = np.repeat(anchors[at], lens)
+        by = np.lexsort((other, h))
         new = np.ones(len(by), bool)
         new[1:] = (h[by[1:]] != h[by[:-1]]) | (other[by[1:]] != other[by[:-1]])
         head = np.flatnonzero(new)
         entry = np.empty(len(by), np.int64)
         entry[by] = np.cumsum(new) - 1
         one = by[head]
-        return shard[one], h[one], other[one], np.diff(np.append(head, len(by))), np.minimum.reduceat(s.order[doc[by]], head), entry, place, doc
+        least = np.minimum.reduceat(s.order[doc[by]], head)
+        return place_of(h[one], shards), h[one], other[one], np.diff(np.append(head, len(by))), least, entry, place, doc
 
     def indexed(self, texts: DataFrame, shards: int, index: Callable) -> DataFrame:
         """Answers of the index (kind 1) and of the meeting windows (kind 2)."""
@@ -296,14 +346,14 @@ class Repeats:
         return texts.repartition(shards, "shard").mapInArrow(run, ASKED)
 
     def _look_up(self, rows: list[tuple], index: Callable) -> list[tuple]:
-        groups: dict[int, dict[bytes, list]] = {}
+        groups: dict[tuple[int, int], dict[bytes, list]] = {}  # by shard and the anchor's number there
         asked = []
         for number, shard, _, blob in rows:
             at, key, count, least, lens, data = unpack(blob)
             data, stop = data.tobytes(), np.cumsum(lens)
             here = []
             for i, k, n, low, e, z in zip(at.tolist(), key.tolist(), count.tolist(), least.tolist(), stop.tolist(), lens.tolist(), strict=True):
-                known = groups.setdefault(k, {})
+                known = groups.setdefault((shard, k), {})
                 text = data[e - z : e]
                 if (own := known.get(text)) is None:
                     known[text] = own = [low, n, None]
@@ -324,53 +374,52 @@ class Repeats:
 
     def marked(self, s: Slice, answers: pa.Table, shards: int) -> np.ndarray:
         """Per item of the slice, whether it lies in a repeated window."""
-        cover = np.zeros(len(s.prefix), np.int64)
+        c = s.cuts
+        cover = np.zeros((int(c.ends[-1]) if len(c.ends) else 0) + 1, np.int64)
         if answers.num_rows:
-            status, first = _statuses(s, answers)
-            same = np.flatnonzero(status[s.entry] == SAME)
+            known = Answers.of(answers, 0)
+            same = np.flatnonzero(known.status[c.entry] == SAME)
             if self.ordered:
-                same = same[first[s.entry[same]] < s.order[s.found.doc[same]]]
-            _cover(cover, s.found.first[same], s.found.last[same] + self.length)
-            kinds = answers.column("kind").to_numpy()
-            blobs = answers.column("blob")
-            for k in np.flatnonzero(kinds == 1):
-                self._mark_runs(s, cover, *unpack(blobs[k].as_py()))
-            if (kinds == 2).any():
-                shard, *_, entry, place, doc = self.windows(s, status, shards)
-                st, low = _positional(shard, answers, 2)
-                hit = st[entry] == SAME
+                same = same[known.first[c.entry[same]] < s.order[c.doc[same]]]
+            _cover(cover, c.first[same], c.last[same] + self.length)
+            if runs := [unpack(b) for _, b in _blobs(answers, 1)]:
+                self._mark_runs(s, cover, *(np.concatenate(x) for x in zip(*runs, strict=True)))
+            if _blobs(answers, 2):
+                *_, entry, place, doc = self.windows(s, known.status, shards)
+                told = Answers.of(answers, 2)
+                hit = told.status[entry] == SAME
                 if self.ordered:
-                    hit &= low[entry] < s.order[doc]
+                    hit &= told.first[entry] < s.order[doc]
                 _cover(cover, place[hit], place[hit] + self.length)
         return np.cumsum(cover)[:-1] > 0
 
     def _mark_runs(self, s: Slice, cover: np.ndarray, entry: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> None:
         """Windows a to b (exclusive) of every segment with that entry, if its document comes after ``first``."""
-        by = np.argsort(s.entry, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(s.count)])
-        n = s.count[entry]
+        c = s.cuts
+        n = c.count[entry]
         each = np.repeat(np.arange(len(entry)), n)
-        seg = by[np.repeat(starts[entry] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        seg = c.by[np.repeat(c.head[entry] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
         if self.ordered:
-            late = first[each] < s.order[s.found.doc[seg]]
+            late = first[each] < s.order[c.doc[seg]]
             each, seg = each[late], seg[late]
-        _cover(cover, s.found.first[seg] + a[each], s.found.first[seg] + b[each] - 1 + self.length)
+        _cover(cover, c.first[seg] + a[each], c.first[seg] + b[each] - 1 + self.length)
 
     def finish(self, rows: DataFrame, answers: DataFrame, shards: int, schema: str, result: Callable) -> DataFrame:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             names = [f.split()[0] for f in schema.split(", ")]
             out = [[] for _ in names]
-            for blob in left.column("blob").to_pylist():
-                s = self.slice(blob, shards)
+            for blob, cuts in zip(left.column("blob").to_pylist(), left.column("cuts").to_pylist(), strict=True):
+                s = Slice(blob, cuts, self.words)
                 gone = self.marked(s, right, shards)
-                for i, key in enumerate(s.ids.to_pylist()):
-                    a, b = (s.ends[i - 1] if i else 0), s.ends[i]
+                for i, key in enumerate(s.ids):
+                    b = s.cuts.ends[i]
+                    a = b - s.n_items(i)
                     for column, v in zip(out, (key, *result(s, i, gone[a:b])), strict=True):
                         column.append(v)
             kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
             return pa.Table.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(out, schema.split(", "), strict=True)], names=names)
 
-        return rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
+        return rows.select("slice", "blob", "cuts").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
 def tuples(batch: pa.RecordBatch) -> list[tuple]:
@@ -390,27 +439,43 @@ def _cover(cover: np.ndarray, first: np.ndarray, stop: np.ndarray) -> None:
     np.subtract.at(cover, stop, 1)
 
 
-def _positional(shard: np.ndarray, answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Status and earliest id per entry from answers that follow the entries' order within each shard."""
-    status, first = np.zeros(len(shard), np.uint8), np.full(len(shard), LAST, np.int64)
-    where = {p: (a, b) for p, a, b in stretches(shard)}
-    for p, k, blob in zip(answers.column("shard").to_pylist(), answers.column("kind").to_pylist(), answers.column("blob").to_pylist(), strict=True):
-        if k == kind:
-            a, b = where[p]
-            st, *low = unpack(blob)
-            status[a:b] = st
-            if low:
-                first[a + np.flatnonzero(st == SAME)] = low[0]
-    return status, first
+def place_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash: hashes in ascending order have ascending shards, however many there are."""
+    return (((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def _statuses(s: Slice, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return _positional(s.shard, answers, 0)
+def _blobs(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    """(shard, blob) of the answers of a kind, by shard: the order of the entries they answer."""
+    at = np.flatnonzero(answers.column("kind").to_numpy() == kind)
+    shard, blob = answers.column("shard").take(at).to_pylist(), answers.column("blob").take(at).to_pylist()
+    return sorted(zip(shard, blob, strict=True), key=lambda x: x[0])
+
+
+@dataclass(frozen=True)
+class Answers:
+    """What is known of a slice's entries."""
+
+    shard: np.ndarray
+    status: np.ndarray
+    anchor: np.ndarray  # of MIXED ones, its number in the shard
+    first: np.ndarray   # of SAME ones, the smallest id (if ordered)
+
+    @staticmethod
+    def of(answers: pa.Table, kind: int) -> Answers:
+        parts = [(p, *unpack(b)) for p, b in _blobs(answers, kind)]
+        status = np.concatenate([x[1] for x in parts]) if parts else np.zeros(0, np.uint8)
+        anchor, first = np.full(len(status), -1, np.int64), np.full(len(status), LAST, np.int64)
+        if parts:
+            anchor[status == MIXED] = np.concatenate([x[2] for x in parts])
+            if len(parts[0]) > 3:
+                first[status == SAME] = np.concatenate([x[3] for x in parts])
+        shard = np.repeat(np.array([x[0] for x in parts], np.int64), [len(x[1]) for x in parts])
+        return Answers(shard, status, anchor, first)
 
 
 def find(docs: DataFrame, rule: Repeats, index: Callable, schema: str, result: Callable, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Run the three passes; ``result`` turns a slice, a document's place and its marks into a row after the id."""
-    rows, size = packed_slices(docs, text, key)
+    rows, size = packed_slices(docs, text, key, rule)
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PER_SHARD))
     answers = materialize(rule.answered(rule.asked(rows, shards), shards), "repeat-answers")

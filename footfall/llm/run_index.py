@@ -39,7 +39,7 @@ class RunIndex:
         self.n = n = len(data)
         self.codes = data.astype(np.uint8) + np.uint8(1)  # UTF-8 has no byte above 0xF4; 0 is past the end
         self.levels = self._ranks(int(lens.max()) if len(lens) else 0)
-        suffixes = np.argsort(self.levels[-1][1], kind="stable") if n else np.zeros(0, np.int64)
+        suffixes = np.argsort(self.levels[-1][1] * n + np.arange(n)) if n else np.zeros(0, np.int64)  # equal ones by place
         before = np.zeros(n, np.int32)
         before[1:] = self.codes[:-1]
         before[self.starts[lens > 0]] = -1 - np.arange(int((lens > 0).sum()))  # what precedes a text is like nothing else
@@ -67,7 +67,7 @@ class RunIndex:
         """(k, rank of the k codes from each place) for k = 8, 16, ... beyond the longest text."""
         key, k, out = self._window(8), 8, []
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # equal keys share their rank
             rank = np.empty(self.n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[1], key[order[1:]] != key[order[:-1]]])) if self.n else []
             out.append((k, rank))
