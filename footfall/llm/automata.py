@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from footfall.llm.repeats import Repeats, Slice, find
 
 WINDOW = 13
-GRAM = 3
+GRAM = 6  # words of an anchor: shorter ones stand in different texts by chance, the more the larger the corpus
 BLOCK_WORDS = 50_000  # words of one automaton, about; groups of texts that could match stay together
 
 
