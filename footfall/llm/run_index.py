@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from footfall.llm.repeats import Repeats, Slice, find
 
 WINDOW = 200
-GRAM = 32
+GRAM = 64  # bytes of an anchor: shorter ones stand in different texts by chance, the more the larger the corpus
 BLOCK_BYTES = 1 << 20  # bytes of one index, about; groups of texts that could match stay together
 
 
