@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -474,3 +475,19 @@ def test_pipeline(spark, folder, empty):
     assert len(set(edited)) <= 1
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near duplicates", "personal data", "mixing", "tokens"]
+
+
+@pytest.mark.parametrize("rule", [automata.RULE, run_index.RULE])
+def test_cuts_are_read_as_written(rule):
+    texts = [b"", b"a b " * 200, b"a b " * 200]
+    order = np.arange(len(texts))[::-1].copy()
+    cuts, key, content = rule.cut(order.tolist(), order, texts)
+    again = repeats.Cuts.unpacked(cuts.packed(), order)
+    for name in ("ends", "first", "last", "doc", "entry", "count", "least"):
+        assert (getattr(cuts, name) == getattr(again, name)).all(), name
+    # entries are in the order of their places, however many places there are
+    for shards in (1, 7, 200, 100_000):
+        place = repeats.place_of(key, shards)
+        assert (np.diff(place) >= 0).all() and place.min() >= 0 and place.max() < shards
+    # equal segments, and only they, are one entry
+    assert len(set(zip(key.tolist(), content.tolist(), strict=True))) == len(key) == len(cuts.count)
