@@ -10,9 +10,11 @@ copies of one document don't turn its own text into boilerplate either, texts th
 recurring line (in more than ``min_documents`` texts of the host) are compared in a second
 look: a line that isn't recurring itself, but equals another line of such texts except within
 a quarter of its words, stands for that line (for the most frequent recurring one, if there
-are several, otherwise for the one with the smallest hash). Pages that share any number of
-lines but have a line of their own so stay different documents; copies with a word exchanged
-here and there become one. Lines of fewer than ``OWN_WORDS`` words always stand for themselves.
+are several, otherwise for the one with the smallest hash). A text takes part in this only if
+the lines that others stand for hold at most ``own_share`` of its words: copies with a word
+exchanged here and there become one document, while pages of one form (a template and a line
+of their own, however alike these lines are) stay different documents and count each. Lines of
+fewer than ``OWN_WORDS`` words always stand for themselves.
 
 A line is removed where its count exceeds both ``min_documents`` and ``share`` of the
 host's documents. A document is depleted if fewer than ``min_words`` words are left or more
@@ -55,6 +57,7 @@ class LineLimits:
     share: float = 0.05
     min_words: int = MIN_WORDS
     max_removed: float = 0.8
+    own_share: float = 0.125  # copies of one document differ in lines with at most this share of their words
 
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -179,14 +182,17 @@ def frequent_lines(measured: DataFrame, limits: LineLimits, host: str = "source"
     all_lines = texts.select("_host", "_text", F.explode("_lines").alias("_line"))
     having = materialize(same(all_lines, recurring, "_line", "left_semi").distinct(), "quality-having")
     touched = same(texts, having.select("_host", "_text").distinct(), "_text", "left_semi")
-    own = touched.select("_host", "_text", F.explode(F.arrays_zip("_lines", *VARIANTS)).alias("_at")).select(
-        "_host", "_text", F.col("_at._lines").alias("_line"), *[F.col(f"_at.{v}").alias(v) for v in VARIANTS]
+    own = touched.select("_host", "_text", F.explode(F.arrays_zip("_lines", "_line_words", *VARIANTS)).alias("_at")).select(
+        "_host", "_text", F.col("_at._lines").alias("_line"), F.col("_at._line_words").alias("_words"), *[F.col(f"_at.{v}").alias(v) for v in VARIANTS]
     )
     own = materialize(own, "quality-own")
-    canon = materialize(stand_ins(own.drop("_text"), recurring), "quality-stand-ins")
-    named = same(own.select("_host", "_text", "_line"), canon, "_line", "left")
+    canon = materialize(stand_ins(own.drop("_text", "_words"), recurring), "quality-stand-ins")
+    named = same(own.select("_host", "_text", "_line", "_words"), canon, "_line", "left")
     alike = F.xxhash64(F.array_sort(F.collect_set(F.coalesce("_for", "_line"))))  # as many entries as a text has lines, at most
-    units = materialize(named.groupBy("_host", "_text").agg(alike.alias("_document")), "quality-documents")
+    exchanged = F.sum(F.when(F.col("_for").isNotNull(), F.col("_words")).otherwise(0))
+    itself = F.xxhash64(F.array_sort(F.collect_set("_line")))
+    document = F.when(exchanged <= F.sum("_words") * limits.own_share, alike).otherwise(itself)
+    units = materialize(named.groupBy("_host", "_text").agg(document.alias("_document")), "quality-documents")
     counted = same(having, units, "_text").select("_host", "_line", "_document").distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_documents"))
     # the host's size: texts without a recurring line, and the documents that the others are
     plain = texts.select("_host", "_text").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
