@@ -5,11 +5,11 @@ temperature fitted on held-back rows.
 Features are hashed 1- to 3-grams of the lower-cased text, whole texts always. Document
 frequencies are counted over all training rows in distributed passes; the classifier itself is
 fitted on a bounded sample of labelled rows (``SAMPLE`` rows per language, chosen by a hash of
-the id, ``MAX_SAMPLE`` in all) in one task. Predictions read the text only.
+id and text, ``MAX_SAMPLE`` in all) in one task. Predictions read the text only.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; without any
 labelled row everything is ``und``; rows without an id count as training rows; repeated rows
-are predicted alike.
+count in the frequencies, enter the sample once at most, and are predicted alike.
 """
 
 from __future__ import annotations
@@ -119,8 +119,10 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     quota = F.least(F.lit(float(SAMPLE)), F.lit(float(MAX_SAMPLE)) / F.col("labels"))
     # one row per label, fewer than the columns of the model that is held anyway; unhinted, a frequent label is one task's
     chosen = usable.join(F.broadcast(spread.select(F.col("y").alias("y2"), (quota / F.col("n")).alias("part"))), F.expr("y = y2"))
-    order = F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(1 << 30))
-    chosen = chosen.withColumn("o", order).where(F.col("o") < F.col("part") * float(1 << 30)).select("o", "t", "y")
+    # a row's place follows from its id and text, so rows without an id spread; of equal rows one is taken
+    order = F.pmod(F.xxhash64(F.col("k").cast("string"), "t"), F.lit(1 << 60))
+    chosen = chosen.withColumn("o", order).where(F.col("o") < F.col("part") * float(1 << 60)).select("o", "t", "y")
+    chosen = chosen.dropDuplicates(["o", "y"]).orderBy("o", "y").limit(2 * MAX_SAMPLE)  # about MAX_SAMPLE rows; the limit is a proof, not a cut
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((o, y, t) for b in batches for o, t, y in zip(*(b.column(c).to_pylist() for c in ("o", "t", "y")), strict=True))
