@@ -3,17 +3,17 @@
 Each source gets a word target (its share of the mix, at most ``most`` times its size; what
 is over goes to the others by weight). Its weight over the training time t in [0, 1] follows
 the schedule f(t) = 1 + a (1 - 2t), whose integral F(t) = t + a (t - t^2) runs from 0 to 1.
-The words a source gives are lined up in an order fixed by the document's id; the word at
+The words a source gives are lined up in an order fixed by the document's id and text; the word at
 share u of the source's demand is trained at the time t with F(t) = u. Documents are then
 range-sorted by that position.
 
-No key gathers in one task: rows are cut into blocks of about ``BLOCK_ROWS`` by a hash of the
-id within each source, block totals (one row per source and block) give the running sums
+No key gathers in one task: rows are cut into blocks of about ``BLOCK_ROWS`` by a hash of
+id and text within each source (rows without an id, or that share one, so spread), block totals (one row per source and block) give the running sums
 across blocks, and a window runs inside one block only.
 
 Defined cases: null or empty texts have size 0 and are taken 0 words; a null source is a
 source of its own, ranked last; sources without words get the target 0; repeated rows are
-mixed each; an empty table gives an empty mix. Reruns give the same mix, as nothing depends
+mixed each, in one block; an empty table gives an empty mix. Reruns give the same mix, as nothing depends
 on the order in which rows are read.
 """
 
@@ -67,13 +67,14 @@ def position(share: Column, slope: Column) -> Column:
 
 def curriculum(
     docs: DataFrame, key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5,
-    most: float = 2.0, slopes: Sequence[float] = SLOPES,
+    most: float = 2.0, slopes: Sequence[float] = SLOPES, content: str = "content",
 ) -> DataFrame:
-    """Plan of the mix: every row of ``docs`` (which has a column ``size``) with its source's
+    """Plan of the mix: every row of ``docs`` (which has a column ``size``, and in ``content`` a hash of its text) with its source's
     ``source_size`` and ``target``, the words ``taken``, the ``copies`` taken whole, the words
     ``part`` of a last copy taken in part, and the ``position`` of each copy in time (array ``positions``)."""
     # 60 bits of a hash that every engine has; blocks are ranges of it, so that their number changes nothing
-    order = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    named = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(" "), F.col(content))
+    order = F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
     n_rows = docs.count()
     blocks = max(LEAST_BLOCKS, -(-n_rows // BLOCK_ROWS))
     rows = docs.withColumn("_source", F.col(source)).withColumn("_order", order).withColumn("_block", F.floor(F.col("_order") / float(1 << 60) * blocks))
@@ -85,7 +86,7 @@ def curriculum(
     blocks_table = blocks_table.alias("b").join(targets.alias("t"), F.expr("b._source <=> t._source")).select(
         F.col("b._source").alias("_bs"), F.col("_block").alias("_bb"), "_offset", "source_size", "target", "slope"
     )
-    inside = Window.partitionBy("_source", "_block").orderBy("_order", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_block").orderBy("_order", key, content).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(blocks_table, F.expr("_source <=> _bs AND _block = _bb")).withColumn("_before", F.col("_before") + F.col("_offset"))
     goal = F.round("target").cast("long")
@@ -105,7 +106,11 @@ def curriculum(
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("size", word_count(text_or_empty(text)))
+    return docs.withColumn("size", word_count(text_or_empty(text))).withColumn("content", content_hash(text))
+
+
+def content_hash(text: str = "text") -> Column:
+    return F.md5(text_or_empty(text).cast("binary"))
 
 
 def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -115,7 +120,7 @@ def mix_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """
     kept = docs.columns
     plan = curriculum(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"),
-                                  word_count(text_or_empty(text)).alias("size")), "_id", "_src", **options)
+                                  word_count(text_or_empty(text)).alias("size"), content_hash(text).alias("content")), "_id", "_src", **options)
     copies = plan.select("_row", "_id", "copies", "part", F.posexplode("positions").alias("_copy", "_at"))
     first_words = F.array_join(F.slice(F.regexp_extract_all(text_or_empty("_whole"), F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
     cut = copies.withColumn("_whole", F.col(f"_row.`{text}`"))

@@ -63,7 +63,7 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach AS (SELECT doc_id AS k, doc_id AS m FROM d UNION SELECT reach.k, u.b FROM reach JOIN u ON u.a = reach.m),
 comp AS (SELECT k, min(m) AS component_id FROM reach GROUP BY k)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN comp ON comp.k = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
-MIX = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS o FROM documents),
+MIX = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS o FROM documents),
 t AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][k % 3 + 1] AS weight, [-0.5, 0.0, 0.5][k % 3 + 1] AS slope, 2.0*source_size AS cap FROM t),
 l AS (SELECT *, (1.5*sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap/weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
