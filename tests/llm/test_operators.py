@@ -135,6 +135,15 @@ def test_template_lines_are_counted_by_pages(spark, n):
     assert len(got) == 340 and all(r.n_removed_words == 7 * n for r in got)
 
 
+def test_pages_of_a_form_are_documents(spark):
+    # pages that differ in one word, or three, of their own line
+    template = [f"this is line {k} of every page here" for k in "abcde"]
+    for own in ("Item {0} is in stock today and ships very soon", "Item {0} is {0}x in stock {0}y today and ships"):
+        pages = [(k, "\n".join([*template, own.format(f"n{k}")]), "shop") for k in range(500)]
+        got = quality.judge(spark.createDataFrame(pages, "doc_id long, text string, source string")).collect()
+        assert len(got) == 500 and all(r.n_removed_words == 40 for r in got)
+
+
 def test_documents_and_hosts_are_counted_in_one_unit(spark):
     # 21 of 400 texts have the line; but 380 of them are copies with a word exchanged in one line or another
     text = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(30)]
@@ -250,6 +259,21 @@ def test_language(spark, folder):
     assert judged and sum(r.lang_pred == langs[r.doc_id] for r in judged) >= 0.95 * len(judged)
 
 
+def test_sample_of_rows_without_an_id_is_bounded(spark, monkeypatch):
+    # a third of the rows would do; rows that share an id or have none must not all be taken, nor all copies of one
+    sizes = []
+    monkeypatch.setattr(language, "SAMPLE", 200)
+    monkeypatch.setattr(language, "MAX_SAMPLE", 300)
+    learn = language.features
+    rows = [(None, f"the text number {k}", "en") for k in range(3000)] + [(5, f"der text nummer {k}", "de") for k in range(3000)]
+    rows += [(None, "the same text", "en")] * 1500
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(language, "features", lambda t, idf: (seen.add(1), learn(t, idf))[1])
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sizes.append(seen.value)
+    assert model["labels"] == ["de", "en"] and 150 < sizes[0] <= 450
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = language.train(docs)
@@ -370,6 +394,16 @@ def test_mixing(spark, folder):
     assert [tuple(r) for r in got] == [tuple(r) for r in rows_of(spark, folder, "op8")]
 
 
+def test_rows_without_an_id_spread_over_blocks(spark):
+    rows = [(None if k % 2 else 3, f"word{k} and more", "s") for k in range(2000)]
+    docs = mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = mixing.curriculum(docs).select("size", "taken", "positions", "text").collect()
+    assert len(plan) == 2000 and sum(r.taken for r in plan) == 9000 and len({r.text for r in plan}) == 2000
+    assert len({r.positions[0] for r in plan if r.positions}) == sum(bool(r.positions) for r in plan)
+    again = mixing.curriculum(docs.repartition(7)).select("text", "positions").collect()
+    assert {r.text: r.positions for r in again} == {r.text: r.positions for r in plan}
+
+
 def test_mixed_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = mixing.mix_documents(docs)
