@@ -9,8 +9,11 @@ pairs that agree in at least ``MATCHES`` coordinates are confirmed on the full s
   come first in any order common to all. The order is rarest first, so values that many
   documents share are hardly ever posted, and a class with K - T + 1 values of its own
   posts nothing.
-* Lists with the same smallest class are merged together: a class is sent once to each such
-  unit, with its set. Units of more than ``BLOCK`` classes are merged block against block.
+* Lists with the same smallest class, their leader, are merged together: a class is sent once to
+  each such unit, with its set. A unit of more than ``BLOCK`` classes (or ``SHINGLES`` shingles)
+  is first compared with its leader only, in blocks; block against block go then those that are not
+  linked to it, with each other and with the linked ones. A group of near copies so costs a
+  multiple of its size, not its square.
 * Skip: inside a merge, classes that are already linked to each other, however indirectly,
   are skipped, and only the links that join something are passed on (a spanning forest).
   Large groups of near copies so cost few comparisons and yield one link per class.
@@ -19,7 +22,9 @@ pairs that agree in at least ``MATCHES`` coordinates are confirmed on the full s
 
 Defined cases: texts without words (and null texts) have empty sets, are linked with nothing
 and kept; a text of fewer words than a shingle has all of them as its only shingle; rows that share an id are one
-document; rows without an id are linked by content and never name a component.
+document (its texts' classes are linked); rows without an id are linked by content like any other and never name a
+component: a component without any id has the ``component_id`` null, and its rows of one class are kept.
+Classes are named by numbers of their own; ids serve for ``component_id`` alone.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from footfall.llm.common import WordHashes, gram_hashes, lower_words, mixed, slices, utf8
 from footfall.llm.components import components
+from footfall.operators.keyed import KeyTable, attach, settle
 from footfall.session import materialize
 
 COORDINATES = 64
@@ -40,8 +46,8 @@ MATCHES = 38
 SLACK = 6                    # coordinates fewer that suffice inside a unit, whose signatures are other ones
 SIMILAR = 80                 # per cent
 BLOCK = 1024                 # classes of one side of a merge
-BROADCAST_CLASSES = 1 << 20  # up to so many classes' units (some tens of bytes each) are broadcast, beyond that both sides are shuffled
-_NO_ID = 1 << 62             # ids from here on stand for rows without an id
+SHINGLES = 1 << 21           # and their shingles, about
+BROADCAST_BYTES = 64 << 20   # classes' units are broadcast up to this observed size, beyond it both sides are shuffled
 
 _TURNS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
@@ -75,7 +81,7 @@ def shingle_sets(texts: list[bytes], known: WordHashes, words: int = 2) -> tuple
 
 
 def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo: hashes of the set, signature) per row."""
+    """(doc_id, seal: hash of the text, n_shingles, hi, lo: hashes of the set, signature) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -93,12 +99,16 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id", words: in
                     for i, s in zip(np.flatnonzero(has), _signatures(g, starts), strict=True):
                         signatures[i] = s.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi), pa.array(lo), pa.array(signatures, pa.binary())],
-                    names=["doc_id", "n_shingles", "hi", "lo", "signature"],
+                    [part.column("doc_id"), part.column("seal"), pa.array(n, pa.int64()), pa.array(hi), pa.array(lo), pa.array(signatures, pa.binary())],
+                    names=["doc_id", "seal", "n_shingles", "hi", "lo", "signature"],
                 )
 
+    return sealed(docs, text, key).mapInArrow(run, "doc_id long, seal long, n_shingles long, hi long, lo long, signature binary")
+
+
+def sealed(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, signature binary")
+    return rows.withColumn("seal", F.xxhash64("text"))
 
 
 def posts(classes: DataFrame) -> DataFrame:
@@ -147,28 +157,55 @@ def _signatures(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([np.minimum.reduceat(g * t, starts) >> np.uint64(32) for t in _TURNS], axis=1).astype(np.uint32)
 
 
-def block_pairs(met: DataFrame, block: int) -> DataFrame:
-    """(leader, p, q, part, node): each class of a unit for every pair of blocks that its own block is in."""
-    each = met.select("node", F.explode("leaders").alias("leader"))
-    sizes = each.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    big = materialize(sizes.select("leader", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "near-large")
-    each = each.join(big, "leader", "left").fillna({"parts": 1})
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return each.withColumn("part", part).withColumn("_q", other).select(
-        "leader", F.least("part", "_q").alias("p"), F.greatest("part", "_q").alias("q"), "part", "node"
-    )
+def large_units(each: DataFrame, block: int, shingles: int = SHINGLES) -> KeyTable:
+    """(leader, parts): units of ``each`` (leader, node, n_shingles) that don't fit one block."""
+    sizes = each.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("s") / F.lit(shingles))).cast("int")
+    return settle(sizes.select("leader", parts.alias("parts")).where("parts > 1"), "near-large")
+
+
+def leader_pairs(each: DataFrame, large: KeyTable) -> DataFrame:
+    """(leader, p, q, part, node): blocks of large units, each with the leader alone on the other side (p = -1)."""
+    inside = attach(each.select("leader", "node"), large, ["leader"]).where("node != leader")
+    q = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = inside.select("leader", F.lit(-1).alias("p"), q.alias("q"), q.alias("part"), "node")
+    alone = large.df.select("leader", F.lit(-1).alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.lit(-1).alias("part"), F.col("leader").alias("node"))
+    return rows.unionByName(alone)
+
+
+def rest_pairs(each: DataFrame, large: KeyTable, linked: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks of what the leaders of large units left: parts from 0 on, and below 0 those that are linked to the leader."""
+    inside = attach(each.where("node != leader"), large, ["leader"])
+    marks = linked.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("linked")).distinct()
+    inside = materialize(inside.join(marks, ["leader", "node"], "left").fillna({"linked": False}), "near-inside")
+    count = large_units(inside.where("NOT linked").withColumn("n_shingles", F.col("n_shingles") + 0), block)
+    left = settle(inside.where("NOT linked").select("leader").distinct(), "near-left")
+    rest = attach(inside, left, ["leader"])  # units with a rest
+    rest = attach(rest, count.of(count.df.withColumnRenamed("parts", "others")), ["leader"], "left").fillna({"others": 1})
+    own = F.when(F.col("linked"), -1 - F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    # a linked class meets every block of the rest; one of the rest those and the blocks of linked ones
+    low = F.when(F.col("linked"), F.lit(0)).otherwise(-F.col("parts"))
+    met = rest.withColumn("part", own).withColumn("other", F.explode(F.sequence(low, F.col("others") - 1)))
+    return met.select("leader", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node")
+
+
+def small_pairs(each: DataFrame, large: KeyTable) -> DataFrame:
+    """Units that fit one block, which is merged with itself."""
+    zero = F.lit(0)
+    small = each.join(large.df, "leader", "left_anti") if large.rows else each
+    return small.select("leader", zero.alias("p"), zero.alias("q"), zero.alias("part"), "node")
 
 
 def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows of each (leader, p, q) in turn, from sorted batches."""
+    """The rows of each (leader, p, q) in turn, from sorted batches; a class that comes twice counts once."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0][:3] != row[:3]:
                 yield held
                 held = []
-            held.append(row)
+            if not held or held[-1][4] != row[4]:
+                held.append(row)
     if held:
         yield held
 
@@ -208,22 +245,25 @@ def agreeing(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> Da
     return _by_unit(rows).mapInArrow(run, "leader long, p int, q int, part int, node long")
 
 
-def members(docs: DataFrame, pairs: DataFrame, text: str, key: str, words: int = 2) -> DataFrame:
-    """``pairs`` with each class's set, made from the text that names the class."""
+def members(docs: DataFrame, pairs: DataFrame, classes: DataFrame, text: str, key: str, words: int = 2) -> DataFrame:
+    """``pairs`` with each class's set, made from a text that has it."""
     to = pairs.groupBy("node").agg(F.collect_list(F.struct("leader", "p", "q", "part")).alias("to"))  # block pairs of one class's units
-    to = materialize(to, "near-to")
-    few = to.count() <= BROADCAST_CLASSES
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(to) if few else to, "node")
+    to = to.join(classes.select("node", F.col("doc_id").alias("_id"), F.col("seal").alias("_seal")), "node")
+    seen = Observation()
+    to = materialize(to.observe(seen, F.sum(F.size("to") * 32 + 64).alias("bytes")), "near-to")
+    few = (seen.get["bytes"] or 0) <= BROADCAST_BYTES
+    rows = sealed(docs, text, key).join(F.broadcast(to) if few else to, F.expr("doc_id <=> _id AND seal = _seal")).select("node", "text", "to")
     return rows.mapInArrow(functools.partial(_members, words=words), "leader long, p int, q int, part int, node long, shingles binary")
 
 
 def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+    known, done = WordHashes(), set()  # repeated rows send their class once a task
     names = ["leader", "p", "q", "part", "node", "shingles"]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
     for batch in batches:
-        for piece in slices(batch, "text"):
+        nodes = batch.column("node").to_pylist()
+        new = [i for i, x in enumerate(nodes) if not (x in done or done.add(x))]
+        for piece in slices(batch.take(pa.array(new, pa.int64())), "text"):
             g, ends = shingle_sets(utf8(piece.column("text")), known, words)
             starts = np.concatenate([[0], ends[:-1]])
             out = []
@@ -273,11 +313,13 @@ class Unit:
 
 
 def merge(rows: list[tuple], matches: int = MATCHES) -> list[tuple[int, int]]:
-    """Links of one unit's two blocks (or of a block with itself) that join something."""
+    """Links of one unit's two blocks (or of a block with itself) that join something; a block below 0 is linked within itself."""
     p, q = rows[0][1], rows[0][2]
     node, part = [r[4] for r in rows], np.array([r[3] for r in rows])
     unit = Unit([unpacked_set(r[5]) for r in rows])
     left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+    if p < 0 and len(left):
+        unit.label[left] = left[0]
     return [(min(node[i], node[j]), max(node[i], node[j])) for i in left for j in unit.link(i, right[right > i] if p == q else right, matches)]
 
 
@@ -293,38 +335,66 @@ def links(sent: DataFrame, matches: int = MATCHES) -> DataFrame:
     return _by_unit(sent).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", matches: int = MATCHES, block: int = BLOCK, words: int = 2
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
-    rows = materialize(profiles(docs, text, key, words), "near-profiles")
-    node = F.coalesce("doc_id", F.lit(_NO_ID) + F.pmod(F.col("hi"), F.lit(1 << 61)))
-    sets = rows.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min(node).alias("node"), F.min("signature").alias("signature"))
-    sets = materialize(sets, "near-classes")
-    classes = sets.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")) if _repeats(sets) else sets
-    met = units(prefix_posts(classes, matches))
-    sent = members(docs, agreeing(block_pairs(met, block), classes, matches), text, key, words)
-    labels = components(materialize(links(sent, matches), "near-links"))
-    member = sets.select("hi", "lo", F.col("n_shingles").alias("_n"), "node").join(labels, "node", "left").select(
-        F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "_n", F.coalesce("component", "node").alias("_component")
-    )
-    out = rows.join(member, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("n_shingles") == F.col("_n")), "left")
-    found = F.coalesce(F.when(F.col("_component") < _NO_ID, F.col("_component")), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), _kept(found).alias("kept"))
+def same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id."""
+    named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "hi", "lo", "n_shingles")
+    ends = named.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("hi", "lo", "n_shingles") for f in (F.min, F.max)])
+    several = materialize(ends.where("min_hi < max_hi OR min_lo < max_lo OR min_n_shingles < max_n_shingles").select("doc_id"), "near-several")
+    each = named.join(several, "doc_id", "left_semi").distinct().join(classes.select("hi", "lo", "n_shingles", "node"), ["hi", "lo", "n_shingles"])
+    each = materialize(each.select("doc_id", "node"), "near-same")
+    first = each.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return each.join(first, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+
+
+def all_links(docs: DataFrame, classes: DataFrame, text: str, key: str, matches: int, block: int, words: int) -> DataFrame:
+    """Links (a, b) that join all classes of a component."""
+    met = units(prefix_posts(classes, matches)).join(classes.select("node", "n_shingles"), "node")
+    each = materialize(met.select("node", "n_shingles", F.explode("leaders").alias("leader")), "near-met")
+    large = large_units(each, block)
+
+    def found(pairs: DataFrame) -> DataFrame:
+        return materialize(links(members(docs, agreeing(pairs, classes, matches), classes, text, key, words), matches), "near-links")
+
+    if not large.rows:
+        return found(small_pairs(each, large))
+    stars = found(leader_pairs(each, large))
+    return stars.unionByName(found(small_pairs(each, large).unionByName(rest_pairs(each, large, stars, block))))
 
 
-def _kept(component: Column) -> Column:
-    return component.eqNullSafe(F.col("doc_id"))
+def judged(docs: DataFrame, text: str, key: str, matches: int, block: int, words: int) -> DataFrame:
+    """(doc_id, seal, n_shingles, component_id, kept, node of the component) per row; the node is null without words."""
+    rows = materialize(profiles(docs, text, key, words), "near-profiles")
+    name = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "seal")).alias("name")  # a row with an id comes first
+    sets = rows.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(name, F.min("signature").alias("signature"))
+    classes = sets.select("hi", "lo", "n_shingles", "signature", "name.doc_id", "name.seal", F.monotonically_increasing_id().alias("node"))
+    classes = materialize(classes, "near-classes")
+    edges = all_links(docs, classes, text, key, matches, block, words).unionByName(same_id(rows, classes))
+    labels = components(materialize(edges, "near-edges"))
+    ids = labels.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    labels = labels.join(ids, "component").select("node", "component", "least")
+    member = classes.select("hi", "lo", "n_shingles", "node", "doc_id").join(labels, "node", "left").select(
+        F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("n_shingles").alias("_n"), F.col("node").alias("_node"),
+        F.coalesce("component", "node").alias("_component"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("_id"),
+    )
+    out = rows.join(member, F.expr("hi = _hi AND lo = _lo AND n_shingles = _n"), "left")
+    found = F.when(F.col("_node").isNull(), F.col("doc_id")).otherwise(F.col("_id"))
+    kept = F.when(found.isNull() & F.col("_node").isNotNull(), F.col("_node") == F.col("_component")).otherwise(found.eqNullSafe(F.col("doc_id")))
+    return out.select("doc_id", "seal", "n_shingles", found.alias("component_id"), kept.alias("kept"), F.col("_component").alias("node"))
 
 
-def _repeats(sets: DataFrame) -> bool:
-    """Whether one id names several sets (rows that share an id)."""
-    return bool(sets.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
+def near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", matches: int = MATCHES, block: int = BLOCK, words: int = 2
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+    return judged(docs, text, key, matches, block, words).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 2) -> DataFrame:
-    """One document of each component (the one with the smallest id), one row of rows that repeat; columns as in ``docs``."""
-    kept = near_duplicates(docs, text, key, words=words).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
-    again = left.withColumn("_same", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("#"), F.xxhash64(text).cast("string"))))
-    return again.dropDuplicates(["_same"]).drop("_same")
+    """One row of each component (one with the smallest id, if it has ids), and of rows without words one per id
+    (per text, without an id); columns as in ``docs``."""
+    same = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), F.coalesce("node", "seal").cast("string")))
+    found = judged(docs, text, key, MATCHES, BLOCK, words).where("kept")
+    kept = found.select(F.col("doc_id").alias("_kept"), F.col("seal").alias("_seal"), same.alias("_same")).distinct()
+    marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
+    left = marked.join(kept, F.col(key).cast("long").eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_seal")))
+    return left.dropDuplicates(["_same"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -196,14 +196,52 @@ def test_near_duplicate_stage_takes_five_words(spark):
 def test_near_duplicates_block_by_block(spark, folder):
     # tiny blocks, and the way without a broadcast, must not change the outcome
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    old, near_dup.BROADCAST_CLASSES = near_dup.BROADCAST_CLASSES, 0
+    old, near_dup.BROADCAST_BYTES = near_dup.BROADCAST_BYTES, 0
     try:
         got = near_dup.near_duplicates(docs, block=3).collect()
     finally:
-        near_dup.BROADCAST_CLASSES = old
+        near_dup.BROADCAST_BYTES = old
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], C.near_components(KEYED))
 
 
+def test_rows_without_an_id_are_linked_by_content(spark):
+    base = [f"w{j}" for j in range(40)]
+    one, two = " ".join(base[:-1] + ["x"]), " ".join(base[:-1] + ["y"])
+    other = " ".join(f"v{j}" for j in range(40))
+    rows = [(7, " ".join(base)), (None, one), (None, two), (None, " ".join(base)), (None, other), (None, other), (None, other + " z"), (9, "a b c"), (9, "d e f"), (None, "D e f"), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(docs, matches=20).collect()
+    assert sorted((r.component_id or 0) for r in got) == [0] * 5 + [7] * 4 + [9] * 3
+    left = near_dup.without_near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0) for r in left) == [0, 0, 7, 9] and sum(r.text == "" for r in left) == 1
+
+
+@pytest.mark.parametrize("far", [0, 7])
+def test_a_large_group_costs_a_multiple_of_its_size(spark, monkeypatch, far):
+    # near copies of one text in one unit; some of them too far from the leader, but linked to others
+    base, n, block = [f"w{j}" for j in range(120)], 400, 25
+    rows = []
+    for k in range(n):
+        w = list(base)
+        w[k % 120] = f"e{k}"
+        if k % 50 < far:
+            for j in range(5 + k % 5):
+                w[(k + 9 * j) % 120] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    sent = []
+    pairs = near_dup.agreeing
+
+    def counted(table, *rest):
+        sent.append(table.count())
+        return pairs(table, *rest)
+
+    monkeypatch.setattr(near_dup, "agreeing", counted)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    want = C.near_components(rows)
+    assert {r.doc_id: r.component_id for r in got} == {k: c for k, _, c in want}
+    assert far or sum(sent) < 40 * n
+
+
 def test_links_of_a_unit_are_a_spanning_forest():
     import random
 
