@@ -16,6 +16,7 @@ from footfall.functions import text as X
 from footfall.operators import grid as Gr, mixture, traffic as T, uncertainty as U
 from footfall.operators.keyed import KeyTable, attach, settle, with_ordinals
 from footfall.operators.quantiles import average_ranks, exact_quantiles, spearman_squared
+from footfall.session import materialize
 from footfall.sinks import charts, report
 from footfall.sources import obj
 from footfall.sources.materials import with_material, with_material_prior
@@ -282,6 +283,45 @@ def test_temporal_drift(spark):
         assert row.shift_ratio == pytest.approx(shift) and row.drift == (shift > 0.15)
 
 
+def clouds(spark, sizes, seed=3):
+    """Points of meshes of given sizes, with their extents as the queries settle them."""
+    rng = np.random.default_rng(seed)
+    rows = [(m, *map(float, rng.random(3))) for m, n in sizes.items() for _ in range(n)]
+    points = spark.createDataFrame(rows, "mesh_id string, w double, d double, u double").repartition(5)
+    ext = points.groupBy("mesh_id").agg(
+        *[f(c).alias(f"{c}_{f.__name__}") for c in "wd" for f in (F.min, F.max)], F.max("u").alias("u_max"), F.count(F.lit(1)).alias("n_vertices"))
+    return points, settle(ext, "extents", most_vertices=F.max("n_vertices"), vertices=F.sum("n_vertices"))
+
+
+@pytest.mark.parametrize("sizes", [{"a": 30, "b": 5, "c": 1}, {"a": 30, "full": 400}, {"full": 400, "other": 300}])
+def test_heights_are_the_same_on_every_route(spark, sizes):
+    points, ext = clouds(spark, sizes)
+    plain = KeyTable(ext.df, ext.rows)
+    got, want = (sorted(map(tuple, Gr.surface_heights(points, e, 6).collect())) for e in (ext, plain))
+    assert got == want and len(got) > 0
+
+
+def test_points_of_sparse_meshes_are_shuffled_before_they_are_repeated(spark):
+    points, ext = clouds(spark, {"a": 30, "b": 5})
+    cells, _ = Gr.legacy_cells(points, ext, 6)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")  # read from the top: no shuffle after it
+
+
+def test_profiles_read_the_cells_once(spark):
+    points, ext = clouds(spark, {"a": 30, "b": 5})
+    cells = materialize(Gr.legacy_cells(points, ext, 6)[0], "cells")
+    folder = cells.inputFiles()[0].rsplit("/", 1)[0]
+    profile = Gr.lateral_profile(cells, ext, 6)
+    assert not any(f.startswith(folder) for f in profile.inputFiles())  # what is left to do reads sums by column
+    sums = cells.groupBy("mesh_id", "j").agg(F.sum(F.round(F.col("depth_mm") * 1e6)).alias("v")).toPandas()
+    share = {(r.mesh_id, r.j): r.v / sums.v[sums.mesh_id == r.mesh_id].sum() for r in sums.itertuples()}
+    rows = profile.collect()
+    assert len(rows) == 12
+    for r in rows:
+        assert r.share == pytest.approx(share.get((r.mesh_id, r.j), 0.0), abs=1e-12)
+
+
 def profile_rows(spark, shapes):
     x = np.linspace(0, 2, 100)
     rows = []
