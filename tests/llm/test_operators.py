@@ -104,6 +104,19 @@ def test_group_and_class_factors_sum_to_one():
     assert abs((one[0][:, None] * two).sum() - 1) < 1e-5
 
 
+def test_small_class_probabilities_are_not_cut_off():
+    w = maxent.Weights(maxent.Model(np.ones(maxent.CLASSES, np.int64), np.ones(maxent.CLASSES, np.int64), np.zeros(0, np.uint64)))
+    rows = np.array([[0, maxent.BUCKETS[0], sum(maxent.BUCKETS[:2])]] * maxent.CLASSES)
+    w.groups[0, 1:] -= 150.0
+    w.classes[0:maxent.GROUPS, 1:] -= 40.0
+    got = maxent.log_class(rows, np.arange(maxent.CLASSES), w)
+    one = np.array([0.0] + [-150.0] * (maxent.GROUPS - 1))
+    two = np.array([0.0] + [-40.0] * (maxent.WIDE - 1))
+    want = (one - np.log(np.exp(one).sum()))[:, None] + two - np.log(np.exp(two).sum())
+    np.testing.assert_allclose(got, want.ravel() / np.log(10), rtol=1e-5, atol=1e-5)
+    assert got.min() < -80
+
+
 def test_line_quality(spark, folder):
     got = rows_of(spark, folder, "op3")
     want = []
