@@ -38,11 +38,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
-from footfall.llm.common import WordHashes, ascii_lower, gram_hashes, mixed, slices, utf8
+from footfall.llm.common import WordHashes, ascii_lower, gram_hashes, mixed, slices, utf8, worker_table
+from footfall.operators.keyed import BROADCAST_BYTES
 from footfall.session import materialize
 
+MEASURED_BYTES = 2 << 20  # text whose words and lines are held as lists at once
 WINDOW = 5        # words of the windows whose repetition inside a text counts
 MIN_WORDS = 10
 PARTS = 4         # a line's variants each leave one of so many parts out
@@ -145,9 +147,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()] + [pa.list_(pa.int64())] * PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = worker_table("quality", WordHashes)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, MEASURED_BYTES):
                 made = [pa.array(v, k) for v, k in zip(_measure(utf8(part.column(text)), known), kinds, strict=True)]
                 kept = [part.column(c) for c in rest]
                 yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
@@ -162,14 +164,24 @@ def same(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> Dat
     return joined if how == "left_semi" else joined.drop("_h", "_k")
 
 
+def small_side(names: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, long) rows written, and marked for broadcast where their counted size is within ``limit``: the texts they are looked up for then stay where they are."""
+    seen = Observation()
+    written = materialize(names.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.length("_host")).alias("longest")), label)
+    found = seen.get
+    return F.broadcast(written) if found["n"] * (64 + 4 * (found["longest"] or 0)) <= limit else written
+
+
 def stand_ins(lines: DataFrame, recurring: DataFrame) -> DataFrame:
     """(host, line, stand-in) of lines that aren't recurring and share a variant with another line."""
     each = lines.where(F.col(VARIANTS[0]).isNotNull()).distinct()
-    ranked = same(each, recurring, "_line", "left").withColumn("_rank", F.struct((-F.coalesce("_texts", F.lit(0))).alias("n"), F.col("_line").alias("line")))
-    ranked = materialize(ranked.select("_host", "_line", "_texts", "_rank", F.explode(F.array(*VARIANTS)).alias("_variant")), "quality-variants")
-    groups = ranked.groupBy("_host", "_variant").agg(F.min("_rank").alias("_best"), F.min("_line").alias("_lo"), F.max("_line").alias("_hi"))
-    shared = materialize(groups.where("_lo < _hi").select("_host", "_variant", "_best"), "quality-shared")
-    best = same(ranked.where("_texts IS NULL").select("_host", "_line", "_variant"), shared, "_variant").groupBy("_host", "_line").agg(F.min("_best").alias("_best"))
+    ranked = same(each, recurring, "_line", "left").select("_host", "_line", "_texts", F.explode(F.array(*VARIANTS)).alias("_variant"))
+    ranked = materialize(ranked, "quality-variants")
+    shared = ranked.groupBy("_host", "_variant").agg(F.min("_line").alias("_lo"), F.max("_line").alias("_hi")).where("_lo < _hi")
+    rivals = materialize(same(ranked, materialize(shared.select("_host", "_variant"), "quality-shared"), "_variant", "left_semi"), "quality-rivals")
+    rank = F.struct((-F.coalesce("_texts", F.lit(0))).alias("n"), F.col("_line").alias("line"))
+    leaders = rivals.groupBy("_host", "_variant").agg(F.min(rank).alias("_best"))
+    best = same(rivals.where("_texts IS NULL").select("_host", "_line", "_variant"), leaders, "_variant").groupBy("_host", "_line").agg(F.min("_best").alias("_best"))
     return best.select("_host", "_line", F.col("_best.line").alias("_for")).where("_line != _for")
 
 
@@ -181,7 +193,7 @@ def frequent_lines(measured: DataFrame, limits: LineLimits, host: str = "source"
     recurring = materialize(recurring, "quality-recurring")
     all_lines = texts.select("_host", "_text", F.explode("_lines").alias("_line"))
     having = materialize(same(all_lines, recurring, "_line", "left_semi").distinct(), "quality-having")
-    touched = same(texts, having.select("_host", "_text").distinct(), "_text", "left_semi")
+    touched = same(texts, small_side(having.select("_host", "_text").distinct(), "quality-touched"), "_text", "left_semi")
     own = touched.select("_host", "_text", F.explode(F.arrays_zip("_lines", "_line_words", *VARIANTS)).alias("_at")).select(
         "_host", "_text", F.col("_at._lines").alias("_line"), F.col("_at._line_words").alias("_words"), *[F.col(f"_at.{v}").alias(v) for v in VARIANTS]
     )

@@ -117,6 +117,20 @@ def test_small_class_probabilities_are_not_cut_off():
     assert got.min() < -80
 
 
+@pytest.mark.parametrize("limit, join", [(1 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_texts_stay_in_place_while_the_names_looked_up_are_few(spark, limit, join):
+    names = spark.createDataFrame([("a", 1), (None, 2)], "_host string, _text long")
+    texts = spark.createDataFrame([("a", 1), ("a", 2), (None, 2), ("b", 1), (None, None)], "_host string, _text long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = quality.same(texts, quality.small_side(names, "names", limit), "_text", "left_semi")
+        assert {tuple(r) for r in got.collect()} == {("a", 1), (None, 2)}
+        assert join in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_line_quality(spark, folder):
     got = rows_of(spark, folder, "op3")
     want = []
