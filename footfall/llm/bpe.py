@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from footfall.llm.common import slices, utf8
+from footfall.llm.common import slices, utf8, worker_table
 
 KNOWN_CHUNKS = 300_000   # entries of each table of a worker; a full table is emptied
 ENCODED_BYTES = 2 << 20  # text whose tokens are held as lists at once
@@ -198,14 +198,9 @@ class ForcedBoundaryBpe:
         return out
 
 
-_ready: dict[str, ForcedBoundaryBpe] = {}  # a worker keeps its encoders and their tables between tasks
-
-
 def _encoder(spec: str) -> ForcedBoundaryBpe:
-    key = sha256(spec.encode()).hexdigest()
-    if key not in _ready:
-        _ready[key] = ForcedBoundaryBpe(spec)
-    return _ready[key]
+    """A worker keeps its encoder and the tables of it between tasks."""
+    return worker_table("bpe " + sha256(spec.encode()).hexdigest(), lambda: ForcedBoundaryBpe(spec))
 
 
 def _shared(df: DataFrame, path: str):

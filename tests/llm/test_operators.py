@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import anchors, automata, bpe, language, maxent, mixing, near_dup, pii, quality, repeats, run_index, sketch
+from footfall.llm import anchors, automata, bpe, common, language, maxent, mixing, near_dup, pii, quality, repeats, run_index, sketch
 from footfall.llm.queries import QUERIES, vocabulary
 from tests.llm import corpus as C
 
@@ -117,6 +117,15 @@ def test_small_class_probabilities_are_not_cut_off():
     assert got.min() < -80
 
 
+def test_a_worker_keeps_the_tables_of_the_operator_at_work():
+    with open(vocabulary(), encoding="utf-8") as file:
+        spec = file.read()
+    encoder = bpe._encoder(spec)
+    assert bpe._encoder(spec) is encoder
+    words = common.worker_table("quality", common.WordHashes)
+    assert common.worker_table("quality", common.WordHashes) is words and list(common._tables) == ["quality"]
+
+
 @pytest.mark.parametrize("limit, join", [(1 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")])
 def test_texts_stay_in_place_while_the_names_looked_up_are_few(spark, limit, join):
     names = spark.createDataFrame([("a", 1), (None, 2)], "_host string, _text long")
