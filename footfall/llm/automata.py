@@ -14,8 +14,9 @@ are judged on the input. Words may hold any bytes but white space and are compar
 
 from __future__ import annotations
 
+from collections import defaultdict
 from hashlib import sha256
-from itertools import compress
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,25 +42,26 @@ class SuffixAutomaton:
         length, link, follow, first = self.length, self.link, self.next, self.first
         last = 0
         for x in items:
-            p = last
-            q = follow[p].get(x)
-            if q is not None:
-                if length[q] == length[p] + 1:
-                    last = q
-                else:
-                    last = self._clone(p, x, q)
+            here = follow[last]
+            if x in here:
+                q = here[x]
+                last = q if length[q] == length[last] + 1 else self._clone(last, x, q)
                 continue
             cur = len(length)
-            length.append(length[p] + 1)
+            length.append(length[last] + 1)
             link.append(0)
             follow.append({})
             first.append(number)
-            while p >= 0 and x not in follow[p]:
-                follow[p][x] = cur
+            here[x] = cur
+            p = link[last]
+            while p >= 0:
+                here = follow[p]
+                if x in here:
+                    q = here[x]
+                    link[cur] = q if length[q] == length[p] + 1 else self._clone(p, x, q)
+                    break
+                here[x] = cur
                 p = link[p]
-            if p >= 0:
-                q = follow[p][x]
-                link[cur] = q if length[q] == length[p] + 1 else self._clone(p, x, q)
             last = cur
 
     def _clone(self, p: int, x: int, q: int) -> int:
@@ -79,25 +81,34 @@ class SuffixAutomaton:
         """For each window of ``items`` the smallest document number it occurs in, -1 if in none."""
         length, link, follow, first = self.length, self.link, self.next, self.first
         state, matched, out = 0, 0, []
-        for i, x in enumerate(items):
-            while state and x not in follow[state]:
+        for x in items:
+            here = follow[state]
+            while state and x not in here:
                 state = link[state]
                 matched = length[state]
-            if x in follow[state]:
-                state = follow[state][x]
+                here = follow[state]
+            if x in here:
+                state = here[x]
                 matched += 1
-            while state and length[link[state]] >= window:
-                state = link[state]
-            matched = min(matched, window)
-            if i >= window - 1:
-                out.append(first[state] if matched >= window else -1)
-        return out
+                if matched > window:
+                    matched = window
+                    while length[link[state]] >= window:
+                        state = link[state]
+                out.append(first[state] if matched == window else -1)
+            else:
+                out.append(-1)
+        return out[window - 1 :]
 
 
 def _runs(values: list[int]) -> list[tuple[int, int, int]]:
-    v = np.array(values, np.int64)
-    cuts = np.flatnonzero(np.diff(v)) + 1
-    return [(int(a), int(b), int(v[a])) for a, b in zip([0, *cuts], [*cuts, len(v)], strict=True)]
+    """(start, end, value) of each stretch of equal values."""
+    out, a, v = [], 0, values[0]
+    for i, x in enumerate(values):
+        if x != v:
+            out.append((a, i, v))
+            a, v = i, x
+    out.append((a, len(values), v))
+    return out
 
 
 def look_up(groups: list[list[tuple[bytes, list]]], window: int) -> None:
@@ -106,7 +117,7 @@ def look_up(groups: list[list[tuple[bytes, list]]], window: int) -> None:
     size = 0
     for group in groups:
         block += group
-        size += sum(t.count(b"\n") + 1 for t, _ in group)
+        size += sum(t.count(b" ") + 1 for t, _ in group)
         if size >= BLOCK_WORDS:
             _block(block, window)
             block, size = [], 0
@@ -114,27 +125,27 @@ def look_up(groups: list[list[tuple[bytes, list]]], window: int) -> None:
 
 
 def _block(texts: list[tuple[bytes, list]], window: int) -> None:
-    known: dict[bytes, int] = {}
-    coded = [([known.setdefault(w, len(known)) for w in t.split(b"\n")], own) for t, own in texts]
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)
+    coded = [(list(map(known.__getitem__, t.split(b" "))), own) for t, own in texts]
     automaton = SuffixAutomaton()
     for items, own in sorted(coded, key=lambda x: x[1][0]):
         automaton.add(items, own[0])
     for items, own in coded:
-        own[2] = _runs(automaton.stream(items, window))
+        runs = _runs(automaton.stream(items, window))
+        # what a text's only document is the first to have tells nothing
+        own[2] = [r for r in runs if r[2] < own[0]] if own[1] == 1 else runs
 
 
 RULE = Repeats(length=WINDOW, gram=GRAM, words=True, ordered=True)
 
 
 def _digest(s: Slice, i: int, gone: np.ndarray) -> tuple:
-    kept = compress(s.items(i), (~gone).tolist()) if gone.any() else s.items(i)
-    return s.n_items(i), int(gone.sum()), sha256(b" ".join(kept)).hexdigest()
+    return s.n_items(i), int(gone.sum()), sha256(s.kept(i, gone)).hexdigest()
 
 
 def _cleaned(s: Slice, i: int, gone: np.ndarray) -> tuple:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    kept = b" ".join(compress(s.items(i), (~gone).tolist()))
-    return kept.decode("utf-8", "replace"), edges[::2].tolist(), edges[1::2].tolist()
+    return s.kept(i, gone).decode("utf-8", "replace"), edges[::2].tolist(), edges[1::2].tolist()
 
 
 def removal_digests(docs: DataFrame, rule: Repeats = RULE, **names: str) -> DataFrame:

@@ -561,3 +561,28 @@ def test_cuts_are_read_as_written(rule):
         assert (np.diff(place) >= 0).all() and place.min() >= 0 and place.max() < shards
     # equal segments, and only they, are one entry
     assert len(set(zip(key.tolist(), content.tolist(), strict=True))) == len(key) == len(cuts.count)
+
+
+def test_words_are_laid_out_and_hashed_as_arrays():
+    import numpy as np
+
+    long = b"x" * (common.LONG + 5)
+    texts = [b"", b" \t\n", b"a", b"  b\r\n\x0bcc\x0cd ", b"\x1c \xc2\xa0 \xe2\x80\x83", long + b" " + long[:-1] + b" a", b"", b"cc b" * 3]
+    split = [t.split() for t in texts]
+    items = repeats.Items.of(texts, True)
+    assert items.documents() == [b"".join(w + b" " for w in ws) for ws in split]
+    assert items.ends.tolist() == np.cumsum([len(ws) for ws in split]).tolist()
+    flat = [w for ws in split for w in ws]
+    assert [items.data[a:b].tobytes() for a, b in zip(items.start, items.stop, strict=True)] == flat
+    again = repeats.Items.laid(items.data, items.ends)
+    assert (again.start == items.start).all() and (again.stop == items.stop).all()
+    hashes = common.word_hashes(items.data, items.start).tolist()
+    assert len(set(hashes)) == len(set(flat)) == len(set(zip(hashes, flat, strict=True)))
+
+
+def test_automaton_answers_only_what_other_documents_need():
+    # a text that one document has, and that begins nowhere else, needs no answer
+    alone, first, later = [1, 1, None], [2, 1, None], [3, 1, None]
+    words = [b"w%d" % i for i in range(20)]
+    automata.look_up([[(b" ".join(words[:13]), alone)], [(b" ".join([b"p", *words]), first), (b" ".join([*words, b"q"]), later)]], 13)
+    assert alone[2] == [] and first[2] == [(1, 2, 1)] and later[2] == [(0, 1, 1), (1, 8, 2)]
