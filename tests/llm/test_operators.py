@@ -586,3 +586,35 @@ def test_automaton_answers_only_what_other_documents_need():
     words = [b"w%d" % i for i in range(20)]
     automata.look_up([[(b" ".join(words[:13]), alone)], [(b" ".join([b"p", *words]), first), (b" ".join([*words, b"q"]), later)]], 13)
     assert alone[2] == [] and first[2] == [(1, 2, 1)] and later[2] == [(0, 1, 1), (1, 8, 2)]
+
+
+def test_contexts_lie_by_feature_and_a_step_sums_per_row():
+    import numpy as np
+
+    texts = [b"A b a b c", b"", b"b", b"x y"]
+    t = maxent.tokens(maxent._coded([1, None, 3, 4], texts), 5, maxent.Split())
+    assert (np.diff(t.shard) >= 0).all() and (t.shard == repeats.place_of(common.mixed(t.words), 5)).all()
+    features = maxent.contexts(t)
+    assert features.T.flags.c_contiguous  # a feature's rows are read one after the other
+    h, want = t.words[t.at], []
+    for a, b in zip([0, *t.ends[:-1]], t.ends, strict=True):
+        for i in range(a, b):
+            one, two = (h[i - k : i - k + 1] if i - k >= a else np.array([maxent.BEGIN]) for k in (1, 2))
+            mix = [common.mixed(one), common.mixed(two ^ np.uint64(0x51ED270B)), common.mixed(one * np.uint64(31) + common.mixed(two))]
+            want.append([sum(maxent.BUCKETS[:f]) + int(m[0]) % maxent.BUCKETS[f] for f, m in enumerate(mix)])
+    assert features.tolist() == want
+
+    rnd, n = np.random.default_rng(4), maxent.CLASSES
+    w = maxent.Weights(maxent.Model(np.arange(n), np.arange(n), np.zeros(0, np.uint64)))
+    rows = np.array([rnd.integers(0, 3, 50) + sum(maxent.BUCKETS[:f]) for f in range(3)]).T
+    kinds = rnd.integers(0, n, 50)
+    group = kinds // maxent.WIDE
+    one = w.group_bias - np.log(np.exp(w.group_bias).sum())
+    two = w.class_bias[group] - np.log(np.exp(w.class_bias[group]).sum(axis=1, keepdims=True))
+    maxent.learn(rows, kinds, w)
+    last = rows[:, 2]  # of the last feature: each of its rows takes one step
+    for p, own, at, got in ((np.exp(one)[None].repeat(50, 0), group, last, w.groups), (np.exp(two), kinds % maxent.WIDE, last * maxent.GROUPS + group, w.classes)):
+        gradients = p.astype(float) - np.eye(maxent.WIDE)[own]
+        for k in np.unique(at):
+            total = gradients[at == k].sum(axis=0)
+            np.testing.assert_allclose(got[k], -maxent.RATE * total / np.sqrt((total**2).sum() + 1e-6), rtol=1e-3, atol=1e-4)
